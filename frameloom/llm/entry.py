@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, token_store
+from . import minhash, mixing, packing, token_store, toxicity
 
 QUERIES = {
     "op2_mix_sources": mixing.op2,
+    "op5_toxicity": toxicity.op5,
+    "op6_near_duplicates": minhash.op6,
     "op8_pack_best_fit": packing.op8,
     "op10_token_store": token_store.op10,
 }
