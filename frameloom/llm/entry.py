@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, packing, token_store, toxicity
+from . import minhash, mixing, packing, pii, quality, token_store, toxicity
 
 QUERIES = {
     "op2_mix_sources": mixing.op2,
     "op5_toxicity": toxicity.op5,
     "op6_near_duplicates": minhash.op6,
+    "op7_personal_data": pii.op7,
     "op8_pack_best_fit": packing.op8,
+    "op9_quality": quality.op9,
     "op10_token_store": token_store.op10,
 }
 ORACLES = {"op2_mix_sources": mixing.OP2_SQL}
