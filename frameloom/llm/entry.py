@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, packing, pii, quality, token_store, toxicity
+from . import minhash, mixing, outliers, packing, pii, quality, token_store, toxicity
 
 QUERIES = {
     "op2_mix_sources": mixing.op2,
+    "op3_robust_outliers": outliers.op3,
     "op5_toxicity": toxicity.op5,
     "op6_near_duplicates": minhash.op6,
     "op7_personal_data": pii.op7,
