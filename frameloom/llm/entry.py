@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, outliers, packing, pii, quality, token_store, toxicity
+from . import ann, minhash, mixing, outliers, packing, pii, quality, token_store, toxicity
 
 QUERIES = {
+    "op1_nearest_neighbours": ann.op1,
     "op2_mix_sources": mixing.op2,
     "op3_robust_outliers": outliers.op3,
     "op5_toxicity": toxicity.op5,
