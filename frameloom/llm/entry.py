@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, minhash, mixing, outliers, packing, pii, quality, token_store, toxicity
+from . import ann, minhash, mixing, outliers, packing, pii, quality, suffix_dedup, token_store, toxicity
 
 QUERIES = {
     "op1_nearest_neighbours": ann.op1,
     "op2_mix_sources": mixing.op2,
     "op3_robust_outliers": outliers.op3,
+    "op4_repeated_strings": suffix_dedup.op4,
     "op5_toxicity": toxicity.op5,
     "op6_near_duplicates": minhash.op6,
     "op7_personal_data": pii.op7,
