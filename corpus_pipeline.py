@@ -1,13 +1,20 @@
-"""The corpus pipeline: toxicity, near duplicates, personal data, mixing, packing."""
+"""The corpus pipeline: toxicity, near duplicates, personal data, mixing, packing.
+
+Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the docs of the next. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from frameloom.llm import mixing, packing
-from frameloom.llm.common import stage, table
+from frameloom.llm import minhash, mixing, packing, pii, toxicity
+from frameloom.llm.common import free, stage, table
 
 STAGES = [
+    ("toxicity", toxicity.stage_toxicity),
+    ("near_duplicates", minhash.stage_near_duplicates),
+    ("personal_data", pii.stage_pii),
     ("mix", mixing.stage_mix),
     ("pack", packing.stage_pack),
 ]
@@ -17,8 +24,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stage(docs, f"pipeline-{name}")
-    return docs
+    for name, step in STAGES[:-1]:
+        before, docs = docs, stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        free(before)  # the table of the stage before; the input itself is not a staged one
+    return STAGES[-1][1](spark, docs, sf_dir)
