@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -49,14 +50,13 @@ def mean_ratio(pairs: DataFrame, key: str, a: str, b: str, keys: DataFrame) -> D
 def shares(df: DataFrame, label: str, source: str) -> DataFrame:
     """(source, label, n, share): counts by label for each source, and over all with source null."""
     n = df.rollup(label, source).agg(F.count("*").alias("n"), F.grouping_id().alias("g")).where("g < 3")
-    totals = n.groupBy(source, "g").agg(F.sum("n").alias("total"))
-    j = n.join(F.broadcast(totals), n[source].eqNullSafe(totals[source]) & (n["g"] == totals["g"]))
-    return j.select(n[source], n[label], n["n"], (n["n"] / F.col("total")).alias("share"))
+    total = F.sum("n").over(W.partitionBy("g", source))  # over counts, not rows
+    return n.select(source, label, "n", (F.col("n") / total).alias("share"))
 
 
 def confusion(df: DataFrame, truth: str, predicted: str, labels: list) -> DataFrame:
     """(truth, one column for each label): counts, zeros filled."""
-    return df.groupBy(truth).pivot(predicted, labels).agg(F.count("*")).na.fill(0)
+    return df.groupBy(truth).pivot(predicted, labels).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def quantiles(df: DataFrame, x: str, at: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
