@@ -15,11 +15,11 @@ from array import array
 import numpy as np
 
 #: White_Space of Unicode, as the patterns of the tokenizers read \s. Python's own \s has four more characters.
-_W = "\t-\r \x85\xa0  -     　"
+_W = "\t\n\x0b\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 _PIECES = re.compile(f"[{_W}]*[^{_W}]+|[{_W}]+")
 #: A text with one of these is cut by _PIECES, not at single spaces and line ends: white space in a row, or of another kind.
 _ODD = ("  ", "\n\n", " \n", "\n ", *"\t\x0b\f\r")
-_ODD_WIDE = tuple("\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
+_ODD_WIDE = tuple(c for c in _W if not c.isascii())
 #: Characters from here on take the whole tokenizer (normal forms and case have special rules there).
 _BEYOND = "ɐ"
 #: Words kept by a worker, about 200 bytes each.
@@ -81,8 +81,8 @@ class Ids:
         if "<|" in piece or (not piece.isascii() and max(piece) >= _BEYOND):
             return self._whole(piece)
         if not self.spaced:
-            piece = piece.lower()
-        word = piece[1:] if piece[0] == " " else piece
+            piece = piece.lstrip(_W).lower()
+        word = piece[1:] if piece[:1] == " " else piece
         if word.isalpha():  # the usual cases, as the pattern would cut them
             parts = (piece,)
         elif word[-1:] in (",", ".") and word[:-1].isalpha():
