@@ -27,8 +27,9 @@ SAMPLE, SAMPLE_PER_LEAF = 20_000, 12
 #: Rows of a leaf aimed at, and children of a node.
 LEAF_ROWS, BRANCH = 400, 12
 CALIBRATION_QUERIES, RECALL = 96, 0.97
-#: Rows and queries of one comparison: larger leaves are dealt into blocks.
-BLOCK, QUERY_BLOCK = 4096, 1024
+#: Leaves next to each other in the tree that a task takes together, and its rows and queries: what has more is dealt into blocks.
+SHARD_LEAVES = 40
+BLOCK, QUERY_BLOCK = 32_768, 1024
 
 
 @dataclass
@@ -131,12 +132,16 @@ def top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int
     slack = 1e-12 * (1 + np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1])
     at, row = np.nonzero((s >= least[:, None] - slack) & (s > -np.inf))
     score = (q[at] * x[row]).sum(axis=1)
-    order = np.lexsort((ids[row], -score, at))
-    at, row, score = at[order], row[order], score[order]
-    first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1]) if len(at) else np.zeros(0, np.int64)
-    rank = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
-    keep = rank < k
-    return q_ids[at[keep]], ids[row[keep]], score[keep]
+    return ranked(q_ids[at], ids[row], score, k)
+
+
+def ranked(query: np.ndarray, row: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each query, best first, ties to smaller rows."""
+    order = np.lexsort((row, -score, query))
+    query, row, score = query[order], row[order], score[order]
+    first = np.concatenate([[0], np.flatnonzero(np.diff(query)) + 1]) if len(query) else np.zeros(0, np.int64)
+    keep = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query)))) < k
+    return query[keep], row[keep], score[keep]
 
 
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -194,25 +199,39 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int64()))], names=["query_id", "q", "leaves"])
 
     probes = stage(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).mapInArrow(probe, "query_id long, q array<double>, leaves array<long>"), "probes")
-    in_leaf = index.groupBy("leaf").agg(F.count("*").alias("n_rows"))
-    at_leaf = probes.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n_queries"))
-    blocks = in_leaf.join(at_leaf, "leaf").select("leaf", F.ceil(F.col("n_rows") / BLOCK).alias("row_blocks"), F.ceil(F.col("n_queries") / QUERY_BLOCK).alias("query_blocks"))
-    blocks = F.broadcast(stage(blocks, "blocks"))  # a row for each leaf
-
-    x = index.join(blocks, "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("row_blocks")).alias("rb"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("qb"), "vec_id", "v")
-    q = probes.select("query_id", "q", F.explode("leaves").alias("leaf")).join(blocks, "leaf")
-    q = q.select("leaf", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)).alias("rb"), F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).alias("qb"), "query_id", "q")
+    shard = F.floor(F.col("leaf") / SHARD_LEAVES).alias("shard")
+    shards_of = F.array_distinct(F.transform("leaves", lambda x: F.floor(x / SHARD_LEAVES)))
+    asks = probes.select("query_id", "q", "leaves", F.explode(shards_of).alias("shard"))
+    asks = asks.withColumn("leaves", F.filter("leaves", lambda x: F.floor(x / SHARD_LEAVES) == F.col("shard")))
+    in_shard = index.groupBy(shard).agg(F.count("*").alias("n_rows"))
+    at_shard = asks.groupBy("shard").agg(F.count("*").alias("n_queries"))
+    blocks = in_shard.join(at_shard, "shard").select("shard", F.ceil(F.col("n_rows") / BLOCK).alias("row_blocks"), F.ceil(F.col("n_queries") / QUERY_BLOCK).alias("query_blocks"))
+    blocks = F.broadcast(stage(blocks, "blocks"))  # a row for each shard, of which there are fewer than leaves
+
+    x = index.withColumn("shard", shard).join(blocks, "shard")
+    x = x.select("shard", F.pmod(F.xxhash64("vec_id"), F.col("row_blocks")).alias("rb"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("qb"), "vec_id", "v", "leaf")
+    q = asks.join(blocks, "shard")
+    q = q.select("shard", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)).alias("rb"), F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).alias("qb"), "query_id", "q", "leaves")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Of each query the best rows of the leaves it visits here, so that a task passes on k rows for a query."""
         if not len(left) or not len(right):
             return _FOUND.empty_table()
-        return _found(*top(left["query_id"].to_numpy(), matrix(left["q"]), right["vec_id"].to_numpy(), matrix(right["v"]), k))
-
-    key = ["leaf", "rb", "qb"]
+        query, vectors, rows, leaf = left["query_id"].to_numpy(), matrix(left["q"]), right["vec_id"].to_numpy(), right["leaf"].to_numpy()
+        points, lists = matrix(right["v"]), left["leaves"].combine_chunks()
+        asked_of, asker = lists.flatten().to_numpy(), np.repeat(np.arange(len(left)), np.diff(lists.offsets.to_numpy()))
+        parts = []
+        for one in np.unique(leaf):
+            who, at = asker[asked_of == one], np.flatnonzero(leaf == one)
+            if len(who):
+                parts.append(top(query[who], vectors[who], rows[at], points[at], k))
+        return _found(*ranked(*map(np.concatenate, zip(*parts, strict=True)), k)) if parts else _FOUND.empty_table()
+
+    key = ["shard", "rb", "qb"]
     found = q.groupBy(*key).cogroup(x.groupBy(*key)).applyInArrow(compare, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    placed = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    return placed.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _calibrated(index: DataFrame, asked: DataFrame, tree: Tree, k: int, recall: float) -> int:

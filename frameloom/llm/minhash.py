@@ -4,9 +4,8 @@ A document is the set of its word shingles; documents of equal sets are one node
 several independent trees a set takes a path: at every level it branches by the token that is least under that level's
 hash. Sets of similarity s share the first k branches of a tree with probability s^k. Sets that meet at the starting depth
 are compared: first each with the least one of its nodes, then, once what is linked has been merged, the members of
-different components in each node with one another. A node of more than LEAF components branches on by
-further tokens, to DEEPER levels at most; what is still together there is compared whole. So no candidate is dropped, and
-a group of near copies costs a comparison with its least member each, not one for each pair.
+different components in each node with one another, whatever the node's size, in blocks. So no candidate is
+dropped, and most of a group of near copies costs a comparison with its least member each.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +30,8 @@ from .token_store import mixed
 MISS = 1e-5
 #: Similarity of unrelated documents that the starting depth allows for: at it, a document meets one other by chance.
 CHANCE = 0.03
-LEAF, DEEPER = 32, 3
+#: Members of a node that one comparison takes from each side, and shingles in one product.
+BLOCK, COLUMNS = 256, 8192
 #: Ids that a broadcast may hold (8 bytes each); above, the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -135,22 +136,81 @@ def compressed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "id long, z binary")
 
 
-def _deeper(at: DataFrame, texts: DataFrame, size: int, level: int) -> DataFrame:
-    """Rows (key, id, n, comp) of nodes that branch on: the same with keys one level deeper."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of x with every set of y, exactly, by products of 0/1 matrices."""
+    both = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    out = np.zeros((len(x), len(y)), np.float32)  # whole numbers below 2^24
+    places = []
+    for sets in (x, y):
+        row, of = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        at = np.minimum(np.searchsorted(both, of), max(0, len(both) - 1))
+        hit = both[at] == of if len(both) else np.zeros(len(of), bool)
+        places.append((row[hit], at[hit]))
+    for low in range(0, len(both), COLUMNS):
+        m = []
+        for sets, (row, at) in zip((x, y), places, strict=True):
+            part = np.zeros((len(sets), min(COLUMNS, len(both) - low)), np.float32)
+            own = (at >= low) & (at < low + COLUMNS)
+            part[row[own], at[own] - low] = 1
+            m.append(part)
+        out += m[0] @ m[1].T
+    return out
+
+
+def spanning(x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Places of pairs that are enough to join all that the pairs (x[k], y[k]) join."""
+    up: dict[int, int] = {}
+
+    def root(k: int) -> int:
+        while up.setdefault(k, k) != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    keep = []
+    for k, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        ra, rb = root(a), root(b)
+        if ra != rb:
+            up[max(ra, rb)] = min(ra, rb)
+            keep.append(k)
+    return keep
+
+
+def compared(at: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of different components in each node: at has (key, id, comp).
+
+    The members outside the node's least component, as a rule the largest, meet all others. Both sides come in blocks
+    of BLOCK by hash, a task for each pair of blocks, so that a node of any size is dealt out; inside, all intersections
+    are one matrix product, and only links that join components leave the task. No pair is a row.
+    """
+    nodes = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).where("low <> high")
+    rows = at.join(nodes.select("key", "low", "m"), "key")
+    others = rows.groupBy("key").agg(F.count_if(F.col("comp") != F.col("low")).alias("u"))
+    rows = rows.join(others, "key").join(texts, "id")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    deal = lambda n: F.pmod(F.xxhash64("id"), blocks(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    x = rows.where("comp <> low").select("key", deal("u").alias("xb"), each("m").alias("yb"), "id", "comp", "z", F.lit(True).alias("left"))
+    y = rows.select("key", each("u").alias("xb"), deal("m").alias("yb"), "id", "comp", "z", F.lit(False).alias("left"))
+    none = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(rows: pa.Table) -> pa.Table:
+        left, right = rows.filter(rows["left"]), rows.filter(pc.invert(rows["left"]))
+        if not len(left) or not len(right):
+            return none.empty_table()
         unzip = zstandard.ZstdDecompressor()
-        for batch in batches:
-            keys = []
-            for key, z in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                tokens = shingles(unzip.decompress(z).decode("utf-8", "surrogatepass"), size)
-                at = np.array([key], np.int64).view(np.uint64)
-                least = tokens[mixed(tokens ^ at, 60 + level).argmin()]  # under a hash of the node's own
-                keys.append(int(mixed(at ^ least, 40 + level).view(np.int64)[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *batch.columns[1:4]], names=["key", "id", "n", "comp"])
+        ids, comps, sets = [], [], []
+        for t in (left, right):
+            ids.append(t["id"].to_numpy())
+            comps.append(t["comp"].to_numpy())
+            sets.append([shingles(unzip.decompress(z).decode("utf-8", "surrogatepass"), size) for z in t["z"].to_pylist()])
+        both = intersections(*sets)
+        n, m = (np.array([len(s) for s in part]) for part in sets)
+        i, j = np.nonzero((100 * both >= percent * (n[:, None] + m[None, :] - both)) & (comps[0][:, None] != comps[1][None, :]))
+        keep = spanning(comps[0][i], comps[1][j])
+        return pa.table([pa.array(ids[0][i[keep]], pa.int64()), pa.array(ids[1][j[keep]], pa.int64())], schema=none)
 
-    rows = at.join(texts, "id").select("key", "id", "n", "comp", "z")
-    return rows.mapInArrow(run, "key long, id long, n long, comp long")
+    return x.union(y).groupBy("key", "xb", "yb").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -185,18 +245,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     links = stage(confirmed(rest.select(F.col("id").alias("x"), F.col("pivot").alias("y")), texts, size, percent), "links")
     comp = _merged(comp, ids, links)
     # Then the members of different components in each node.
-    at = stage(met.select("key", "id", "n").join(comp, "id").select("key", "id", "n", "comp"), "nodes")
-    for level in range(depth, depth + DEEPER + 1):
-        sizes = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count_distinct("comp").alias("comps")).where("low <> high")
-        small = sizes if level == depth + DEEPER else sizes.where(F.col("comps") <= LEAF)
-        pairs = stage(_across(at, small, percent).distinct(), "pairs")
-        links = stage(confirmed(pairs, texts, size, percent), "links")
-        if level < depth + DEEPER:
-            large = stage(_deeper(at.join(sizes.where(F.col("comps") > LEAF).select("key"), "key", "left_semi"), texts, size, level), "nodes")
-        comp = _merged(comp, ids, links)
-        if level == depth + DEEPER or large.isEmpty():
-            break
-        at = stage(large.drop("comp").join(comp, "id").select("key", "id", "n", "comp"), "nodes")
+    at = stage(met.select("key", "id").join(comp, "id"), "nodes")
+    comp = _merged(comp, ids, stage(compared(at, texts, size, percent), "links"))
 
     root = reps.join(comp, "id", "left").select("set", F.coalesce("comp", "id").alias("_root"))
     got = base.select("doc_id", "n_shingles", "set").join(root, "set", "left")
@@ -205,19 +255,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return got.select("doc_id", "n_shingles", alone.alias("component_id"))
 
 
-def _across(at: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of one node and different components, of sizes that allow a link.
-
-    The least component of a node, as a rule the one with most members, meets only what is not in it.
-    """
-    rows = at.join(nodes.select("key", "low"), "key")
-    x = rows.where("comp <> low").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    y = rows.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), "low")
-    fits = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent
-    on = (x["key"] == y["key"]) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("low")) | (F.col("x") > F.col("y"))) & fits
-    return x.join(y, on).select("x", "y")
-
-
 def _merged(comp: DataFrame | None, ids: DataFrame, links: DataFrame) -> DataFrame:
     """(id, comp) after the links (a, b) between ids."""
     if comp is None:

@@ -57,6 +57,7 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] =
     last. Null doc_id: one shuffle key, so such rows stay together. Repeated rows: each counts. Empty table: empty
     result. Other columns pass through; names that start with an underscore and occur above are replaced.
     """
+    docs = docs.drop("_start", "_source_size", "_target", "_total", "_run", "_copies", "_in_bucket")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     rows = docs.withColumns({
         "_src": F.coalesce(F.col("source"), F.lit("")), "_src_null": F.col("source").isNull(),

@@ -180,8 +180,9 @@ def judge(docs: DataFrame) -> DataFrame:
     """docs with the COUNTS, base_failed, _distance (squared; null without a verdict) and kept.
 
     Null or empty text: counts of 0, so base_failed. Null lang or source: a value like another. Repeated rows: each
-    counts. Too few rows for any estimate: kept, unless base_failed. Empty table: empty result. Other columns pass through.
+    counts. Too few rows for any estimate: kept, unless base_failed. Empty table: empty result. Other columns pass through, but for the results' names and est, m, inv.
     """
+    docs = docs.drop(*COUNTS, "base_failed", "kept", "_distance", "_lang", "_source", "est", "m", "inv", *(f"_x{i}" for i in range(P)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     rows = with_counts(docs).withColumn("base_failed", failed)
     rows = rows.withColumns({"_lang": F.coalesce("lang", F.lit("\0")), "_source": F.coalesce("source", F.lit("\0"))})

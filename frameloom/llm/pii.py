@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ NEAR = 8
 DISCLOSURE, SUPPORT = 0.8, 3
 #: Candidate terms that a task may hold (8 bytes each); above, their documents are counted by a join.
 BROADCAST_TERMS = 1_000_000
+#: Counted terms that a task holds before it passes them on.
+HELD_TERMS = 500_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -186,34 +189,40 @@ def _with_both(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.groupBy("entity", "term").agg(F.count("*").alias("n_te")).join(pairs.select("entity", "term"), ["entity", "term"])
 
 
+def counted_terms(n: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.int64()), pa.array(n.values(), pa.int64())], names=["term", "n"])
+
+
 def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, n_t): documents that hold each of the terms. Tasks look the terms up if a task can hold them, else a join does."""
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     asked = docs.sparkSession.sparkContext.broadcast(frozenset(terms.toArrow()["term"].to_pylist())) if few else None
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = asked.value if few else None
+        wanted, n = asked.value if few else None, Counter()
         for batch in batches:
-            out: list[int] = []
             for text in batch.column(0).to_pylist():
-                got = {w.lower() for w in _WORD.findall(text or "")}
-                keys = {_key(w) for w in got}
-                out += keys & wanted if few else keys
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["term"])
+                keys = {_key(w) for w in {w.lower() for w in _WORD.findall(text or "")}}
+                n.update(keys & wanted if few else keys)
+            if len(n) > HELD_TERMS:
+                yield counted_terms(n)
+                n.clear()
+        yield counted_terms(n)
 
     if few and not asked.value:
         return terms.withColumn("n_t", F.lit(0).cast("long"))
-    counted = docs.select("text").mapInArrow(held, "term long").groupBy("term").agg(F.count("*").alias("n_t"))
+    counted = docs.select("text").mapInArrow(held, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
     return counted if few else counted.join(terms, "term")
 
 
 def protect(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """docs with _spans (all spans joined), _base_spans (base ones joined), n_<kind>, and text sanitised.
 
-    Null or empty text: no span. Repeated rows: each on its own. Null doc_id and other columns pass through. Base
+    Null or empty text: no span. Repeated rows: each on its own. Null doc_id and other columns pass through; columns of the results' names are replaced. Base
     spans become [EMAIL], [IP], [CARD], [PHONE]; a disclosing term goes, or becomes [TERM]. Where spans overlap, the first
     stands. keep_text False: text stays unset, for callers that only want spans.
     """
+    docs = docs.drop("_row", "_base", "_entities", "_terms", "_whole", "_base_spans", "_spans", *(f"n_{k}" for k in KINDS))
     rows = stage(found(docs, text_where_clean=keep_text), "personal")
     touched = rows.where(F.size("_entities") > 0)
     told = stage(disclosing(docs, touched), "disclosing")

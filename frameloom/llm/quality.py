@@ -142,7 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> ByteNet:
 
 
 def score(docs: DataFrame, model: ByteNet) -> DataFrame:
-    """docs with _score double. Null and empty texts get the score of a chunk of padding."""
+    """docs with _score double, in place of a column of that name. Null and empty texts get the score of a chunk of padding."""
+    docs = docs.drop("_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

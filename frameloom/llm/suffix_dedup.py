@@ -25,14 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import size_bounded, stage, table
+from .common import stage, table
 from .token_store import mixed
 
 WINDOW = 400
 #: Places of a window among which its trigger lies (a power of 2), and bytes that the rolling hash covers.
 SPREAD, GRAM = 128, 12
-#: Rows that a broadcast may hold (some numbers each); above, the join shuffles.
-BROADCAST_ROWS = 1_000_000
 #: Bytes hashed at once; longer texts are walked in overlapping blocks.
 BLOCK = 1 << 22
 
@@ -151,7 +149,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(key, spans): for rows by row_key() the parts [start, end) of bytes covered by windows that are elsewhere too, not merged."""
     again = parse(docs, only_after=True).groupBy("after").count().where("count > 1").select("after")
     again = stage(again, "again")
-    occurrences = stage(parse(docs, only_after=False).join(size_bounded(again, BROADCAST_ROWS), "after", "left_semi"), "occurrences")
+    occurrences = stage(parse(docs, only_after=False).join(again, "after", "left_semi"), "occurrences")
     dictionary = occurrences.groupBy("after", "whole").agg(F.count("*").alias("count"), F.min(F.struct("key", "place")).alias("of"))
     dictionary = stage(dictionary.select("after", "whole", "count", "of.*"), "dictionary")
 
@@ -165,8 +163,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     by_text = open_.groupBy("key").agg(F.collect_list(F.struct("after", "place", F.least("count", F.lit(2)).alias("count"))).alias("entries"))
     by_text = stage(by_text, "open")
     texts = docs.where(F.octet_length("text") >= WINDOW).select(row_key(), "text")
-    held = texts.join(size_bounded(by_text.select("key"), BROADCAST_ROWS), "key", "left_semi")
-    suffixes = _suffixes(held.join(by_text, "key").select("key", "text", "entries"))
+    suffixes = _suffixes(texts.join(by_text, "key").select("key", "text", "entries"))
     same = F.sum("count").over(W.partitionBy("after", "rank"))
     shared = suffixes.withColumn("n", same).where("n > 1 and count = 1")
     parts = shared.groupBy("key", "phrase").agg(F.min("at").alias("start"), (F.max("at") + WINDOW).alias("end"))
@@ -186,20 +183,19 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
 
 
 def without_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """docs (doc_id, text, ...) with n_bytes, n_removed, n_spans, kept_sha256 and, if asked, kept binary, the bytes left.
+    """docs (doc_id, text, ...) with n_bytes, n_removed, n_spans, kept_sha256 and, if asked, kept binary, the bytes left. Columns of these names are replaced.
 
     Null or empty text: 0 bytes, nothing removed. Repeated rows: each is elsewhere for the other, so both lose what
-    is 400 bytes or longer. Null doc_id: like another. Empty table: empty result. Other columns pass through, and
-    may not be named key or spans.
+    is 400 bytes or longer. Null doc_id: like another. Empty table: empty result. Other columns pass through.
     """
-    spans = repeated_spans(docs)
-    few = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] <= BROADCAST_ROWS
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "_text_key", "_spans")
+    spans = repeated_spans(docs).select(F.col("key").alias("_text_key"), F.col("spans").alias("_spans"))
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
-    joined = docs.withColumn("key", row_key()).join(F.broadcast(spans) if few else spans, "key", "left").drop("key")
+    joined = docs.withColumn("_text_key", row_key()).join(spans, "_text_key", "left").drop("_text_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, own = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "spans"))
+            texts, own = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "_spans"))
             more: list[list] = [[], [], [], []]
             for text, s in zip(texts, own, strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
@@ -211,12 +207,12 @@ def without_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
                 left = b"".join([*kept, data[at:]])
                 for column, x in zip(more, (sum(b - a for a, b in gone), len(gone), hashlib.sha256(left).hexdigest(), left if keep_text else None), strict=True):
                     column.append(x)
-            columns = {c: batch.column(k) for k, c in enumerate(batch.schema.names) if c != "spans"}
+            columns = {c: batch.column(k) for k, c in enumerate(batch.schema.names) if c != "_spans"}
             columns |= {"n_removed": pa.array(more[0], pa.int64()), "n_spans": pa.array(more[1], pa.int64()), "kept_sha256": pa.array(more[2], pa.string()), "kept": pa.array(more[3], pa.binary())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     rows = joined.withColumn("n_bytes", n_bytes)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "spans")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_spans")
     out = rows.mapInArrow(run, f"{schema}, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if keep_text else out.drop("kept")
 

@@ -137,7 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Toxicity:
 
 
 def score(docs: DataFrame, model: Toxicity) -> DataFrame:
-    """docs with score double. Null and empty texts get the score of a text without features."""
+    """docs with _score double, in place of a column of that name. Null and empty texts get the score of a text without features."""
+    docs = docs.drop("_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

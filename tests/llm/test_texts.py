@@ -296,3 +296,24 @@ def test_empty_tables(spark, tmp_path):
     assert mixing.mix(none).count() == 0
     store = token_store.TokenStore.write(none, str(tmp_path / "none"), path, 2)
     assert store.locate(none).count() == 0
+
+
+def test_clashing_columns_and_null_ids(spark):
+    """Columns named as results and helpers are, null ids, and rows that repeat."""
+    from pyspark.sql import functions as F
+
+    from frameloom.llm import mixing, quality, toxicity
+
+    r = random.Random(1)
+    long = made_up(r, 200)
+    docs = table(spark, [long, long, None, "", "mail me at a@b.example.com", made_up(r, 90)], [1, 1, None, 3, 4, 5])
+    names = "key spans _spans kept n_words size score _score rank taken copies source_size target id z n comp n_bytes label entity term est _row n_email place after _text_key _copies _size _x0".split()
+    docs = docs.withColumns({c: F.lit("clash") for c in names})
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(6)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("clash"))
+    got = [
+        suffix_dedup.without_repeats(docs, keep_text=True), outliers.judge(docs), mixing.mix(docs), pii.protect(docs), minhash.near_duplicates(docs),
+        toxicity.score(docs, toxicity.train(docs, labels)), quality.score(docs, quality.train(docs, labels)),
+    ]
+    assert [df.count() for df in got] == [6] * 7
+    assert packing.pack_documents(docs, packing.public_tokenizer("byte_bpe_50k.json"), 1).count() == 6
+    assert got[0].where("n_removed > 0").count() == 2 and got[3].where("n_email = 1").count() == 1
