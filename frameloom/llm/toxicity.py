@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ THRESHOLD = 0.7
 SECOND_PERSON = frozenset(
     "you your yours yourself u ur du dich dir dein deine deiner ihr euch euer tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros vuestro".split()
 )
+SECOND_STEMS = frozenset(w[:STEM] for w in SECOND_PERSON)
 #: Characters that stand for letters in disguised words (fixed values).
 LEET = str.maketrans("0134578@$!", "oieastbasi")
 
@@ -57,7 +59,8 @@ class Lexicon:
         n = max(1, len(got))
         hits = [k for k, w in enumerate(got) if w in self.weight]
         weights = [self.weight[got[k]] for k in hits]
-        near = sum(any(w in SECOND_PERSON for w in got[max(0, k - 5) : k + 6]) for k in hits[:1000])
+        second = [0, *accumulate(w in SECOND_STEMS for w in got)]
+        near = sum(second[min(len(got), k + 6)] > second[max(0, k - 5)] for k in hits)
         closest = min((b - a for a, b in zip(hits, hits[1:], strict=False)), default=n)
         flat = text.encode("latin-1", "replace")
         upper = len(flat) - len(flat.translate(None, _UPPER))

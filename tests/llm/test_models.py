@@ -105,6 +105,13 @@ def test_toxic_terms_are_learned(spark):
     assert toxicity.score(docs, none).count() == 902
 
 
+def test_second_person_is_counted_to_the_end():
+    lexicon = toxicity.Lexicon({"vile": 2.0})
+    text = "vile and " * 1500 + "vosotros vile"
+    near = lexicon.features(text)[6]
+    assert near == 3 / 1501  # the terms within five words of the pronoun
+
+
 def test_byte_net_learns_and_reads_to_the_end():
     r = random.Random(3)
     good = [" ".join(r.choice(["lorem", "ipsum", "dolor", "sit"]) for _ in range(r.randint(20, 200))) for _ in range(150)]
