@@ -1,16 +1,19 @@
 """Personal data: base patterns, and terms that disclose them by corpus co-occurrence.
 
-A protected entity is a found value (an address, a number) with its kind. A term is a word near an occurrence. Over the whole
-corpus, IC(e) = -log2 p(e) is what knowing the entity is worth and PMI(t, e) = log2 p(t, e) / (p(t) p(e)) is how much of
-it the term gives away; p counts documents. A term that gives away DISCLOSURE of an entity or more, in at least
-SUPPORT different surroundings, is sanitised wherever the entity stands in the same text: removed if it gives away all that
-the entity is worth, else replaced by a general word. Equal surroundings, as in copies of a text, are one
-witness: one sentence about one person does not make its words personal.
+A protected entity is a found value (an address, a number) with its kind. A term is a run of letters and digits anywhere in a
+text with an entity. Over the whole corpus, IC(e) = -log2 p(e) is what knowing the entity is worth and
+PMI(t, e) = log2 p(t, e) / (p(t) p(e)) is how much of it the term gives away; p counts documents. A term that gives away
+DISCLOSURE of an entity or more is sanitised wherever the entity stands in the same text, if so many common documents have
+a chance of CHANCE or less where terms and entities are independent (the upper tail of the hypergeometric distribution):
+removed if it gives away all that the entity is worth, else replaced by a general word. So a single document is
+enough in a corpus where that is rare, and copies of a text are documents like others.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,10 +28,8 @@ from xxhash import xxh3_64_intdigest
 from .common import size_bounded, stage, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of an occurrence that are near it.
-NEAR = 8
-DISCLOSURE, SUPPORT = 0.8, 3
-#: Candidate terms that a task may hold (8 bytes each); above, their documents are counted by a join.
+DISCLOSURE, CHANCE = 0.8, 0.01
+#: Counts of terms or entities that a task may hold (16 bytes each); those of the rarer ones are then met by joins only.
 BROADCAST_TERMS = 1_000_000
 #: Counted terms that a task holds before it passes them on.
 HELD_TERMS = 500_000
@@ -39,7 +40,7 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++((?:\.[0-9]++){3})")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_WORD = re.compile(r"[^\W\d_]{2,}")
+_WORD = re.compile(r"[^\W_]+")
 
 Span = tuple[str, int, int]
 
@@ -115,19 +116,6 @@ def term_places(text: str, spans: list[Span]) -> list[tuple[int, int, int]]:
     return places
 
 
-def _pairs(text: str, spans: list[Span]) -> Iterator[tuple[int, int, int]]:
-    """(entity, term, surroundings) for each term near an entity."""
-    places = term_places(text, spans)
-    starts = [p[1] for p in places]
-    for span in spans:
-        at = int(np.searchsorted(starts, span[1]))
-        near = places[max(0, at - NEAR) : at + NEAR]
-        witness = _key(" ".join(str(p[0]) for p in near))
-        entity = entity_key(text, span)
-        for term in {p[0] for p in near}:
-            yield entity, term, witness
-
-
 def found(docs: DataFrame, text_where_clean: bool = True) -> DataFrame:
     """docs with _row, _base (struct of spans) and _entities (keys). text_where_clean False: no text for rows without an entity."""
     span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -154,65 +142,119 @@ def _spans(row: list[dict]) -> list[Span]:
     return [(s["kind"], s["start"], s["end"]) for s in row]
 
 
-def disclosing(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(entity, term, whole): the terms that give entities away. docs: (text), all; rows: those of found() with an entity."""
+def by_chance(n_te: int, n_t: int, n_e: int, total: int) -> float:
+    """The chance that a term of n_t and an entity of n_e documents, independent of each other, share n_te or more of them."""
+    if n_te <= max(0, n_t + n_e - total):
+        return 1.0
+    f = math.lgamma
+    log = f(n_t + 1) - f(n_te + 1) - f(n_t - n_te + 1) + f(total - n_t + 1) - f(n_e - n_te + 1) - f(total - n_t - n_e + n_te + 1)
+    term = math.exp(min(0.0, log - f(total + 1) + f(n_e + 1) + f(total - n_e + 1)))
+    out, k = 0.0, n_te
+    while term > 0 and k <= min(n_t, n_e):
+        out += term
+        if term < 1e-15 * out and (n_t - k) * (n_e - k) < (k + 1) * (total - n_t - n_e + k + 1):
+            break
+        term *= (n_t - k) * (n_e - k) / ((k + 1) * (total - n_t - n_e + k + 1))
+        k += 1
+    return min(1.0, out)
+
+
+class Known:
+    """The counts of the most frequent keys, as arrays; of any other key the count is at most rest."""
+
+    def __init__(self, counts: DataFrame, key: str, n: str):
+        low = 1  # a key without an entry has one document
+        while counts.where(F.col(n) > low).count() > BROADCAST_TERMS:
+            low *= 2
+        got = counts.where(F.col(n) > low).select(key, n).toArrow()
+        order = np.argsort(got[key].to_numpy())
+        self.keys, self.n, self.rest = got[key].to_numpy()[order], got[n].to_numpy()[order], low
+
+    def __call__(self, keys: np.ndarray, rest: int) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(keys), rest)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.n[at], rest)
+
+
+def together(rows: DataFrame, terms: DataFrame, entities: DataFrame, total: int) -> DataFrame:
+    """(_row, entity, term) for each row's entities and terms, without those that cannot disclose by their counts.
+
+    As n_te is at most n_e, a share of DISCLOSURE asks for n_t <= n_e (total / n_e) ** (1 - DISCLOSURE).
+    """
+    known = rows.sparkSession.sparkContext.broadcast((Known(terms, "term", "n_t"), Known(entities, "entity", "n_e")))
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_t, n_e = known.value
         for batch in batches:
-            got = {p for text, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in _pairs(text, _spans(base))}
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in got], pa.int64()) for k in range(3)], names=["entity", "term", "witness"])
-
-    pairs = rows.select("text", "_base").mapInArrow(near, "entity long, term long, witness long").distinct()
-    pairs = stage(pairs.groupBy("entity", "term").agg(F.count("*").alias("witnesses")).where(F.col("witnesses") >= SUPPORT), "near")
-    terms = stage(pairs.select("term").distinct(), "terms")
-    together = _with_both(rows, pairs)
-    entities = rows.select(F.explode("_entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    total = float(max(1, docs.count()))
-    x = together.join(_document_counts(docs, terms), "term").join(entities, "entity")
-    worth = -F.log2(F.col("n_e") / total)
-    told = F.log2(F.col("n_te") * total / (F.col("n_t") * F.col("n_e")))
-    x = x.withColumn("share", F.when(worth > 0, told / worth).otherwise(0.0))
-    return x.where(F.col("share") >= DISCLOSURE).select("entity", "term", (F.col("share") >= 1).alias("whole"))
-
+            ids, keys, words, held = [], [], [], 0
+            for row, text, base, entities in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.array(sorted({p[0] for p in term_places(text, _spans(base))}), np.int64)
+                least = n_t(own, 1)
+                of = np.array(entities, np.int64)
+                for e, n in zip(of.tolist(), n_e(of, n_e.rest).tolist(), strict=True):
+                    some = own[least <= n * (total / n) ** (1 - DISCLOSURE) * (1 + 1e-9)]
+                    ids.append(np.full(len(some), row))
+                    keys.append(np.full(len(some), e))
+                    words.append(some)
+                    held += len(some)
+                if held > HELD_TERMS:
+                    yield _triples(ids, keys, words)
+                    ids, keys, words, held = [], [], [], 0
+            if ids:
+                yield _triples(ids, keys, words)
+
+    return rows.select("_row", "text", "_base", "_entities").mapInArrow(run, "_row long, entity long, term long")
+
+
+def _triples(*columns: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], names=["_row", "entity", "term"])
+
+
+def disclosing(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entity, term, whole): the terms that give entities away; and together(). docs: (text), all; rows: those of found() with an entity."""
+    total = max(1, docs.count())
+    terms = stage(_document_counts(docs), "terms")
+    entities = stage(rows.select(F.explode("_entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")), "entities")
+    both = stage(together(rows, terms, entities, total), "together")
+    x = both.groupBy("entity", "term").agg(F.count("*").alias("n_te"))
+    x = x.join(size_bounded(entities, BROADCAST_TERMS), "entity").join(terms, "term")
+    worth = -F.log2(F.col("n_e") / float(total))
+    told = F.log2(F.col("n_te") * float(total) / (F.col("n_t") * F.col("n_e")))
+    x = x.withColumn("share", F.when(worth > 0, told / worth).otherwise(0.0)).withColumn("whole", F.col("n_te") >= F.col("n_t"))
+    x = x.where(F.col("share") >= DISCLOSURE)
 
-def _with_both(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(entity, term, n_te): documents where the term is near the entity, for the pairs asked."""
-
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chance = functools.lru_cache(100_000)(by_chance)
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            for text, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out += {(e, t) for e, t, _ in _pairs(text, _spans(base))}
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in range(2)], names=["entity", "term"])
+            n = zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)), strict=True)
+            yield batch.select([0, 1, 2]).filter(pa.array([chance(a, b, c, total) <= CHANCE for a, b, c in n], pa.bool_()))
 
-    both = rows.select("text", "_base").mapInArrow(held, "entity long, term long")
-    return both.groupBy("entity", "term").agg(F.count("*").alias("n_te")).join(pairs.select("entity", "term"), ["entity", "term"])
+    return x.select("entity", "term", "whole", "n_te", "n_t", "n_e").mapInArrow(run, "entity long, term long, whole boolean"), both
 
 
-def counted_terms(n: Counter) -> pa.RecordBatch:
+def counted_terms(n: dict[int, int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.int64()), pa.array(n.values(), pa.int64())], names=["term", "n"])
 
 
-def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n_t): documents that hold each of the terms. Tasks look the terms up if a task can hold them, else a join does."""
-    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    asked = docs.sparkSession.sparkContext.broadcast(frozenset(terms.toArrow()["term"].to_pylist())) if few else None
+def _document_counts(docs: DataFrame) -> DataFrame:
+    """(term, n_t): documents that hold each term."""
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, n = asked.value if few else None, Counter()
+        n: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                keys = {_key(w) for w in {w.lower() for w in _WORD.findall(text or "")}}
-                n.update(keys & wanted if few else keys)
-            if len(n) > HELD_TERMS:
-                yield counted_terms(n)
-                n.clear()
-        yield counted_terms(n)
+                n.update({w.lower() for w in _WORD.findall(text or "")})
+                if len(n) > HELD_TERMS:
+                    yield counted_terms(_by_key(n))
+                    n.clear()
+        yield counted_terms(_by_key(n))
+
+    return docs.select("text").mapInArrow(held, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+
 
-    if few and not asked.value:
-        return terms.withColumn("n_t", F.lit(0).cast("long"))
-    counted = docs.select("text").mapInArrow(held, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
-    return counted if few else counted.join(terms, "term")
+def _by_key(n: Counter) -> dict[int, int]:
+    return {_key(w): k for w, k in n.items()}
 
 
 def protect(docs: DataFrame, keep_text: bool = True) -> DataFrame:
@@ -225,8 +267,8 @@ def protect(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     docs = docs.drop("_row", "_base", "_entities", "_terms", "_whole", "_base_spans", "_spans", *(f"n_{k}" for k in KINDS))
     rows = stage(found(docs, text_where_clean=keep_text), "personal")
     touched = rows.where(F.size("_entities") > 0)
-    told = stage(disclosing(docs, touched), "disclosing")
-    by_row = touched.select("_row", F.explode("_entities").alias("entity")).join(size_bounded(told, BROADCAST_TERMS), "entity")
+    told, both = disclosing(docs, touched)
+    by_row = both.join(size_bounded(stage(told, "disclosing"), BROADCAST_TERMS), ["entity", "term"])
     by_row = by_row.groupBy("_row").agg(F.collect_set("term").alias("_terms"), F.collect_set(F.when(F.col("whole"), F.col("term"))).alias("_whole"))
     more = [T.StructField(f"n_{k}", T.LongType()) for k in KINDS] + [T.StructField("_base_spans", T.StringType()), T.StructField("_spans", T.StringType())]
     schema = T.StructType([*docs.schema, *more])

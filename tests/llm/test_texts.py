@@ -156,6 +156,28 @@ def test_terms_that_disclose_are_added(spark):
     assert rows[33]["_spans"] == "" and rows[33].text is None
 
 
+def test_terms_disclose_from_far_in_one_document_and_in_templates(spark):
+    r = random.Random(6)
+    rest = [made_up(r, 40) for _ in range(300)]
+    far = "Quillon7 lives at 48151 " + "ka lo mi " * 20 + "write to one@mail.example.com"
+    same = "ka lo signed Jane Drexel signed@mail.example.com"
+    rows = {x.doc_id: x for x in pii.protect(table(spark, [far, *[same] * 30, *rest])).collect()}
+    for k, t, names in ((0, far, ("Quillon7", "48151")), *((k, same, ("Jane", "Drexel")) for k in range(1, 31))):
+        for name in names:
+            assert f"term:{t.index(name)}:{t.index(name) + len(name)}" in rows[k]["_spans"] and name not in rows[k].text
+        assert " ka lo" in f" {rows[k].text}"
+    assert all(rows[k]["_spans"] == "" for k in range(31, 331))
+
+
+def test_chance_is_the_hypergeometric_tail():
+    from math import comb
+
+    for total, n_t, n_e in ((35, 3, 3), (50, 20, 10), (40, 39, 30), (60, 60, 1)):
+        for k in range(min(n_t, n_e) + 1):
+            want = sum(comb(n_t, j) * comb(total - n_t, n_e - j) for j in range(k, min(n_t, n_e) + 1) if n_e - j <= total - n_t) / comb(total, n_e)
+            assert pii.by_chance(k, n_t, n_e, total) == pytest.approx(want)
+
+
 def test_counts_by_definition(texts):
     for t in [*texts, "a b c a b c", "x\nx\n\n x\ny", "# $ %&"]:
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
