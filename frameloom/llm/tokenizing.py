@@ -3,12 +3,14 @@
 A text is cut where white space follows other characters. In both vocabularies no token spans such a place, so
 the ids of the pieces, joined, are the ids of the text. Pieces recur, so most cost one dictionary lookup. The
 pieces that are new go to the vocabulary's own BPE model after the pre-tokenisation that its file states; anything
-outside Latin script, or with the marks of special tokens, goes through the whole tokenizer instead.
+outside Latin script goes through the whole tokenizer instead, as does a whole text with the string of an added token in it:
+by the file's defaults that is the token's single id.
 """
 
 from __future__ import annotations
 
 import functools
+import os
 import re
 from array import array
 
@@ -57,7 +59,11 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # texts are data: special tokens' strings in them are ordinary text
+        added = [t.content for t in self.whole.get_added_tokens_decoder().values() if t.content]
+        # Case is ignored as a token may be sought in the normalised text; a text that only seems to hold one just takes longer.
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
+        lead = os.path.commonprefix(added)
+        self.lead = lead if not any(map(str.isalpha, lead)) else lead[: next(k for k, c in enumerate(lead) if c.isalpha())]
         self.model = self.whole.model
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
@@ -110,6 +116,8 @@ class Ids:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.lead in text and self.added.search(text):  # an added token may take white space or end a word
+            return self._whole(text)
         odd = any(x in text for x in _ODD) or (not text.isascii() and any(x in text for x in _ODD_WIDE))
         if odd or text[0] in " \n" or text[-1] in " \n":
             return b"".join(map(self.first.__getitem__, _PIECES.findall(text)))

@@ -44,6 +44,20 @@ def test_ids_are_the_tokenizers(texts, name):
         assert np.frombuffer(own.encode(t), own.dtype).tolist() == whole.encode(t or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_are_single_ids_by_default(texts, name):
+    from tokenizers import Tokenizer
+
+    path = packing.public_tokenizer(name)
+    whole, own = Tokenizer.from_file(path), Ids(path)
+    added = [t.content for t in whole.get_added_tokens_decoder().values()]
+    assert added
+    marked = [x for a in added for x in (a, f"a {a} b", f"a{a}b  \n{a} ", f"{a}{a}", a.upper(), a[:-1], f"x\n\n {a.title()} y")]
+    for t in [*texts, *marked]:
+        assert np.frombuffer(own.encode(t), own.dtype).tolist() == whole.encode(t or "", add_special_tokens=False).ids
+    assert len(own.encode(added[-1])) == own.dtype.itemsize
+
+
 def test_best_fit_takes_the_tightest_window():
     places, offsets = packing.best_fit(np.array([7, 6, 3, 3, 1]), 10)
     assert places.tolist() == [0, 1, 0, 1, 1] and offsets.tolist() == [0, 0, 7, 6, 9]
