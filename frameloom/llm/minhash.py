@@ -83,6 +83,10 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def fingerprint(s: np.ndarray) -> bytes | None:
+    return xxh3_128_digest(s.tobytes()) if len(s) else None
+
+
 def sets_of(docs: DataFrame, size: int, trees: int, depth: int) -> DataFrame:
     """(doc_id, n_shingles, set binary, paths array<long>): size and fingerprint of each document's set, and its paths."""
 
@@ -92,7 +96,7 @@ def sets_of(docs: DataFrame, size: int, trees: int, depth: int) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 s = shingles(text, size)
                 n.append(len(s))
-                prints.append(xxh3_128_digest(s.tobytes()) if len(s) else None)
+                prints.append(fingerprint(s))
                 keys.append(paths(s, trees, depth).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set", "paths"])
 
@@ -124,16 +128,21 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def compressed(docs: DataFrame) -> DataFrame:
-    """(id, z) from (doc_id, text)."""
+def compressed(docs: DataFrame, size: int | None = None) -> DataFrame:
+    """(id, z) from (doc_id, text); with a size also set, the fingerprint of the text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            z = [pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], names=["id", "z"])
+            texts = batch.column(1).to_pylist()
+            z = [pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+            columns = {"id": batch.column(0), "z": pa.array(z, pa.binary())}
+            if size is not None:
+                columns["set"] = pa.array([fingerprint(shingles(t, size)) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "id long, z binary")
+    more = "" if size is None else ", set binary"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"id long, z binary{more}")
 
 
 def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -233,12 +242,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     ids = met.select("id").distinct()
     own = size_bounded(stage(ids, "met-ids"), BROADCAST_IDS)
-    texts = stage(compressed(docs.join(own.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")), "met-texts")
+    several = stage(usable.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("set").alias("low"), F.max("set").alias("high")).where("n > 1"), "several")
+    texts = docs.join(own.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    repeated = not several.isEmpty()
+    if repeated:  # each set of a doc_id once; no other row needs a shuffle
+        of = size_bounded(several.select("doc_id"), BROADCAST_IDS)
+        once = compressed(texts.join(of, "doc_id", "left_semi"), size).dropDuplicates(["id", "set"]).select("id", "z")
+        texts = compressed(texts.join(of, "doc_id", "left_anti")).unionByName(once)
+    else:
+        texts = compressed(texts)
+    texts = stage(texts, "met-texts")
 
     # First each with the least document that it meets anywhere.
     pairs = met.where("id <> pivot").groupBy("id").agg(F.min("pivot").alias("pivot"))
-    links = stage(confirmed(pairs.select(F.col("id").alias("x"), F.col("pivot").alias("y")), texts, size, percent), "links")
-    comp = _merged(None, ids, links)
+    links = confirmed(pairs.select(F.col("id").alias("x"), F.col("pivot").alias("y")), texts, size, percent)
+    if repeated:
+        same = stage(_same_document(usable, several, reps), "same")
+        links = links.union(same)
+        ids = stage(ids.union(same.select("a")).union(same.select("b")).distinct(), "linked-ids")
+    comp = _merged(None, ids, stage(links, "links"))
     # Then with the least of each of its nodes, where that is not linked yet.
     c = comp.select(F.col("id").alias("pivot"), F.col("comp").alias("pivot_comp"))
     rest = met.where("id <> pivot").select("id", "pivot").distinct().join(comp, "id").join(c, "pivot").where("comp <> pivot_comp")
@@ -250,11 +272,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     root = reps.join(comp, "id", "left").select("set", F.coalesce("comp", "id").alias("_root"))
     got = base.select("doc_id", "n_shingles", "set").join(root, "set", "left")
-    # A doc_id with several sets takes the least root of them.
+    # The sets of one doc_id are linked, so they have one root.
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("_root", "doc_id"))
     return got.select("doc_id", "n_shingles", alone.alias("component_id"))
 
 
+def _same_document(usable: DataFrame, several: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (a, b) between the ids that stand for the sets of one doc_id."""
+    of = usable.join(size_bounded(several.where("low <> high").select("doc_id"), BROADCAST_IDS), "doc_id", "left_semi")
+    at = stage(of.select("doc_id", "set").distinct().join(reps, "set").select("doc_id", "id").distinct(), "own-ids")
+    least = at.groupBy("doc_id").agg(F.min("id").alias("b"))
+    return at.join(size_bounded(least, BROADCAST_IDS), "doc_id").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+
+
 def _merged(comp: DataFrame | None, ids: DataFrame, links: DataFrame) -> DataFrame:
     """(id, comp) after the links (a, b) between ids."""
     if comp is None:

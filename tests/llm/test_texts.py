@@ -298,6 +298,14 @@ def test_near_duplicates_by_brute_force(spark, texts, size):
     assert got == components(many, size, 80)
 
 
+def test_a_document_with_several_texts_links_them(spark):
+    a, b, c = ("one two three four five six", "red green blue black white grey", "up down left right in out")
+    rows = [(3, a), (5, a), (5, b), (5, b), (9, b), (9, b), (9, b.upper()), (11, c), (12, c), (12, "alone and far from all others"), (20, a)]
+    got = minhash.near_duplicates(table(spark, [t for _, t in rows], [k for k, _ in rows]), size=5).collect()
+    assert len(got) == len(rows)
+    assert {(x.doc_id, x.component_id) for x in got} == {(3, 3), (5, 3), (9, 3), (11, 11), (12, 11), (20, 3)}
+
+
 def test_block_comparison_finds_all_links(spark, monkeypatch):
     r = np.random.default_rng(3)
     sets = [np.unique(r.integers(0, 60, r.integers(1, 50)).astype(np.uint64)) for _ in range(40)]
