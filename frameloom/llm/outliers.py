@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage, table, words
+from .common import free, stage, table, words
 
 MIN_WORDS, MAX_REPEATED = 50, 50
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -27,12 +27,13 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 LONG = 50_000
 #: Rows that a language and source need for an estimate of their own.
 MIN_GROUP, MIN_ANY = 60, 12
-H, STEPS = 0.75, 3
-#: Least standard deviation of each transformed statistic: most texts have no symbol or repeated line at all.
-FLOOR = (0.6, 0.06, 0.5, 0.12, 0.08)
-P = len(FLOOR)
+#: Part of the rows in H; steps after which estimates that have not settled are taken as they are (so on sf0.1).
+H, STEPS = 0.75, 12
+#: Relative change of centre and scatter below which a step has settled.
+SETTLED = 1e-6
+P = 5
 #: Chance that a normal row is beyond the cut.
-BEYOND = 1e-9
+BEYOND = 1e-3
 
 
 def repeated_words(got: list[bytes]) -> int:
@@ -88,6 +89,16 @@ def transformed() -> list[Column]:
     ]
 
 
+def resolution() -> list[Column]:
+    """What one count more is worth in each transformed statistic of a row: a word, a mean's sampling error, a symbol, a line, four words in repeated windows.
+
+    Most texts have no symbol or repeated line at all, so that the scatter of H is none; in the mean square over the rows of a
+    group this is the least variance, which follows the group's lengths.
+    """
+    n, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
+    return [1 / n, 1 / F.sqrt(n), F.log1p(1000 / chars), F.log1p(20 / n), F.asin(F.sqrt(F.least(F.lit(1.0), 4 / n)))]
+
+
 def chi2_cdf(x: float, dof: int) -> float:
     """For odd degrees of freedom."""
     if x <= 0:
@@ -108,7 +119,7 @@ def chi2_at(p: float, dof: int) -> float:
 
 
 _UPPER = [(i, j) for i in range(P) for j in range(i, P)]
-_PARAMS = "est string, m array<double>, inv array<double>"
+_PARAMS = "est string, m array<double>, inv array<double>, floor array<double>"
 
 
 def _distance() -> Column:
@@ -117,23 +128,25 @@ def _distance() -> Column:
     return sum((F.col("inv")[k] * d[i] * d[j] * (1 if i == j else 2) for k, (i, j) in enumerate(_UPPER)), F.lit(0.0))
 
 
-def _inverse(cov: np.ndarray) -> list[float]:
-    scaled = cov + np.diag(np.maximum(0.0, np.square(FLOOR) - np.diag(cov)))
+def _inverse(cov: np.ndarray, floor: np.ndarray) -> list[float]:
+    """floor: the least variances."""
+    scaled = cov + np.diag(np.maximum(0.0, floor - np.diag(cov)))
     inv = np.linalg.inv(scaled)
     return [float(inv[i, j]) for i, j in _UPPER]
 
 
 def _start(rows: DataFrame) -> DataFrame:
-    """Median and interquartile range of each statistic."""
-    quart = rows.groupBy("est").agg(*(F.percentile_approx(f"_x{i}", [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i in range(P)))
+    """Median and interquartile range of each statistic, and its least variance."""
+    quart = rows.groupBy("est").agg(*(F.percentile_approx(f"_x{i}", [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i in range(P)), *(F.avg(F.col(f"_r{i}") * F.col(f"_r{i}")).alias(f"r{i}") for i in range(P)))
 
     def run(got: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in got:
             out = []
             for row in pdf.itertuples():
                 q = np.array([getattr(row, f"q{i}") for i in range(P)], float)
-                out.append((row.est, q[:, 1].tolist(), _inverse(np.diag(np.square((q[:, 2] - q[:, 0]) / 1.349)))))
-            yield pd.DataFrame(out, columns=["est", "m", "inv"])
+                floor = np.array([getattr(row, f"r{i}") for i in range(P)], float)
+                out.append((row.est, q[:, 1].tolist(), _inverse(np.diag(np.square((q[:, 2] - q[:, 0]) / 1.349)), floor), floor.tolist()))
+            yield pd.DataFrame(out, columns=["est", "m", "inv", "floor"])
 
     return quart.mapInPandas(run, _PARAMS)
 
@@ -146,7 +159,7 @@ def _concentrated(rows: DataFrame, params: DataFrame) -> DataFrame:
     """
     near = rows.join(params, "est").withColumn("step", F.floor(16 * F.log2(_distance() + 1e-6)).cast("int"))
     moments = [F.sum(f"_x{i}").alias(f"s{i}") for i in range(P)] + [F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"s{i}_{j}") for i, j in _UPPER]
-    sums = near.groupBy("est", "step").agg(F.count("*").alias("n"), *moments)
+    sums = near.groupBy("est", "step").agg(F.count("*").alias("n"), F.first("floor").alias("floor"), *moments)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("step")
@@ -160,11 +173,32 @@ def _concentrated(rows: DataFrame, params: DataFrame) -> DataFrame:
         part = s["n"] / n.sum()
         if part < 1:  # so that the scatter of normal rows comes out right
             cov *= part / chi2_cdf(chi2_at(part, P), P + 2)
-        return pd.DataFrame({"est": [pdf["est"].iloc[0]], "m": [mean.tolist()], "inv": [_inverse(cov)]})
+        floor = np.array(pdf["floor"].iloc[0])
+        return pd.DataFrame({"est": [pdf["est"].iloc[0]], "m": [mean.tolist()], "inv": [_inverse(cov, floor)], "floor": [floor.tolist()]})
 
     return sums.groupBy("est").applyInPandas(run, _PARAMS)
 
 
+def _settled(old: DataFrame, new: DataFrame) -> bool:
+    """Whether no centre or scatter has moved."""
+    was = old.select("est", F.col("m").alias("_m"), F.col("inv").alias("_inv"))
+    moved = [F.exists(F.arrays_zip(F.col(a).alias("a"), F.col(f"_{a}").alias("b")), lambda x: F.abs(x["a"] - x["b"]) > SETTLED * F.greatest(F.abs(x["a"]), F.lit(1.0))) for a in ("m", "inv")]
+    return new.join(was, "est").where(moved[0] | moved[1]).isEmpty()
+
+
+def _estimated(rows: DataFrame) -> DataFrame:
+    """Concentration steps until all estimates have settled."""
+    params = stage(_start(rows), "mcd")
+    for _ in range(STEPS):
+        new = stage(_concentrated(rows, params), "mcd")
+        done = _settled(params, new)
+        free(params)
+        params = new
+        if done:
+            break
+    return params
+
+
 def _estimate_of(rows: DataFrame) -> DataFrame:
     """(_lang, _source, est): the estimate a language and source take: their own, or one pooled over the small sources
     of the language, or over all that is left; none with fewer than MIN_ANY rows."""
@@ -180,19 +214,16 @@ def judge(docs: DataFrame) -> DataFrame:
     """docs with the COUNTS, base_failed, _distance (squared; null without a verdict) and kept.
 
     Null or empty text: counts of 0, so base_failed. Null lang or source: a value like another. Repeated rows: each
-    counts. Too few rows for any estimate: kept, unless base_failed. Empty table: empty result. Other columns pass through, but for the results' names and est, m, inv.
+    counts. Too few rows for any estimate: kept, unless base_failed. Empty table: empty result. Other columns pass through, but for the results' names and est, m, inv, floor.
     """
-    docs = docs.drop(*COUNTS, "base_failed", "kept", "_distance", "_lang", "_source", "est", "m", "inv", *(f"_x{i}" for i in range(P)))
+    docs = docs.drop(*COUNTS, "base_failed", "kept", "_distance", "_lang", "_source", "est", "m", "inv", "floor", *(f"_{x}{i}" for x in "xr" for i in range(P)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     rows = with_counts(docs).withColumn("base_failed", failed)
     rows = rows.withColumns({"_lang": F.coalesce("lang", F.lit("\0")), "_source": F.coalesce("source", F.lit("\0"))})
-    rows = stage(rows.withColumns({f"_x{i}": x for i, x in enumerate(transformed())}), "statistics")
+    rows = stage(rows.withColumns({f"_{k}{i}": x for k, of in (("x", transformed()), ("r", resolution())) for i, x in enumerate(of)}), "statistics")
     of = rows.join(_estimate_of(rows), ["_lang", "_source"], "left")
-    sound = of.where("est is not null and not base_failed").select("est", *(f"_x{i}" for i in range(P)))
-    params = _start(sound)
-    for _ in range(STEPS):
-        params = _concentrated(sound, params)
-    params = stage(params, "mcd")
+    sound = of.where("est is not null and not base_failed").select("est", *(f"_{x}{i}" for x in "xr" for i in range(P)))
+    params = _estimated(stage(sound, "sound"))
     judged = of.join(params, "est", "left").withColumn("_distance", _distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("_distance") <= chi2_at(1 - BEYOND, P), F.lit(True))
     return judged.select(*docs.columns, *COUNTS, "base_failed", "_distance", kept.alias("kept"))

@@ -226,6 +226,18 @@ def test_robust_outliers_reject_junk_and_keep_clean(spark):
     assert all(x.kept and x["_distance"] is None for x in small)
 
 
+def test_robust_outliers_take_the_least_scatter_from_the_group(spark):
+    r = random.Random(7)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    clean = [[r.choice(vocabulary) for _ in range(r.randint(400, 900))] for _ in range(200)]
+    symbols = [" ".join(w + "%" * (k % 10 == 0) for k, w in enumerate(t)) for t in clean[:8]]  # about 18 in 1000
+    lines = [" ".join(t) + "\n" + "x\n" * (len(t) // 25) for t in clean[:8]]  # the three-word windows add to it
+    rows = {x.doc_id: x for x in outliers.judge(table(spark, [*map(" ".join, clean), *symbols, *lines])).collect()}
+    assert sum(rows[k].kept for k in range(200)) >= 197
+    assert not any(rows[k].kept for k in range(200, 216)) and not any(rows[k].base_failed for k in range(216))
+    assert min(rows[k]["_distance"] for k in range(200, 216)) > outliers.chi2_at(0.999, 5)
+
+
 def test_chi2():
     assert outliers.chi2_cdf(outliers.chi2_at(0.95, 5), 5) == pytest.approx(0.95)
     assert outliers.chi2_at(0.95, 5) == pytest.approx(11.0705, abs=1e-3)
