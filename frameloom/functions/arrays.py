@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value bound to a variable: however often f uses it, it is computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
 def upto(n: Column) -> Column:
     """0 .. n-1; empty for n <= 0 (a bare sequence would count down)."""
     return F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))

@@ -67,36 +67,44 @@ def padded_number(n: Column, width: int = 4) -> Column:
     return F.lpad(n.cast("string"), width, "0")
 
 
+def stripped(text: Column) -> Column:
+    """Without outer white space of any kind (trim() takes spaces alone)."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def sentences(text: Column) -> Column:
     """Split after . ! ? where white space follows."""
-    return F.filter(F.split(F.trim(text), r"(?<=[.!?])\s+"), lambda s: s != "")
+    return F.filter(F.transform(F.split(stripped(text), r"(?<=[.!?])\s+"), stripped), lambda s: s != "")
 
 
 def merged_clauses(text: Column, most: int = 18) -> Column:
-    """Sentences; one of more than `most` words is cut at commas and its clauses are put together again while they fit."""
+    """Sentences; one of more than `most` words is cut at commas and its clauses are joined again by ", " while they fit.
+
+    Null: null. Empty text: no sentence. Clauses of white space alone are left out.
+    """
 
     def n_words(s: Column) -> Column:
-        return F.size(F.split(F.trim(s), r"\s+"))
+        return F.size(F.split(stripped(s), r"\s+"))
 
     def fold(state: Column, clause: Column) -> Column:
-        held = F.concat_ws(" ", state["held"], clause)
+        held = F.concat_ws(", ", state["held"], clause)
         fits = (state["held"] != "") & (n_words(held) <= most)
         done = F.when(fits | (state["held"] == ""), state["done"]).otherwise(F.concat(state["done"], F.array(state["held"])))
         return F.struct(done.alias("done"), F.when(fits, held).otherwise(clause).alias("held"))
 
     def cut(sentence: Column) -> Column:
-        clauses = F.split(sentence, r"(?<=,)\s+")
+        clauses = F.filter(F.transform(F.split(sentence, r",\s*"), stripped), lambda c: c != "")
         start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"))
-        return F.when(n_words(sentence) <= most, F.array(sentence)).otherwise(F.aggregate(clauses, start, fold, lambda s: F.concat(s["done"], F.array(s["held"]))))
+        return F.when(n_words(sentence) <= most, F.array(sentence)).otherwise(F.aggregate(clauses, start, fold, lambda s: F.when(s["held"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["held"])))))
 
     return F.flatten(F.transform(sentences(text), cut))
 
 
-def gaps(text: Column) -> Column:
-    """Parts up to and with their delimiter: array of (part, gap seconds)."""
-    parts = F.filter(F.regexp_extract_all(text, F.lit("[^.!?,;:—-]*[.!?,;:—-]?"), F.lit(0)), lambda p: F.trim(p) != "")
-    gap = lambda p: F.when(p.rlike("[.!?]$"), 0.30).when(p.rlike("[,;:—-]$"), 0.12).otherwise(0.0)
-    return F.transform(parts, lambda p: F.struct(F.trim(p).alias("part"), gap(p).alias("gap")))
+def gaps(text: Column, sentence_gap: float = 0.30, comma_gap: float = 0.12) -> Column:
+    """Parts up to and with their delimiter: array of (part, gap seconds). What has no delimiter, the end of the text, has a sentence's gap."""
+    parts = F.filter(F.transform(F.regexp_extract_all(text, F.lit("[^.!?,;:—-]*[.!?,;:—-]?"), F.lit(0)), stripped), lambda p: p != "")
+    gap = lambda p: F.when(p.rlike("[,;:—-]$"), comma_gap).otherwise(sentence_gap)
+    return F.transform(parts, lambda p: F.struct(p.alias("part"), gap(p).alias("gap")))
 
 
 def phonemes_of(tokens: Column, silence: str = "<sil>", around: bool = True) -> Column:
@@ -132,19 +140,24 @@ def whole_duration(d: Column, scale: float = 1.0) -> Column:
     return F.greatest(F.lit(1), F.bround(d * scale)).cast("int")
 
 
-#: Word classes of the prosody presets: (duration scale, pitch boost) (fixed values).
-PROSODY = {"content": (1.15, 1.08), "function": (0.9, 0.97), "other": (1.0, 1.0)}
-CONTENT_TAGS, FUNCTION_TAGS = ("NOUN", "VERB", "ADJ", "ADV", "PROPN"), ("DET", "ADP", "PRON", "AUX", "CCONJ", "SCONJ", "PART")
+#: Word classes of the prosody presets: (duration scale, boost added to log pitch) (fixed values).
+PROSODY = {
+    "standard": {"content": (1.30, 0.05), "function": (0.70, -0.03), "other": (1.00, 0.0)},
+    "charming": {"content": (1.40, 0.10), "function": (0.60, -0.05), "other": (1.00, 0.0)},
+}
+#: Parts of speech of the classes (fixed values).
+CONTENT_TAGS = ("NOUN", "PROPN", "VERB", "ADJ", "ADV", "NUM")
+FUNCTION_TAGS = ("DET", "ADP", "AUX", "PRON", "CCONJ", "SCONJ", "PART")
 
 
 def word_class(tag: Column) -> Column:
     return F.when(tag.isin(*CONTENT_TAGS), "content").when(tag.isin(*FUNCTION_TAGS), "function").otherwise("other")
 
 
-def prosody(tag: Column) -> Column:
-    """(scale, boost) of a part of speech."""
-    kind = word_class(tag)
-    pick = lambda k: F.when(kind == "content", PROSODY["content"][k]).when(kind == "function", PROSODY["function"][k]).otherwise(PROSODY["other"][k])
+def prosody(tag: Column, preset: str = "standard") -> Column:
+    """(scale, boost) of a part of speech: the factor of its durations and what is added to its log pitch. Null tag: other."""
+    kind, of = word_class(tag), PROSODY[preset]
+    pick = lambda k: F.when(kind == "content", of["content"][k]).when(kind == "function", of["function"][k]).otherwise(of["other"][k])
     return F.struct(pick(0).alias("scale"), pick(1).alias("boost"))
 
 

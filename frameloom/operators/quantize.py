@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrays import dot, softmax, squared_distance
 
-#: Codewords of a level: a codebook is a parameter of bounded size, sent to each task as one array.
-MOST_CODES = 4096
+#: Numbers of a level's codewords: a codebook is a parameter of bounded size, sent to each task as one array. A larger one is refused.
+MOST_NUMBERS = 1 << 24
 
 
 def codebook_row(codebook: DataFrame, name: str = "cb") -> DataFrame:
-    """codebook (code, v) as one row with an array of (code, v), by code."""
-    return F.broadcast(codebook.orderBy("code").limit(MOST_CODES).agg(F.array_sort(F.collect_list(F.struct("code", "v"))).alias(name)))
+    """codebook (code, v) as one row with an array of all (code, v), by code."""
+    numbers = codebook.agg(F.sum(F.size("v"))).first()[0] or 0
+    if numbers > MOST_NUMBERS:
+        raise ValueError(f"a codebook of {numbers} numbers; {MOST_NUMBERS} at most")
+    return F.broadcast(codebook.agg(F.array_sort(F.collect_list(F.struct("code", "v"))).alias(name)))
 
 
 def nearest(v: Column, book: Column) -> Column:
@@ -78,6 +82,32 @@ def fit_codebook(rows: DataFrame, size: int, rounds: int = 10, seed: int = 1, ve
     return rows.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "code int, v array<double>")
 
 
+def moved_codebook(rows: DataFrame, codebook: DataFrame, decay: float = 0.99, least: float = 2.0, seed: str = "revive", vector: str = "v") -> DataFrame:
+    """(code, v, weight): a step of moving averages over rows (id, v), for a codebook (code, v, weight).
+
+    Weight and weighted sum of a codeword go towards the number and the sum of the rows nearest to it; v is their
+    ratio. A codeword whose weight falls below `least` is dead: the k-th of them takes the row with the k-th least hash of id and
+    weight `least`; where rows run out it stays as it is.
+    """
+    assigned = assign(rows, codebook.select("code", "v"), vector)
+    sums = assigned.select("code", F.posexplode(vector).alias("_i", "_x")).groupBy("code", "_i").agg(F.sum(F.col("_x").cast("double")).alias("_x"))
+    sums = sums.groupBy("code").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda p: p["_x"]).alias("_s"))  # a vector for each codeword
+    codes = assigned.groupBy("code").agg(F.count("*").alias("_n")).join(sums, "code")
+    at = codebook.join(codes, "code", "left")
+    dims = F.transform("v", lambda x: x.cast("double"))
+    old = at.withColumn("_n", F.coalesce("_n", F.lit(0))).withColumn("_s", F.coalesce("_s", F.transform("v", lambda _: F.lit(0.0)))).withColumn("v", dims)
+    # The new weight has a name of its own: within a lambda "weight" would mean the alias of the same select.
+    old = old.withColumn("_w", decay * F.col("weight") + (1 - decay) * F.col("_n"))
+    summed = F.zip_with("v", "_s", lambda v, s: decay * F.col("weight") * v + (1 - decay) * s)
+    old = old.withColumn("_v", F.when(F.col("_w") > 0, F.transform(summed, lambda x: x / F.col("_w"))).otherwise(F.col("v")))
+    new = old.select("code", F.col("_w").alias("weight"), F.col("_v").alias("v"))
+    new = new.withColumn("_rank", F.when(F.col("weight") < least, F.row_number().over(W.partitionBy(F.col("weight") < least).orderBy("code"))))
+    fresh = rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id").limit(max(1, codebook.count()))
+    fresh = fresh.select(F.row_number().over(W.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id")).alias("_rank"), F.transform(vector, lambda x: x.cast("double")).alias("_fresh"))
+    out = new.join(F.broadcast(fresh), "_rank", "left")  # of the codebook's own size
+    return out.select("code", F.coalesce("_fresh", "v").alias("v"), F.when(F.col("_fresh").isNotNull(), F.lit(least)).otherwise(F.col("weight")).alias("weight"))
+
+
 def cross_entropy(logits: Column, target: Column) -> Column:
     from ..functions.arrays import log_sum_exp
 

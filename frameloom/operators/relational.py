@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a dimension may be broadcast; the size is checked where it isn't known by construction.
 DIMENSION_ROWS = 100_000
+#: Symbols that may be added to a vocabulary at once.
+NEW_SYMBOLS = 10_000_000
 
 
 def dimension(df: DataFrame, rows: int = DIMENSION_ROWS) -> DataFrame:
@@ -94,7 +96,9 @@ def interval_frames(intervals: DataFrame, rate: int, frames: str) -> DataFrame:
 
 
 def grid(a: DataFrame, b: DataFrame) -> DataFrame:
-    """All combinations of two dimensions (of a vocabulary's size)."""
+    """All combinations of two dimensions, one of them of a vocabulary's size; refused where both are larger."""
+    if all(x.limit(DIMENSION_ROWS + 1).count() > DIMENSION_ROWS for x in (a, b)):
+        raise ValueError(f"a product of two tables of more than {DIMENSION_ROWS} rows")
     return dimension(a).crossJoin(dimension(b))
 
 
@@ -110,8 +114,13 @@ def first_wins(sources: list[DataFrame], key: str, last: bool = False) -> DataFr
 
 
 def extended(vocabulary: DataFrame, more: DataFrame) -> DataFrame:
-    """vocabulary (symbol, id) with the unseen symbols of more, by order, after the largest id."""
+    """vocabulary (symbol, id) with the unseen symbols of more, by order, after the largest id.
+
+    The new symbols are numbered in one task: distinct ones that a vocabulary still lacks, NEW_SYMBOLS at most; more are refused.
+    """
     new = more.select("symbol").distinct().join(dimension(vocabulary.select("symbol")), "symbol", "left_anti")
+    if new.limit(NEW_SYMBOLS + 1).count() > NEW_SYMBOLS:
+        raise ValueError(f"more than {NEW_SYMBOLS} new symbols")
     top = vocabulary.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("top"))
     numbered = new.crossJoin(F.broadcast(top)).select("symbol", (F.col("top") + F.row_number().over(W.orderBy("symbol"))).cast("int").alias("id"))
     return vocabulary.select("symbol", "id").unionByName(numbered)

@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import mean, total, upto
+from ..functions.arrays import let, mean, total, upto
 
 
 def series(frames: DataFrame, x: str, key: str = "utt", t: str = "t") -> DataFrame:
@@ -45,18 +45,32 @@ def median(xs: Column, size: int = 5) -> Column:
 def rolling_std(xs: Column, size: int, above: float, least: int = 3) -> Column:
     """Population standard deviation of the voiced values among size places around each; 0 with fewer than `least`."""
 
-    def std(window: Column) -> Column:
-        v = F.filter(window, lambda x: x > above)
-        m = mean(v)
-        return F.when(F.size(v) >= least, F.sqrt(mean(F.transform(v, lambda x: (x - m) * (x - m))))).otherwise(0.0)
+    def std(v: Column) -> Column:
+        # The voiced values and their mean are bound once for a window, not expanded for each of its elements.
+        squares = lambda m: F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m))
+        return F.when(F.size(v) >= least, F.sqrt(let(mean(v), squares) / F.size(v))).otherwise(0.0)
 
-    return F.transform(xs, lambda _, i: std(around(xs, i, -(size // 2), size - size // 2 - 1)))
+    return F.transform(xs, lambda _, i: let(F.filter(around(xs, i, -(size // 2), size - size // 2 - 1), lambda x: x > above), std))
+
+
+def beyond(accel: Column, theta: Column | float) -> Column:
+    """What an acceleration has beyond a deadzone of theta to either side; 0 inside it."""
+    return F.greatest(F.abs(accel) - theta, F.lit(0.0))
+
+
+def deadzone_loss(accel: Column, theta: float, weight: float = 1.0) -> Column:
+    """Weighted square of what is beyond a fixed deadzone."""
+    return weight * beyond(accel, theta) * beyond(accel, theta)
+
+
+def conditional_deadzone(truth: Column, floor: float) -> Column:
+    """The deadzone that a true acceleration leaves its prediction: its own size, the floor at least."""
+    return F.greatest(F.abs(truth), F.lit(floor))
 
 
 def envelope(xs: Column, low: float, high: float) -> Column:
-    """Scaled to mean 1 and clipped."""
-    m = mean(xs)
-    return F.transform(xs, lambda x: F.least(F.greatest(F.coalesce(F.try_divide(x, m), F.lit(1.0)), F.lit(low)), F.lit(high)))
+    """Scaled to mean 1 and clipped; a series of zeros gives the lower bound."""
+    return let(mean(xs) + 1e-6, lambda m: F.transform(xs, lambda x: F.least(F.greatest(x / m, F.lit(low)), F.lit(high))))
 
 
 def expanded_about(xs: Column, centre: Column, factor: float) -> Column:

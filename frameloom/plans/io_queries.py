@@ -6,15 +6,20 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
 from ..operators import quantize as V
 from ..sources import readers, writers
 from ..streaming import incremental as I
-from .base import RUNS, query, r6, table, with_runs
+from .base import RUNS, SQL, query, r6, table, with_runs
+from .vector_queries import _books
 
 
 def scratch(spark, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, or under a local one where that is unset."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder under spark.checkpoint.dir. Where that is unset a local session takes one of its own machine; a cluster's is refused."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(where or '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @query("src_01_listing", "SELECT o_orderstatus AS status, count(*) > 0 AS found FROM orders GROUP BY 1")
@@ -57,6 +62,31 @@ def auto_log_pitch(spark, d):
     return readers.features(spark, _features(spark, d), log_pitch=True).select("utt_id", F.round(F.array_max("pitch"), 4).alias("top"))
 
 
+@query("src_05_strict_features", f"SELECT utt_id, len(pitch)::BIGINT AS n FROM ({_FEATURES})")
+def strict_features(spark, d):
+    path = scratch(spark, "strict")
+    whole = readers.features(spark, _features(spark, d))
+    writers.features(whole.withColumn("pitch", F.concat("pitch", F.slice("pitch", 1, 1))).withColumns({c: F.concat(c, F.slice(c, 1, 1)) for c in ("ema", "loudness")}), path)
+    return readers.features(spark, path, strict=True).select("utt_id", F.size("pitch").cast("long").alias("n"))
+
+
+@query("src_13_waveforms", "SELECT user_id::VARCHAR AS utt_id, (2 * count(*))::BIGINT AS n, round(avg(floor(value * 50)) / 32768, 4) AS mean FROM events GROUP BY 1")
+def waveforms(spark, d):
+    """Series as WAV contents of 8 kHz, read at 16 kHz: twice the samples, the same mean."""
+    xs = table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("path")).agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda s: F.floor(s["value"] * 50).cast("int")).alias("xs"))
+
+    def run(parts):
+        import struct
+
+        for pdf in parts:
+            body = [struct.pack(f"<{len(x)}h", *x) for x in pdf["xs"]]
+            head = [b"RIFF" + struct.pack("<I", 36 + len(b)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 16000, 2, 16) + b"data" + struct.pack("<I", len(b)) for b in body]
+            yield pdf.assign(content=[h + b for h, b in zip(head, body, strict=True)])[["path", "content"]]
+
+    read = readers.waveforms(xs.mapInPandas(run, "path string, content binary"))
+    return read.select(F.col("path").alias("utt_id"), F.size("samples").cast("long").alias("n"), F.round(A.mean(F.col("samples")), 4).alias("mean"))
+
+
 @query("src_07_keyed_json", "SELECT n_nationkey::VARCHAR AS key, n_name AS name, n_regionkey AS region FROM nation")
 def keyed_json(spark, d):
     path = scratch(spark, "map")
@@ -229,14 +259,12 @@ def event_windows(spark, d):
     return w.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("vq_07_tokenize_corpus", "SELECT vec_id, 1::BIGINT AS n FROM embeddings WHERE vec_id >= 32")
+@query("vq_07_tokenize_corpus", f"SELECT vec_id, c0, c1 FROM ({SQL['vq_02_residual']})")
 def tokenize_corpus(spark, d):
-    from .vector_queries import _books
-
     q, first, second = _books(spark, d)
     path = scratch(spark, "codes")
     writers.features(V.residual_assign(q, [first, second]).select("vec_id", "codes"), path)
-    return spark.read.parquet(path).groupBy("vec_id").agg(F.count("*").alias("n"))
+    return spark.read.parquet(path).select("vec_id", F.col("codes")[0].alias("c0"), F.col("codes")[1].alias("c1"))
 
 
 @query("udf_01_model_seam", "SELECT event_id, round(value * 2, 6) AS y FROM events")

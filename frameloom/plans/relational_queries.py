@@ -264,20 +264,21 @@ def grid(spark, d):
     return g.select("r_name", "kind", F.when(F.col("r_regionkey") == 0, 0.0).otherwise((F.col("r_regionkey") * 10 + F.length("kind")).cast("double")).alias("v"))
 
 
-@query("join_14_transcripts", "SELECT doc_id, coalesce(t, '') AS t, t IS NULL AS missing FROM documents LEFT JOIN (SELECT item_id AS doc_id, substr(text, 1, 20) AS t FROM benchmark) USING (doc_id)")
+@query("join_14_transcripts", "SELECT doc_id, coalesce(b.text, '') AS t, b.text IS NULL AS missing FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id")
 def transcripts(spark, d):
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.substring("text", 1, 20).alias("t"))
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("t"))
     j = table(spark, d, "documents").select("doc_id").join(b, "doc_id", "left")
     return j.select("doc_id", F.coalesce("t", F.lit("")).alias("t"), F.col("t").isNull().alias("missing"))
 
 
 def _slices(spark, d):
+    """Two sources that hold all orders between them and share those in progress."""
     o = table(spark, d, "orders")
-    a = o.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit("a").alias("src"), "o_totalprice")
-    return a, o.where("o_orderkey % 2 = 0").select("o_orderkey", F.lit("b").alias("src"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
+    a = o.where("o_orderstatus <> 'O'").select("o_orderkey", F.lit("a").alias("src"), "o_totalprice")
+    return a, o.where("o_orderstatus <> 'F'").select("o_orderkey", F.lit("b").alias("src"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
 
 
-_SLICES = """WITH a AS (SELECT o_orderkey, 'a' AS src, o_totalprice FROM orders WHERE o_orderkey % 3 = 0), b AS (SELECT o_orderkey, 'b' AS src, o_totalprice + 1 AS o_totalprice FROM orders WHERE o_orderkey % 2 = 0)"""
+_SLICES = """WITH a AS (SELECT o_orderkey, 'a' AS src, o_totalprice FROM orders WHERE o_orderstatus <> 'O'), b AS (SELECT o_orderkey, 'b' AS src, o_totalprice + 1 AS o_totalprice FROM orders WHERE o_orderstatus <> 'F')"""
 
 
 @query("set_01_first_wins", _SLICES + " SELECT * FROM a UNION ALL SELECT * FROM b WHERE o_orderkey NOT IN (SELECT o_orderkey FROM a)")

@@ -49,14 +49,13 @@ _ACC = f"{FRAMES}, acc AS (SELECT utt, t, pitch - 2 * lag(pitch, 1) OVER (PARTIT
 
 @query("win_04_deadzone", f"WITH {_ACC} SELECT utt, round(avg(greatest(abs(a) - 20, 0) * greatest(abs(a) - 20, 0)), 6) AS loss FROM acc WHERE a IS NOT NULL GROUP BY 1")
 def deadzone(spark, d):
-    x = F.greatest(F.abs("accel") - 20, F.lit(0.0))
-    return G.differences(frames(spark, d), "pitch").where("accel is not null").groupBy("utt").agg(r6(F.avg(x * x)).alias("loss"))
+    return G.differences(frames(spark, d), "pitch").where("accel is not null").groupBy("utt").agg(r6(F.avg(S.deadzone_loss(F.col("accel"), 20.0))).alias("loss"))
 
 
 @query("win_05_relative_deadzone", f"WITH {_ACC} SELECT utt, round(avg(greatest(abs(a) * 1.5 - greatest(abs(a), 20), 0)), 6) AS loss FROM acc WHERE a IS NOT NULL GROUP BY 1")
 def relative_deadzone(spark, d):
-    a = F.abs("accel")
-    return G.differences(frames(spark, d), "pitch").where("accel is not null").groupBy("utt").agg(r6(F.avg(F.greatest(a * 1.5 - F.greatest(a, F.lit(20.0)), F.lit(0.0)))).alias("loss"))
+    predicted, theta = F.col("accel") * 1.5, S.conditional_deadzone(F.col("accel"), 20.0)
+    return G.differences(frames(spark, d), "pitch").where("accel is not null").groupBy("utt").agg(r6(F.avg(S.beyond(predicted, theta))).alias("loss"))
 
 
 @query(
@@ -142,7 +141,7 @@ def expand_pitch(spark, d):
     return S.exploded(series(spark, d), S.expanded_pitch(F.col("xs"), 1.5), "x").select("utt", "t", r6("x").alias("x"))
 
 
-@query("win_17_envelope", f"WITH {FRAMES} SELECT utt, t, round(least(greatest(pitch / avg(pitch) OVER (PARTITION BY utt), 0.5), 3.0), 6) AS x FROM frames")
+@query("win_17_envelope", f"WITH {FRAMES} SELECT utt, t, round(least(greatest(pitch / (avg(pitch) OVER (PARTITION BY utt) + 1e-6), 0.5), 3.0), 6) AS x FROM frames")
 def envelope(spark, d):
     return S.exploded(series(spark, d), S.envelope(F.col("xs"), 0.5, 3.0), "x").select("utt", "t", r6("x").alias("x"))
 

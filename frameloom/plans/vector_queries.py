@@ -70,7 +70,12 @@ def top_k(spark, d):
     return O.top_k(_scored(spark, d), "utt", "score", 3, False, "pos").select("utt", "pos")
 
 
-@query("ord_09_draw")
+@query(
+    "ord_09_draw",
+    _SCORED + f""", e AS (SELECT *, exp((score - max(score) OVER (PARTITION BY utt)) / 0.7) AS e FROM b),
+      c AS (SELECT *, sum(e) OVER (PARTITION BY utt ORDER BY pos) / sum(e) OVER (PARTITION BY utt) AS c FROM e)
+      SELECT utt, pos FROM c WHERE c > {_hash('draw', 'utt')} / 4294967296.0 QUALIFY row_number() OVER (PARTITION BY utt ORDER BY pos) = 1""",
+)
 def draw(spark, d):
     return O.drawn(_scored(spark, d), "utt", "pos", "score", 0.7, "draw").select("utt", "pos")
 
@@ -123,12 +128,28 @@ def strings(spark, d):
     return table(spark, d, "nation").select("n_nationkey", F.lower(F.trim(n)).alias("name"), S.padded_number(F.col("n_nationkey")).alias("number"), n.startswith("NATION_1").alias("s"), n.endswith("0").alias("e"))
 
 
-@query("scl_03_clauses")
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+@query(
+    "scl_03_clauses",
+    rf"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace({_STRIP.format('text')}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS ss FROM documents),
+      p AS (SELECT doc_id, flatten(list_transform(ss, lambda s: CASE
+          WHEN len(regexp_split_to_array(s, '\s+')) <= 18 THEN [s]
+          WHEN len(list_filter(regexp_split_to_array(s, ',\s*'), lambda c: {_STRIP.format('c')} <> '')) = 0 THEN CAST([] AS VARCHAR[])
+          ELSE list_reduce(list_transform(list_filter(list_transform(regexp_split_to_array(s, ',\s*'), lambda c: {_STRIP.format('c')}), lambda c: c <> ''), lambda c: [c]),
+            lambda a, x: CASE WHEN len(regexp_split_to_array(a[len(a)] || ', ' || x[1], '\s+')) <= 18 THEN list_concat(a[1:len(a) - 1], [a[len(a)] || ', ' || x[1]]) ELSE list_concat(a, x) END) END)) AS cs FROM s)
+      SELECT doc_id, (generate_subscripts(cs, 1) - 1)::INTEGER AS i, unnest(cs) AS clause FROM p""",
+)
 def clauses(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(S.merged_clauses(F.col("text"))).alias("i", "clause"))
 
 
-@query("scl_04_gaps")
+@query(
+    "scl_04_gaps",
+    rf"""WITH p AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_extract_all(text, '[^.!?,;:—-]*[.!?,;:—-]?'), lambda x: {_STRIP.format('x')}), lambda x: x <> '')) AS part FROM documents)
+      SELECT doc_id, count(*)::BIGINT AS parts, round(sum(CASE WHEN part[-1:] IN (',', ';', ':', '—', '-') THEN 0.12::DOUBLE ELSE 0.30::DOUBLE END), 6) AS seconds FROM p GROUP BY 1""",
+)
 def gaps(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(S.gaps(F.col("text"))).alias("i", "g")).groupBy("doc_id").agg(F.count("*").alias("parts"), r6(F.sum("g.gap")).alias("seconds"))
 
@@ -177,12 +198,14 @@ def round_up(spark, d):
 
 @query(
     "scl_13_prosody",
-    """SELECT event_id, CASE WHEN tag = 'NOUN' THEN 1.15 WHEN tag = 'DET' THEN 0.9 ELSE 1.0 END::DOUBLE AS scale, CASE WHEN tag = 'NOUN' THEN 1.08 WHEN tag = 'DET' THEN 0.97 ELSE 1.0 END::DOUBLE AS boost
-       FROM (SELECT event_id, CASE event_type WHEN 'click' THEN 'NOUN' WHEN 'view' THEN 'DET' ELSE 'X' END AS tag FROM events)""",
+    """SELECT event_id, CASE WHEN tag IN ('NOUN', 'NUM') THEN 1.30 WHEN tag = 'DET' THEN 0.70 ELSE 1.00 END::DOUBLE AS scale, CASE WHEN tag IN ('NOUN', 'NUM') THEN 0.05 WHEN tag = 'DET' THEN -0.03 ELSE 0.0 END::DOUBLE AS boost,
+              CASE WHEN tag IN ('NOUN', 'NUM') THEN 1.40 WHEN tag = 'DET' THEN 0.60 ELSE 1.00 END::DOUBLE AS charming_scale, CASE WHEN tag IN ('NOUN', 'NUM') THEN 0.10 WHEN tag = 'DET' THEN -0.05 ELSE 0.0 END::DOUBLE AS charming_boost
+       FROM (SELECT event_id, CASE event_type WHEN 'click' THEN 'NOUN' WHEN 'purchase' THEN 'NUM' WHEN 'view' THEN 'DET' ELSE 'X' END AS tag FROM events)""",
 )
 def prosody(spark, d):
-    p = S.prosody(S.mapped(F.col("event_type"), {"click": "NOUN", "view": "DET"}, "X"))
-    return table(spark, d, "events").select("event_id", p.alias("p")).select("event_id", "p.scale", "p.boost")
+    tag = S.mapped(F.col("event_type"), {"click": "NOUN", "purchase": "NUM", "view": "DET"}, "X")
+    p = table(spark, d, "events").select("event_id", S.prosody(tag).alias("p"), S.prosody(tag, "charming").alias("c"))
+    return p.select("event_id", "p.scale", "p.boost", F.col("c.scale").alias("charming_scale"), F.col("c.boost").alias("charming_boost"))
 
 
 @query("scl_14_guidance", "SELECT l_orderkey, l_linenumber, round(l_tax + 2.5 * (l_discount - l_tax), 6) AS g FROM lineitem")
@@ -248,6 +271,21 @@ def fit_codebook(spark, d):
     return V.fit_codebook(q, 8).select("code", long(F.size("v")).alias("n"))
 
 
+@query(
+    "vq_04_moved_codebook",
+    f"""WITH {_BOOK}, {_NEAREST}, c AS (SELECT code, count(*) AS n, sum(q.v[1]::DOUBLE) AS s0, sum(q.v[64]::DOUBLE) AS s63 FROM n JOIN q USING (vec_id) GROUP BY 1),
+        m AS (SELECT code, 0.99 * 1.85::DOUBLE + 0.01 * coalesce(c.n, 0) AS weight, 0.99 * 1.85 * b.v[1]::DOUBLE + 0.01 * coalesce(s0, 0) AS x0, 0.99 * 1.85 * b.v[64]::DOUBLE + 0.01 * coalesce(s63, 0) AS x63 FROM book b LEFT JOIN c USING (code)),
+        d AS (SELECT *, CASE WHEN weight < 2 THEN row_number() OVER (PARTITION BY weight < 2 ORDER BY code) END AS k FROM m),
+        f AS (SELECT v, row_number() OVER (ORDER BY md5('revive:' || vec_id::VARCHAR), vec_id) AS k FROM q)
+        SELECT code, round(CASE WHEN k IS NULL THEN weight ELSE 2.0 END, 6) AS weight, round(CASE WHEN k IS NULL THEN x0 / weight ELSE f.v[1]::DOUBLE END, 6) AS x0, round(CASE WHEN k IS NULL THEN x63 / weight ELSE f.v[64]::DOUBLE END, 6) AS x63
+        FROM d LEFT JOIN f USING (k)""",
+)
+def moved_codebook(spark, d):
+    q, book, _ = _books(spark, d)
+    got = V.moved_codebook(q.select(F.col("vec_id").alias("id"), "v"), book.withColumn("weight", F.lit(1.85)))
+    return got.select("code", r6("weight").alias("weight"), r6(F.col("v")[0]).alias("x0"), r6(F.col("v")[63]).alias("x63"))
+
+
 @query("vq_05_masked", f"WITH {_BOOK}, {_NEAREST} SELECT vec_id, CASE WHEN label = 0 THEN -1 ELSE code END AS code FROM n")
 def masked(spark, d):
     q, book, _ = _books(spark, d)

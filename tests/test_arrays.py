@@ -54,7 +54,15 @@ CASES = {
     "render_5": (lambda: G.rendered(F.lit(0.0), F.lit(10.0), F.lit(20.0), F.lit(5), F.lit("linear")), [0, 5, 10, 10, 20]),
     "plateau_4": (lambda: G.rendered(F.lit(0.0), F.lit(10.0), F.lit(20.0), F.lit(4), F.lit("plateau")), [0, 10, 10, 20]),
     "median": (lambda: G.median(reals(1, 9, 2, 8, 3)), [1, 2, 3, 3, 3]),
-    "clauses": (lambda: S.merged_clauses(F.lit("a b, c d, e f. g"), 4), ["a b, c d,", "e f.", "g"]),
+    "clauses": (lambda: S.merged_clauses(F.lit("a b, c d, e f. g"), 4), ["a b, c d", "e f.", "g"]),
+    "clauses_joined": (lambda: S.merged_clauses(F.lit("\n a,b,,  c,d\te. \n f "), 2), ["a, b", "c", "d\te.", "f"]),
+    "gaps": (lambda: F.transform(S.gaps(F.lit("a, b! c\n")), lambda g: g["gap"]), [0.12, 0.30, 0.30]),
+    "gap_parts": (lambda: F.transform(S.gaps(F.lit(" a, b! c\n")), lambda g: g["part"]), ["a,", "b!", "c"]),
+    "prosody": (lambda: F.array(*[S.prosody(F.lit(t))[k] for t in ("NUM", "DET", "INTJ") for k in ("scale", "boost")]), [1.3, 0.05, 0.7, -0.03, 1.0, 0.0]),
+    "prosody_charming": (lambda: F.array(*[S.prosody(F.lit(t), "charming")[k] for t in ("VERB", "PART", "X") for k in ("scale", "boost")]), [1.4, 0.1, 0.6, -0.05, 1.0, 0.0]),
+    "envelope_of_zeros": (lambda: G.envelope(reals(0, 0), 0.5, 3.0), [0.5, 0.5]),
+    "rolling_std": (lambda: G.rolling_std(reals(50, 52, 10, 54), 4, 40.0, 2), [0.75**0.5, (8 / 9) ** 0.5, (8 / 3) ** 0.5, (8 / 9) ** 0.5]),
+    "deadzones": (lambda: F.array(G.deadzone_loss(F.lit(-5.0), 3.0, 2.0), G.deadzone_loss(F.lit(2.0), 3.0), G.beyond(F.lit(9.0), G.conditional_deadzone(F.lit(-6.0), 4.0))), [8, 0, 3]),
     "bround": (lambda: F.array(*[S.whole_duration(F.lit(x)) for x in (12.5, 2.5, 3.5, 0.1)]), [12, 2, 4, 1]),
     "emotions": (
         lambda: F.array(*[S.emotion_of(F.lit(v), F.lit(a)) for v, a in ((0.6, 0.7), (0.4, 0.7), (0.5, 0.7), (0.9, 0.3), (0.1, 0.5), (0.1, 0.35), (0.1, 0.65))]),

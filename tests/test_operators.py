@@ -107,3 +107,68 @@ def test_waveform_is_mixed_and_resampled(spark):
     df = spark.createDataFrame([("a.wav", bytearray(b.getvalue()))], "path string, content binary")
     samples = readers.waveforms(df).first()["samples"]
     assert len(samples) == 160 and samples[0] == pytest.approx(0.25)
+
+
+def test_a_codebook_beyond_4096_is_used_whole(spark):
+    book = spark.range(5000).select(F.col("id").cast("int").alias("code"), F.array(F.col("id").cast("double")).alias("v"))
+    q = spark.createDataFrame([(k, [float(x)]) for k, x in enumerate((0, 17, 4096, 4900, 4999))], "id int, v array<double>")
+    got = V.assign(q, book)
+    assert rows(got.select("id", "code", "dist"), "id") == [(0, 0, 0.0), (1, 17, 0.0), (2, 4096, 0.0), (3, 4900, 0.0), (4, 4999, 0.0)]
+    back = V.decoded(got.select("id", F.array("code").alias("codes")), [book])
+    assert [r[1] for r in rows(back.select("id", F.col("v")[0]), "id")] == [0.0, 17.0, 4096.0, 4900.0, 4999.0]
+
+
+def test_a_codebook_beyond_the_bound_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(V, "MOST_NUMBERS", 3)
+    book = spark.createDataFrame([(0, [0.0, 1.0]), (1, [1.0, 1.0])], "code int, v array<double>")
+    with pytest.raises(ValueError):
+        V.codebook_row(book)
+
+
+def test_fitted_centres_are_the_means(spark):
+    data = [(k, [float(k % 3) * 10 + (k % 2) * 0.5, 1.0]) for k in range(60)]
+    got = V.fit_codebook(spark.createDataFrame(data, "id int, v array<double>"), 3)
+    assert sorted(r.v[0] for r in got.collect()) == pytest.approx([0.25, 10.25, 20.25])
+
+
+def test_a_codebook_moves_and_dead_codes_revive(spark):
+    book = spark.createDataFrame([(0, [0.0], 4.0), (1, [10.0], 4.0), (2, [99.0], 1.0)], "code int, v array<double>, weight double")
+    q = spark.createDataFrame([(0, [1.0]), (1, [3.0]), (2, [12.0])], "id int, v array<double>")
+    got = {r.code: (r.v[0], r.weight) for r in V.moved_codebook(q, book, decay=0.5).collect()}
+    assert got[0] == (pytest.approx(2 / 3), 3.0) and got[1] == (pytest.approx(52 / 5), 2.5)
+    assert got[2][0] in (1.0, 3.0, 12.0) and got[2][1] == 2.0
+
+
+def test_products_of_two_large_tables_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(R, "DIMENSION_ROWS", 2)
+    with pytest.raises(ValueError):
+        R.grid(spark.range(3), spark.range(3).toDF("b"))
+    assert R.grid(spark.range(3), spark.range(2).toDF("b")).count() == 6
+
+
+def test_new_symbols_beyond_the_bound_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(R, "NEW_SYMBOLS", 1)
+    with pytest.raises(ValueError):
+        R.extended(spark.createDataFrame([("a", 0)], "symbol string, id int"), spark.createDataFrame([("b",), ("c",)], "symbol string"))
+
+
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    for x in (r.normal(size=30_001), np.repeat([1.0, 2.0, 5.0], [10, 20_000, 3]), np.array([7.0])):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+        got = T.quantiles(df, "x").first()
+        assert list(got) == pytest.approx(list(np.quantile(x, [0.1, 0.25, 0.5, 0.75, 0.9])))
+    assert list(T.quantiles(df.where("x is null"), "x").first()) == [None] * 5
+
+
+def test_resampling_keeps_tones():
+    import numpy as np
+
+    t = np.arange(64) / 64
+    x = np.sin(2 * np.pi * 5 * t) + 0.3
+    up = readers.resampled(x, 128)
+    assert up == pytest.approx(np.sin(2 * np.pi * 5 * np.arange(128) / 128) + 0.3)
+    assert readers.resampled(up, 64) == pytest.approx(x)
+    assert readers.resampled(x[:0], 0).tolist() == []
