@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist results)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +23,11 @@ def words(text: str | None) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local session takes a folder of its own machine; a cluster's is refused."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "/tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", where)
         spark.sparkContext.setCheckpointDir(where)
@@ -65,6 +66,34 @@ def size_bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Keys that may be broadcast as hot ones, and the rows that make a key hot.
+HOT_KEYS, HOT_ROWS = 20_000, 500
+
+
+def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """rows joined to keys, where keys has each key once with n, the number of its rows.
+
+    A key of many rows would be one task of a shuffled join. Such keys are broadcast: those with a share of 1 / HOT_KEYS of all
+    rows or more are HOT_KEYS at most, whatever the data. Both inputs are read twice or more: staged tables, as a rule.
+    """
+    total = keys.agg(F.sum(n)).first()[0] or 0
+    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot = keys.where(F.col(n) >= least)
+    if hot.isEmpty():
+        return rows.join(keys, on)
+    hot = F.broadcast(hot)
+    cold = rows.join(hot.select(*on), on, "left_anti").join(keys.where(F.col(n) < least), on)
+    return cold.unionByName(rows.join(hot, on).select(*cold.columns))
+
+
+def freed_name(df: DataFrame, want: str) -> str:
+    """want, with underscores before it until df has no such column: for helper columns beside a caller's own."""
+    names = {c.lower() for c in df.columns}
+    while want.lower() in names:
+        want = f"_{want}"
+    return want
+
+
 def null_safe(name: str, alias: str) -> tuple[Column, Column]:
     """A nullable string key as two columns that equi-joins and groups treat alike."""
     return F.coalesce(F.col(name), F.lit("")).alias(alias), F.col(name).isNull().alias(f"{alias}_null")

@@ -1,11 +1,15 @@
 """MinHash near-duplicates as a chosen-path set similarity join.
 
-A document is the set of its word shingles; documents of equal sets are one node from here on. In each of
-several independent trees a set takes a path: at every level it branches by the token that is least under that level's
-hash. Sets of similarity s share the first k branches of a tree with probability s^k. Sets that meet at the starting depth
-are compared: first each with the least one of its nodes, then, once what is linked has been merged, the members of
-different components in each node with one another, whatever the node's size, in blocks. So no candidate is
-dropped, and most of a group of near copies costs a comparison with its least member each.
+A document is the set of its word shingles, known by a signature of VALUES minwise tokens. In each of several independent
+trees it takes a path from the root: at a node the path chooses a place of the signature, and documents branch by the
+minwise token that they have there. So sets of similarity s share a branch with probability s, and a path of k branches with s^k.
+
+The first levels, where any node is large, are taken at once. Below, a node is split again as long as it holds many documents that
+are not yet linked with its least one's component; there a document takes 1 / threshold branches on average, so that a pair at the
+threshold has one common branch on average, however deep the recursion goes. What is small is compared exhaustively: members first
+by their signatures, then, those that have a partner, by their full sets. No candidate is dropped: a node at the last level is compared
+whatever its size, in blocks. Before that each document meets the least one of each of its nodes, which joins most
+of a group of near copies at a comparison each.
 """
 
 from __future__ import annotations
@@ -22,16 +26,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .common import free, size_bounded, stage, table
+from .common import free, join_counted, size_bounded, stage, table
 from .graph import components
 from .token_store import mixed
 
-#: A pair at the threshold is missed by all trees with this probability.
+#: A pair at the threshold is missed by all trees with this probability, before any splitting.
 MISS = 1e-5
-#: Similarity of unrelated documents that the starting depth allows for: at it, a document meets one other by chance.
+#: Similarity of unrelated documents that the first levels allow for: below them, a document meets one other by chance.
 CHANCE = 0.03
-#: Members of a node that one comparison takes from each side, and shingles in one product.
-BLOCK, COLUMNS = 256, 8192
+#: Minwise tokens of a signature.
+VALUES = 128
+#: Members outside its least one's component up to which a node is compared, and levels of splitting below the first ones.
+SMALL, LEVELS = 64, 24
+#: Members of a node that one comparison of signatures takes; of full sets; and shingles in one product.
+SIGNED, BLOCK, COLUMNS = 4096, 256, 8192
 #: Ids that a broadcast may hold (8 bytes each); above, the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -49,30 +57,86 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(out)
 
 
-def shape(n: int, threshold: float) -> tuple[int, int]:
-    """Starting depth and number of trees for n sets: few chance meetings, and misses below MISS."""
+def agreement(threshold: float) -> list[float]:
+    """Chances that sets at the threshold agree in 0, 1, .. VALUES places of their signatures."""
+    f, p, q = math.lgamma, math.log(threshold), math.log(max(1e-300, 1 - threshold))
+    return [math.exp(f(VALUES + 1) - f(k + 1) - f(VALUES - k + 1) + k * p + (VALUES - k) * q) for k in range(VALUES + 1)]
+
+
+def shape(n: int, threshold: float) -> tuple[int, int, int]:
+    """First levels, number of trees, and places in which signatures of similar sets agree at least, for n sets.
+
+    Few chance meetings below the first levels; misses by trees and by signatures below MISS each.
+    """
     depth = max(2, math.ceil(math.log(max(n, 2)) / math.log(1 / CHANCE)))
-    return depth, max(1, math.ceil(math.log(MISS) / math.log(1 - threshold**depth)))
+    of = agreement(threshold)
+    trees = 1
+    while sum(p * (1 - (k / VALUES) ** depth) ** trees for k, p in enumerate(of)) > MISS and trees < 1000:
+        trees += 1
+    cut = 0
+    while sum(of[: cut + 1]) <= MISS:
+        cut += 1
+    return depth, trees, cut
 
 
 @lru_cache
-def _hashes(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _hashes() -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(7)
-    return r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 63, n, dtype=np.uint64)
+    return r.integers(0, 1 << 31, VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1), r.integers(0, 1 << 32, VALUES, dtype=np.uint32)
+
+
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """The minwise token of a set under each of VALUES hashes, as 32-bit numbers; in bounded memory for long texts."""
+    a, b = _hashes()
+    folded, out = (tokens ^ (tokens >> np.uint64(32))).astype(np.uint32), np.full(VALUES, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(folded), 1024):
+        x = folded[at : at + 1024, None] ^ b
+        x *= a
+        np.minimum(out, x.min(axis=0), out=out)
+    return out
 
 
-def paths(tokens: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """The path of a set through each tree down to depth, as 64-bit keys."""
-    a, b = _hashes(trees * depth)
-    key = np.arange(trees, dtype=np.uint64)
-    for level in range(depth):
-        own = slice(level * trees, (level + 1) * trees)
-        least = np.empty(trees, np.intp)
-        for at in range(0, trees, max(1, 2_000_000 // max(1, len(tokens)))):  # bounded memory for long texts
-            to = min(trees, at + max(1, 2_000_000 // max(1, len(tokens))))
-            least[at:to] = ((tokens[:, None] ^ b[own][at:to]) * a[own][at:to]).argmin(axis=0)
-        key = mixed(key ^ tokens[least], 40 + level)
-    return key
+def signatures(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A binary column of signatures as a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, VALUES)
+
+
+def branched(key: np.ndarray, signed: np.ndarray, salt: int = 0) -> np.ndarray:
+    """The node below key (one for each row of signed) by the token at the place that key chooses."""
+    place = (mixed(key, 40 + salt) % np.uint64(VALUES)).astype(np.intp)
+    return mixed(key ^ signed[np.arange(len(key)), place].astype(np.uint64), 50 + salt)
+
+
+def paths(reps: DataFrame, trees: int, depth: int) -> DataFrame:
+    """(id, key): the node of each set in each tree below the first levels. reps: (id, sig)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 2048):
+                part = batch.slice(at, 2048)
+                signed, ids = signatures(part.column(1)), part.column(0).to_numpy()
+                for tree in range(trees):
+                    key = mixed(np.full(len(part), tree, np.uint64), 39)
+                    for _ in range(depth):
+                        key = branched(key, signed)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(key.view(np.int64))], names=["id", "key"])
+
+    return reps.select("id", "sig").mapInArrow(run, "id long, key long")
+
+
+def split_nodes(at: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
+    """(key, id, comp) one level down. at: (key, id, comp). A node's path decides whether its members take one branch or two."""
+    second = int((1 / threshold - 1) * 1_000_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, signed = batch.column(0).to_numpy().view(np.uint64), signatures(batch.column(3))
+            twice = mixed(key, 60) % np.uint64(1_000_000) < np.uint64(second)
+            keys = np.concatenate([branched(key, signed), branched(key, signed, 1)[twice]])
+            rows = np.concatenate([np.arange(len(key)), np.flatnonzero(twice)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch.column(k).take(pa.array(rows)) for k in (1, 2))], names=["key", "id", "comp"])
+
+    return at.join(sigs, "id").select("key", "id", "comp", "sig").mapInArrow(run, "key long, id long, comp long")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -87,20 +151,33 @@ def fingerprint(s: np.ndarray) -> bytes | None:
     return xxh3_128_digest(s.tobytes()) if len(s) else None
 
 
-def sets_of(docs: DataFrame, size: int, trees: int, depth: int) -> DataFrame:
-    """(doc_id, n_shingles, set binary, paths array<long>): size and fingerprint of each document's set, and its paths."""
+def sets_of(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, n_shingles, set binary, sig binary): size, fingerprint and signature of each document's set; null ones for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, prints, keys = [], [], []
+            n, prints, sigs = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, size)
                 n.append(len(s))
                 prints.append(fingerprint(s))
-                keys.append(paths(s, trees, depth).view(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set", "paths"])
+                sigs.append(signature(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set", "sig"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set binary, sig binary")
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set binary, paths array<long>")
+
+def agreeing(pairs: DataFrame, sigs: DataFrame, cut: int) -> DataFrame:
+    """The pairs (x, y) whose signatures agree in cut places or more. Many x may have one y."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = (signatures(batch.column(2)) == signatures(batch.column(3))).sum(axis=1) >= cut
+            yield batch.select([0, 1]).filter(pa.array(same))
+
+    y = pairs.groupBy("y").agg(F.count("*").alias("n")).join(sigs.select(F.col("id").alias("y"), F.col("sig").alias("sy")), "y")
+    both = join_counted(pairs, stage(y, "pivots"), ["y"]).join(sigs.select(F.col("id").alias("x"), F.col("sig").alias("sx")), "x")
+    return both.select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -185,96 +262,155 @@ def spanning(x: np.ndarray, y: np.ndarray) -> list[int]:
     return keep
 
 
-def compared(at: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between members of different components in each node: at has (key, id, comp).
+def _blocks(at: DataFrame, x_size: int, y_size: int) -> DataFrame:
+    """at (key, id, comp, low, m, u) as rows (key, xb, yb, id, comp, left): the u members outside the component low against all m.
 
-    The members outside the node's least component, as a rule the largest, meet all others. Both sides come in blocks
-    of BLOCK by hash, a task for each pair of blocks, so that a node of any size is dealt out; inside, all intersections
-    are one matrix product, and only links that join components leave the task. No pair is a row.
+    Both sides are dealt by hash into blocks, a task for each pair of blocks, so a node of any size is dealt out.
     """
-    nodes = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).where("low <> high")
-    rows = at.join(nodes.select("key", "low", "m"), "key")
-    others = rows.groupBy("key").agg(F.count_if(F.col("comp") != F.col("low")).alias("u"))
-    rows = rows.join(others, "key").join(texts, "id")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    deal = lambda n: F.pmod(F.xxhash64("id"), blocks(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    x = rows.where("comp <> low").select("key", deal("u").alias("xb"), each("m").alias("yb"), "id", "comp", "z", F.lit(True).alias("left"))
-    y = rows.select("key", each("u").alias("xb"), deal("m").alias("yb"), "id", "comp", "z", F.lit(False).alias("left"))
-    none = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    blocks = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+    deal = lambda n, size: F.pmod(F.xxhash64("id"), blocks(n, size)).cast("int")
+    each = lambda n, size: F.explode(F.sequence(F.lit(0), blocks(n, size) - 1))
+    x = at.where("comp <> low").select("key", deal("u", x_size).alias("xb"), each("m", y_size).alias("yb"), "id", "comp", F.lit(True).alias("left"))
+    y = at.select("key", each("u", x_size).alias("xb"), deal("m", y_size).alias("yb"), "id", "comp", F.lit(False).alias("left"))
+    return x.union(y)
+
+
+_SIDES = "key long, xb int, yb int, id long, comp long, left boolean"
+
+
+def partnered(at: DataFrame, sigs: DataFrame, cut: int) -> DataFrame:
+    """The members of nodes that have a partner of another component by their signatures, as rows of _SIDES. No pair is a row."""
 
     def run(rows: pa.Table) -> pa.Table:
         left, right = rows.filter(rows["left"]), rows.filter(pc.invert(rows["left"]))
         if not len(left) or not len(right):
-            return none.empty_table()
-        unzip = zstandard.ZstdDecompressor()
-        ids, comps, sets = [], [], []
-        for t in (left, right):
-            ids.append(t["id"].to_numpy())
-            comps.append(t["comp"].to_numpy())
-            sets.append([shingles(unzip.decompress(z).decode("utf-8", "surrogatepass"), size) for z in t["z"].to_pylist()])
-        both = intersections(*sets)
-        n, m = (np.array([len(s) for s in part]) for part in sets)
-        i, j = np.nonzero((100 * both >= percent * (n[:, None] + m[None, :] - both)) & (comps[0][:, None] != comps[1][None, :]))
-        keep = spanning(comps[0][i], comps[1][j])
-        return pa.table([pa.array(ids[0][i[keep]], pa.int64()), pa.array(ids[1][j[keep]], pa.int64())], schema=none)
+            return rows.slice(0, 0).drop_columns("sig")
+        sx, sy, cx, cy = signatures(left["sig"]), signatures(right["sig"]), left["comp"].to_numpy(), right["comp"].to_numpy()
+        of_x, of_y = np.zeros(len(left), bool), np.zeros(len(right), bool)
+        for k in range(len(left)):
+            hit = ((sy == sx[k]).sum(axis=1) >= cut) & (cy != cx[k])
+            of_x[k] = hit.any()
+            of_y |= hit
+        return pa.concat_tables([left.filter(pa.array(of_x)), right.filter(pa.array(of_y))]).drop_columns("sig")
+
+    return _blocks(at, SIGNED // 16, SIGNED).join(sigs, "id").select("key", "xb", "yb", "id", "comp", "left", "sig").groupBy("key", "xb", "yb").applyInArrow(run, _SIDES)
+
+
+def compared(sides: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of different components, by full sets. sides: rows of partnered().
+
+    A block's members meet in sub-blocks of BLOCK; inside, all intersections are one matrix product, and only links that
+    join components leave the task.
+    """
+    none = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    return x.union(y).groupBy("key", "xb", "yb").applyInArrow(run, "a long, b long").distinct()
+    def run(rows: pa.Table) -> pa.Table:
+        left, right = rows.filter(rows["left"]), rows.filter(pc.invert(rows["left"]))
+        unzip, out = zstandard.ZstdDecompressor(), [none.empty_table()]
+        sets = lambda t: [shingles(unzip.decompress(z).decode("utf-8", "surrogatepass"), size) for z in t["z"].to_pylist()]
+        for i in range(0, len(left), BLOCK):
+            x = left.slice(i, BLOCK)
+            of_x, cx = sets(x), x["comp"].to_numpy()
+            for j in range(0, len(right), BLOCK):
+                y = right.slice(j, BLOCK)
+                of_y, cy = sets(y), y["comp"].to_numpy()
+                both = intersections(of_x, of_y)
+                n, m = (np.array([len(s) for s in part]) for part in (of_x, of_y))
+                a, b = np.nonzero((100 * both >= percent * (n[:, None] + m[None, :] - both)) & (cx[:, None] != cy[None, :]))
+                keep = spanning(cx[a], cy[b])
+                out.append(pa.table([pa.array(x["id"].to_numpy()[a[keep]], pa.int64()), pa.array(y["id"].to_numpy()[b[keep]], pa.int64())], schema=none))
+        return pa.concat_tables(out)
+
+    return sides.join(texts, "id").groupBy("key", "xb", "yb").applyInArrow(run, "a long, b long").distinct()
+
+
+def small_nodes(at: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
+    """(key, id, comp, low, m, u): the members of nodes that hold several components, after splitting the large ones.
+
+    at: (key, id, comp), staged. low is a node's least component, m the number of its members and u of those outside low.
+    """
+    found, level = [], 0
+    while True:
+        by_comp = at.groupBy("key", "comp").agg(F.count("*").alias("c"))
+        stat = by_comp.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("c").alias("m"), F.min_by("c", "comp").alias("own"))
+        stat = stage(stat.where("low <> high").select("key", "low", "m", (F.col("m") - F.col("own")).alias("u")), "node-sizes")
+        several = stage(join_counted(at, stat, ["key"], "m").select("key", "id", "comp", "low", "m", "u"), "mixed-nodes")
+        free(stat, at)
+        large = several.where(F.col("u") > SMALL)
+        if level == LEVELS or large.isEmpty():
+            found.append(several)
+            break
+        found.append(several.where(F.col("u") <= SMALL))
+        at = stage(split_nodes(large, sigs, threshold), "split-nodes")
+        level += 1
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id): the least doc_id that each document reaches over links of percent/100 or more.
 
     Null or empty text, or no word: an empty set, linked with nothing. Null doc_id: not linked, component_id null.
-    Rows of one doc_id with several texts are one document with several sets, linked by any of them; equal rows count
-    once in the join and come back as often as they are there. Empty table: empty result. Other columns are not read.
+    Very long texts: whole, in bounded memory. Rows of one doc_id with several texts are one document with several sets, linked by
+    any of them; equal rows count once in the joins and come back as often as they are there. Empty table: empty
+    result. Other columns are not read, whatever their names.
     """
     threshold = percent / 100
-    depth, trees = shape(docs.count(), threshold)
-    base = stage(sets_of(docs, size, trees, depth), "sets")
+    depth, trees, cut = shape(docs.count(), threshold)
+    base = stage(sets_of(docs, size), "sets")
     usable = base.where("set is not null and doc_id is not null")
-    reps = usable.groupBy("set").agg(F.min("doc_id").alias("id"))
-    # Of equal sets any row has the same paths; the one with the least doc_id stands for them.
-    owners = usable.join(reps.withColumnRenamed("id", "doc_id"), ["doc_id", "set"]).dropDuplicates(["doc_id", "set"])
-    rows = owners.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("paths").alias("key"))
-    nodes = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last").select("key", "pivot")
-    met = stage(rows.join(nodes, "key"), "met")  # rows of the nodes where documents meet, and only those
+    # Equal sets have equal signatures: the least doc_id stands for them. Rows add up before the shuffle.
+    reps = usable.groupBy("set").agg(F.min(F.struct("doc_id", "sig")).alias("least"), F.count("*").alias("n"))
+    reps = stage(reps.select("set", F.col("least.doc_id").alias("id"), F.col("least.sig").alias("sig"), "n"), "reps")
+    sigs = reps.select("id", "sig")
+    rows = paths(reps, trees, depth)
+    nodes = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("n")).where("pivot <> last").select("key", "pivot", "n")
+    met = stage(join_counted(rows, stage(nodes, "met-nodes"), ["key"]).select("key", "id", "pivot"), "met")  # only nodes where documents meet
 
-    ids = met.select("id").distinct()
-    own = size_bounded(stage(ids, "met-ids"), BROADCAST_IDS)
     several = stage(usable.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("set").alias("low"), F.max("set").alias("high")).where("n > 1"), "several")
-    texts = docs.join(own.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    repeated = not several.isEmpty()
-    if repeated:  # each set of a doc_id once; no other row needs a shuffle
-        of = size_bounded(several.select("doc_id"), BROADCAST_IDS)
-        once = compressed(texts.join(of, "doc_id", "left_semi"), size).dropDuplicates(["id", "set"]).select("id", "z")
-        texts = compressed(texts.join(of, "doc_id", "left_anti")).unionByName(once)
-    else:
-        texts = compressed(texts)
-    texts = stage(texts, "met-texts")
-
-    # First each with the least document that it meets anywhere.
-    pairs = met.where("id <> pivot").groupBy("id").agg(F.min("pivot").alias("pivot"))
-    links = confirmed(pairs.select(F.col("id").alias("x"), F.col("pivot").alias("y")), texts, size, percent)
-    if repeated:
+    # First each with the least document of each of its nodes, as far as their signatures agree.
+    pairs = met.where("id <> pivot").select(F.col("id").alias("x"), F.col("pivot").alias("y")).distinct()
+    near = stage(agreeing(stage(pairs, "star-pairs"), sigs, cut), "near")
+    ids = met.select("id").distinct()
+    texts = texts_of(docs, near.select(F.col("x").alias("id")).union(near.select("y")).distinct(), several, size)
+    one = near.groupBy("x").agg(F.min("y").alias("y"))
+    links = confirmed(one, texts, size, percent)
+    if not several.isEmpty():
         same = stage(_same_document(usable, several, reps), "same")
         links = links.union(same)
-        ids = stage(ids.union(same.select("a")).union(same.select("b")).distinct(), "linked-ids")
+        ids = ids.union(same.select("a")).union(same.select("b")).distinct()
+    ids = stage(ids, "linked-ids")
     comp = _merged(None, ids, stage(links, "links"))
-    # Then with the least of each of its nodes, where that is not linked yet.
-    c = comp.select(F.col("id").alias("pivot"), F.col("comp").alias("pivot_comp"))
-    rest = met.where("id <> pivot").select("id", "pivot").distinct().join(comp, "id").join(c, "pivot").where("comp <> pivot_comp")
-    links = stage(confirmed(rest.select(F.col("id").alias("x"), F.col("pivot").alias("y")), texts, size, percent), "links")
-    comp = _merged(comp, ids, links)
-    # Then the members of different components in each node.
+    x, y = (comp.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}")) for c in "xy")
+    rest = near.join(x, "x").join(y, "y").where("cx <> cy").select("x", "y")
+    comp = _merged(comp, ids, stage(confirmed(rest, texts, size, percent), "links"))
+    free(texts, near)
+    # Then the members of different components in each node, large nodes split until they are small.
     at = stage(met.select("key", "id").join(comp, "id"), "nodes")
-    comp = _merged(comp, ids, stage(compared(at, texts, size, percent), "links"))
+    sides = stage(partnered(small_nodes(at, sigs, threshold), sigs, cut), "partnered")
+    if not sides.isEmpty():
+        texts = texts_of(docs, sides.select("id").distinct(), several, size)
+        comp = _merged(comp, ids, stage(compared(sides, texts, size, percent), "links"))
 
-    root = reps.join(comp, "id", "left").select("set", F.coalesce("comp", "id").alias("_root"))
-    got = base.select("doc_id", "n_shingles", "set").join(root, "set", "left")
+    roots = reps.join(comp, "id", "left").select("set", F.coalesce("comp", "id").alias("_root"), "n")
+    rows = base.select("doc_id", "n_shingles", "set")
     # The sets of one doc_id are linked, so they have one root.
-    alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("_root", "doc_id"))
-    return got.select("doc_id", "n_shingles", alone.alias("component_id"))
+    linked = join_counted(rows.where("set is not null and doc_id is not null"), stage(roots, "roots"), ["set"])
+    alone = rows.where("set is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.select("doc_id", "n_shingles", F.col("_root").alias("component_id")).unionByName(alone)
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, several: DataFrame, size: int) -> DataFrame:
+    """(id, z): the compressed texts of the documents in ids, staged; a doc_id with several texts has each of its sets once."""
+    own = size_bounded(stage(ids, "text-ids"), BROADCAST_IDS)
+    texts = docs.select("doc_id", "text").join(own.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    if several.isEmpty():
+        return stage(compressed(texts), "texts")
+    of = size_bounded(several.select("doc_id"), BROADCAST_IDS)
+    once = compressed(texts.join(of, "doc_id", "left_semi"), size).dropDuplicates(["id", "set"]).select("id", "z")
+    return stage(compressed(texts.join(of, "doc_id", "left_anti")).unionByName(once), "texts")
 
 
 def _same_document(usable: DataFrame, several: DataFrame, reps: DataFrame) -> DataFrame:
@@ -299,12 +435,17 @@ def _merged(comp: DataFrame | None, ids: DataFrame, links: DataFrame) -> DataFra
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
+    """Components of all documents by their two-word shingles; nulls, empty texts, repeats and ties as in near_duplicates(). Null doc_id: kept."""
     got = near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
     return got.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def stage_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies (five words, 0.8) the document with the least doc_id."""
-    got = near_duplicates(docs, size=5, percent=80)
+    """Pipeline stage: of each group of near copies (five words, 0.8) the document with the least doc_id.
+
+    Null, empty and wordless texts and rows without a doc_id stay. Rows that repeat a kept doc_id stay as often as they are there. Very
+    long texts are compared whole. Empty table: empty result. All columns pass through, whatever their names.
+    """
+    got = near_duplicates(docs.select("doc_id", "text"), size=5, percent=80)
     dropped = stage(got.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
     return docs.join(size_bounded(dropped, BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)

@@ -327,6 +327,49 @@ def test_block_comparison_finds_all_links(spark, monkeypatch):
     assert sorted(minhash.spanning(np.array([1, 2, 1, 3]), np.array([2, 1, 2, 1]))) == [0, 3]
 
 
+def test_large_nodes_of_unlike_documents_are_split(spark, monkeypatch):
+    """A template shared by all keeps nodes large; they are split until few are left, and no link is lost."""
+    monkeypatch.setattr(minhash, "SMALL", 3)
+    monkeypatch.setattr(minhash, "CHANCE", 1e-4)  # two first levels
+    r = random.Random(12)
+    template = [f"t{k}" for k in range(60)]
+    docs = []
+    for k in range(150):
+        own = [f"w{r.randrange(10**9)}" for _ in range(35)]
+        docs.append(template + own)
+        if k % 5 == 0:  # a near copy of it, at the border or within
+            own = list(own)
+            for _ in range(r.choice([1, 3, 6, 8])):
+                own[r.randrange(35)] = f"n{r.randrange(10**9)}"
+            docs.append(template + own)
+    docs = [" ".join(d) for d in docs]
+    levels = []
+    plain = minhash.split_nodes
+    monkeypatch.setattr(minhash, "split_nodes", lambda *a: levels.append(1) or plain(*a))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(table(spark, docs), size=2).collect()}
+    assert got == components(docs, 2, 80)
+    assert len(levels) > 2
+
+
+def test_shape_holds_the_misses():
+    for n in (10, 10**4, 10**8):
+        depth, trees, cut = minhash.shape(n, 0.8)
+        of = minhash.agreement(0.8)
+        assert sum(of) == pytest.approx(1)
+        assert sum(p * (1 - (k / minhash.VALUES) ** depth) ** trees for k, p in enumerate(of)) <= minhash.MISS and sum(of[:cut]) <= minhash.MISS
+
+
+def test_hot_keys_join_whole(spark, monkeypatch):
+    from frameloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rows = spark.createDataFrame([(k % 3 if k % 2 else 9, k) for k in range(60)], "key long, v long")
+    keys = rows.groupBy("key").count().withColumnRenamed("count", "n").withColumn("more", rows["key"] + 1)
+    keys = spark.createDataFrame(keys.collect(), keys.schema)
+    got = common.join_counted(rows, keys, ["key"]).select("key", "v", "more").collect()
+    assert sorted((r.key, r.v, r.more) for r in got) == sorted((k % 3 if k % 2 else 9, k, (k % 3 if k % 2 else 9) + 1) for k in range(60))
+
+
 def test_components_of_a_long_path(spark):
     from frameloom.llm.graph import components as of
 
