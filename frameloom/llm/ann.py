@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by inner product: a hierarchical k-means tree with best-bin-first search.
 
-The tree is fitted on a bounded sample; every row is put in a leaf. A query visits leaves in the order of a priority queue
+The tree is fitted on bounded samples: one of the whole table for its upper levels, then, for as long as leaves hold many more rows than
+they should, one of each such leaf for the levels below it. So leaves stay small as the table grows. Every row is put in a leaf. A query visits leaves in the order of a priority queue
 over the distances to nodes' centres. How many it visits is calibrated: the visits widen until a set of calibration
 queries, whose true neighbours are found by a scan of all rows, reach RECALL.
 
@@ -11,6 +12,7 @@ largest norm, and a query 0; then |q - x|^2 = |q|^2 + M^2 - 2 q.x.
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +29,8 @@ SAMPLE, SAMPLE_PER_LEAF = 20_000, 12
 #: Rows of a leaf aimed at, and children of a node.
 LEAF_ROWS, BRANCH = 400, 12
 CALIBRATION_QUERIES, RECALL = 96, 0.97
+#: Times LEAF_ROWS from which a leaf is split again, rows of it that this is fitted on, and leaves of a tree at most (70 MB of 64-place centres).
+GROWN, LEAF_SAMPLE, MOST_LEAVES = 4, 2_000, 131_072
 #: Leaves next to each other in the tree that a task takes together, and its rows and queries: what has more is dealt into blocks.
 SHARD_LEAVES = 40
 BLOCK, QUERY_BLOCK = 32_768, 1024
@@ -79,9 +83,36 @@ class Tree:
         self.leaves += 1
         return node
 
+    def graft(self, below: dict[int, "Node"]) -> None:
+        """Put nodes in the place of leaves, and number the leaves anew."""
+        todo, n = [self.root], 0
+        while todo:
+            node = todo.pop()
+            if node.children:
+                todo += node.children
+            elif node.leaf in below:  # what is put below has leaf numbers of its own
+                node.children, node.leaf = below[node.leaf].children, -1
+        todo = [self.root]
+        while todo:
+            node = todo.pop()
+            if node.children:
+                todo += reversed(node.children)
+            else:
+                node.leaf, n = n, n + 1
+        self.leaves = n
+
     def augmented(self, x: np.ndarray) -> np.ndarray:
         return np.hstack([x, np.sqrt(np.maximum(0, self.norm**2 - (x**2).sum(axis=1)))[:, None]])
 
+    def centre_of(self, leaf: int) -> bytes:
+        todo = [self.root]
+        while todo:
+            node = todo.pop()
+            if node.leaf == leaf and not node.children:
+                return node.centre.tobytes()
+            todo += node.children
+        raise KeyError(leaf)
+
     def leaf_of(self, rows: np.ndarray) -> np.ndarray:
         """The leaf of each row, by the nearest child at every node."""
         x, out = self.augmented(rows), np.zeros(len(rows), np.int64)
@@ -152,45 +183,41 @@ def _found(*columns: np.ndarray) -> pa.Table:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): rows that take part: of the most frequent length, with finite components, not all of them 0."""
+    """(vec_id, v): rows that take part: with finite components, not all of them 0."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & good)
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.where(F.size("v") == (sizes["n"] if sizes else 0))
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & good)
+
+
+def padded(rows: DataFrame, size: int) -> DataFrame:
+    """rows with v filled with zeros to one length: an inner product then is over the places that both vectors have."""
+    return rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(size) - F.size("v"))))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query (vec_id, embedding) its k nearest rows of vectors found.
 
-    Null vec_id, and vectors that usable() leaves out, take no part. Rows that repeat a vec_id are one candidate, of
+    Null vec_id, and vectors that are null, empty, all zero or with null or non-finite components, take no part. Vectors of different lengths
+    count as if filled with zeros. Rows that repeat a vec_id are one candidate, of
     its best score; a vec_id repeated among the queries is one query, of its least vector. Empty table: empty result.
     Other columns are not read. Of equal vectors only the k + 1 with the least vec_id can be among the nearest of any
     query: the others are left out of the index, before any shuffle, and so no vector is hot.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors)
+    rows, asked = usable(vectors), usable(queries)
+    size = max(df.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0] for df in (rows, asked))
+    rows, asked = padded(rows, size), padded(asked, size)
     same = W.partitionBy(F.xxhash64("v"), F.xxhash64(F.lit(1), F.reverse("v"))).orderBy("vec_id")
     rows = stage(rows.withColumn("nth", F.dense_rank().over(same)).where(F.col("nth") <= k + 1).select("vec_id", "v"), "vectors")
-    asked = stage(usable(queries).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    asked = stage(asked.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     n = rows.count()
     if n == 0 or asked.isEmpty():
         return empty
     norm = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
-    sample = matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()["v"])
-    tree = Tree(np.zeros((1, sample.shape[1] + 1)), 1, norm)
-    leaves = max(1, min(n // LEAF_ROWS, len(sample) // SAMPLE_PER_LEAF))
-    tree = Tree(tree.augmented(sample), -(-len(sample) // leaves), norm)
-    shared = spark.sparkContext.broadcast(tree)  # at most SAMPLE / SAMPLE_PER_LEAF leaves
-
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            leaf = shared.value.leaf_of(matrix(batch.column(1))) if len(batch) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], names=["vec_id", "v", "leaf"])
-
-    index = stage(rows.mapInArrow(put, "vec_id long, v array<double>, leaf long"), "index")
+    tree, index = indexed(rows, n, norm)
     free(rows)
+    shared = spark.sparkContext.broadcast(tree)  # at most MOST_LEAVES leaves
     most = _calibrated(index, asked, tree, k, recall)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,6 +261,54 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     return placed.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def indexed(rows: DataFrame, n: int, norm: float) -> tuple[Tree, DataFrame]:
+    """The tree over rows (vec_id, v), n of them, and each row's leaf: (vec_id, v, leaf), staged."""
+    sample = matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()["v"])
+    tree = Tree(np.zeros((1, sample.shape[1] + 1)), 1, norm)
+    leaves = max(1, min(n // LEAF_ROWS, len(sample) // SAMPLE_PER_LEAF))
+    tree = Tree(tree.augmented(sample), -(-len(sample) // leaves), norm)
+    settled: set[bytes] = set()  # leaves of equal vectors, by their centres: they do not split
+    while True:
+        shared = rows.sparkSession.sparkContext.broadcast(tree)
+
+        def put(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                leaf = shared.value.leaf_of(matrix(batch.column(1))) if len(batch) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], names=["vec_id", "v", "leaf"])
+
+        index = stage(rows.mapInArrow(put, "vec_id long, v array<double>, leaf long"), "index")
+        below = _split_leaves(index, tree, settled)
+        if not below:
+            return tree, index
+        free(index)
+        tree.graft(below)
+
+
+def _split_leaves(index: DataFrame, tree: Tree, settled: set[bytes]) -> dict[int, Node]:
+    """Subtrees for the leaves that hold GROWN * LEAF_ROWS rows or more, each fitted in a task on LEAF_SAMPLE of its rows."""
+    sizes = index.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= GROWN * LEAF_ROWS)
+    many = [r for r in sizes.collect() if tree.centre_of(r["leaf"]) not in settled]  # a row for each leaf at most
+    room = MOST_LEAVES - tree.leaves
+    many = sorted(many, key=lambda r: (-r["n"], r["leaf"]))[: max(0, room // (LEAF_SAMPLE // SAMPLE_PER_LEAF))]
+    if not many:
+        return {}
+    wanted = F.broadcast(index.sparkSession.createDataFrame([(r["leaf"], r["n"]) for r in many], "leaf long, n long"))
+    nth = F.row_number().over(W.partitionBy("leaf").orderBy(F.xxhash64("vec_id"), "vec_id"))
+    some = index.join(wanted, "leaf").withColumn("nth", nth).where(F.col("nth") <= LEAF_SAMPLE)
+    norm = tree.norm
+
+    def grow(key: tuple, part: pa.Table) -> pa.Table:
+        x, n = matrix(part["v"]), part["n"][0].as_py()
+        plain = Tree(np.zeros((1, x.shape[1] + 1)), 1, norm)
+        leaves = max(2, min(n // LEAF_ROWS, len(x) // SAMPLE_PER_LEAF))
+        grown = Tree(plain.augmented(x), -(-len(x) // leaves), norm)
+        return pa.table({"leaf": pa.array([key[0].as_py()], pa.int64()), "root": pa.array([pickle.dumps(grown.root)], pa.binary())})
+
+    got = {r["leaf"]: pickle.loads(r["root"]) for r in some.groupBy("leaf").applyInArrow(grow, "leaf long, root binary").collect()}  # nodes of at most MOST_LEAVES leaves
+    settled.update(tree.centre_of(leaf) for leaf, root in got.items() if not root.children)
+    return {leaf: root for leaf, root in got.items() if root.children}
+
+
 def _calibrated(index: DataFrame, asked: DataFrame, tree: Tree, k: int, recall: float) -> int:
     """Leaves to visit: the least number by which the calibration queries find `recall` of their true neighbours."""
     got = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CALIBRATION_QUERIES).toArrow()
@@ -257,5 +332,6 @@ def _calibrated(index: DataFrame, asked: DataFrame, tree: Tree, k: int, recall:
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every row whose vec_id 20 divides; nulls, odd vectors, ties and repeats as in search()."""
     vectors = table(spark, sf_dir, "embeddings")
     return search(vectors, vectors.where("vec_id % 20 = 0"))

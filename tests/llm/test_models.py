@@ -79,14 +79,15 @@ def test_nearest_neighbours_reach_the_recall(spark):
     rows += [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] * 16), (5003, [None] + [1.0] * 15), (None, [1.0] * 16), (5004, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("clash"))
     got = ann.search(df, df.where("vec_id % 50 = 0"), k=20).toPandas()
-    x = x.astype("float32").astype(float)
+    x = np.vstack([x.astype("float32").astype(float), np.eye(1, 16)])  # the vector of one place, filled with zeros
+    ids = np.array([*range(3000), 5004])
     found = 0
     for q in range(0, 3000, 50):
         s = (x * x[q]).sum(axis=1)
         s[q] = -np.inf
-        want = np.lexsort((np.arange(3000), -s))[:20]
+        want = ids[np.lexsort((ids, -s))[:20]]
         own = got[got.query_id == q].sort_values("rank")
-        assert own["rank"].tolist() == list(range(1, 21)) and own["score"].tolist() == s[own["vec_id"]].tolist()
+        assert own["rank"].tolist() == list(range(1, 21)) and own["score"].tolist() == s[np.searchsorted(ids, own["vec_id"])].tolist()
         found += len(set(want) & set(own["vec_id"]))
         if q < 400:
             assert own["vec_id"].tolist() == want.tolist()
@@ -94,6 +95,26 @@ def test_nearest_neighbours_reach_the_recall(spark):
     assert ann.search(df.where("vec_id < 0"), df).count() == 0
 
 
+def test_leaves_stay_small_as_the_table_grows(spark, monkeypatch):
+    for name, value in {"SAMPLE": 300, "SAMPLE_PER_LEAF": 6, "LEAF_ROWS": 12, "GROWN": 3, "LEAF_SAMPLE": 120}.items():
+        monkeypatch.setattr(ann, name, value)
+    r = np.random.default_rng(9)
+    x = r.normal(size=(4000, 12)) + 4 * r.normal(size=(40, 12))[r.integers(0, 40, 4000)]
+    x[:300] = x[0]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = ann.usable(df).where("vec_id >= 280")
+    tree, index = ann.indexed(rows, rows.count(), float(np.sqrt((x**2).sum(axis=1)).max()))
+    sizes = [n for _, n in index.groupBy("leaf").count().collect()]
+    assert tree.leaves > 50 * 3 and sorted(sizes)[-2] < 3 * 12 and sum(sizes) == 3720
+    got = ann.search(df, df.where("vec_id % 40 = 0"), k=10).toPandas()
+    found = 0
+    for q in range(0, 4000, 40):
+        s = (x * x[q]).sum(axis=1)
+        s[q] = -np.inf
+        found += len(set(np.lexsort((np.arange(4000), -s))[:10]) & set(got[got.query_id == q]["vec_id"]))
+    assert found / 1000 >= 0.9
+
+
 def test_all_candidates_if_fewer(spark):
     df = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(5)], "vec_id long, embedding array<float>")
     got = ann.search(df, df.where("vec_id = 2")).orderBy("rank").collect()
