@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import HOT_KEYS, HOT_ROWS, join_counted, stage, table
 from .token_store import mixed
 
 WINDOW = 400
@@ -145,27 +145,53 @@ def _suffixes(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "after long, rank long, key long, at long, phrase long, count long")
 
 
+def _found_again(occurrences: DataFrame, again: DataFrame) -> DataFrame:
+    """The occurrences whose text after the trigger is in again (after, count). Texts of many occurrences are known by a broadcast; their
+    rows are dealt by keys of their own, so that the join gathers none of them."""
+    total = again.agg(F.sum("count")).first()[0] or 0
+    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot = F.broadcast(again.where(F.col("count") >= least).select("after", F.lit(True).alias("_hot")))  # HOT_KEYS at most
+    rest = again.where(F.col("count") < least).select(F.col("after").alias("_k"), F.lit(True).alias("_cold"))
+    known = occurrences.join(hot, "after", "left").withColumn("_k", F.when(F.col("_hot"), F.xxhash64("key", "place")).otherwise(F.col("after")))
+    return known.join(rest, "_k", "left").where("_hot or _cold").select("key", "after", "whole", "place")
+
+
+def _shared_windows(docs: DataFrame, entries: DataFrame, hot: bool = False) -> DataFrame:
+    """(key, phrase, at): the windows of entries found once that are windows of other entries too.
+
+    Equal neighbours in the order of (text after the trigger, rank). hot: many entries may share a text after the trigger, so counts add up before
+    a shuffle and the windows are joined to them; else a group is a few entries' windows.
+    """
+    by_text = entries.groupBy("key").agg(F.collect_list(F.struct("after", "place", F.least("count", F.lit(2)).alias("count"))).alias("entries"))  # of one document
+    by_text = stage(by_text, "open-texts")
+    texts = docs.where(F.octet_length("text") >= WINDOW).select(row_key(), "text").join(by_text.select("key"), "key", "left_semi")
+    suffixes = _suffixes(texts.dropDuplicates(["key"]).join(by_text, "key").select("key", "text", "entries"))
+    if not hot:
+        return suffixes.withColumn("n", F.sum("count").over(W.partitionBy("after", "rank"))).where("n > 1 and count = 1").select("key", "phrase", "at")
+    suffixes = stage(suffixes, "hot-windows")
+    n = suffixes.groupBy("after", "rank").agg(F.sum("count").alias("n"), F.count("*").alias("rows")).where("n > 1")
+    return join_counted(suffixes.where("count = 1"), stage(n, "hot-ranks"), ["after", "rank"], "rows").select("key", "phrase", "at")
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(key, spans): for rows by row_key() the parts [start, end) of bytes covered by windows that are elsewhere too, not merged."""
-    again = parse(docs, only_after=True).groupBy("after").count().where("count > 1").select("after")
-    again = stage(again, "again")
-    occurrences = stage(parse(docs, only_after=False).join(again, "after", "left_semi"), "occurrences")
+    again = stage(parse(docs, only_after=True).groupBy("after").count().where("count > 1"), "again")
+    occurrences = stage(_found_again(parse(docs, only_after=False), again), "occurrences")
     dictionary = occurrences.groupBy("after", "whole").agg(F.count("*").alias("count"), F.min(F.struct("key", "place")).alias("of"))
     dictionary = stage(dictionary.select("after", "whole", "count", "of.*"), "dictionary")
 
     first, starts = F.shiftright("place", 20), F.shiftright("place", 10).bitwiseAND(1023)
-    several = dictionary.where("count > 1").select("after", "whole")
-    whole = occurrences.join(several, ["after", "whole"]).select("key", first.alias("start"), (first + starts + WINDOW - 1).alias("end"))
+    several = dictionary.where("count > 1").select("after", "whole", F.col("count").alias("n"))
+    whole = join_counted(occurrences, several, ["after", "whole"]).select("key", first.alias("start"), (first + starts + WINDOW - 1).alias("end"))
 
     # Entries found once, and the entries they may share windows with: each once, however often it occurs.
     by_after = dictionary.groupBy("after").agg(F.count("*").alias("entries"), F.min("count").alias("least")).where("entries > 1 and least = 1")
-    open_ = dictionary.join(by_after.select("after"), "after", "left_semi")
-    by_text = open_.groupBy("key").agg(F.collect_list(F.struct("after", "place", F.least("count", F.lit(2)).alias("count"))).alias("entries"))
-    by_text = stage(by_text, "open")
-    texts = docs.where(F.octet_length("text") >= WINDOW).select(row_key(), "text")
-    suffixes = _suffixes(texts.join(by_text, "key").select("key", "text", "entries"))
-    same = F.sum("count").over(W.partitionBy("after", "rank"))
-    shared = suffixes.withColumn("n", same).where("n > 1 and count = 1")
+    open_ = stage(join_counted(dictionary, stage(by_after, "by-after"), ["after"], "entries"), "open")
+    few = F.col("entries") < HOT_ROWS
+    shared = _shared_windows(docs, open_.where(few))
+    many = open_.where(~few)
+    if not many.isEmpty():
+        shared = shared.unionByName(_shared_windows(docs, many, hot=True))
     parts = shared.groupBy("key", "phrase").agg(F.min("at").alias("start"), (F.max("at") + WINDOW).alias("end"))
     spans = whole.union(parts.select("key", "start", "end"))
     return stage(spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
@@ -218,5 +244,6 @@ def without_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
+    """Repeated strings of all documents; nulls, empty and long texts, ties and repeats as in without_repeats()."""
     got = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
