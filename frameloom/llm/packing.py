@@ -126,9 +126,11 @@ def public_tokenizer(name: str) -> str:
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
+    """Pieces of all documents; nulls, empty and long texts, ties and repeats as in pieces_of() and pack()."""
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"), end_id=1)
 
 
 def stage_pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the pieces of the documents with their places."""
+    """Pipeline stage, the last: the pieces of the documents with their places. Nulls, empty and long texts, ties, repeats, empty tables
+    and other columns as in pieces_of() and pack()."""
     return pack_documents(docs, public_tokenizer("byte_bpe_50k.json"), end_id=1)

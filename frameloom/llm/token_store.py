@@ -250,6 +250,7 @@ class TokenStore:
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
+    """The ids of all documents, written and read back; nulls, empty and long texts, ties and repeats as in TokenStore.write()."""
     docs = table(spark, sf_dir, "documents")
     store = TokenStore.write(docs, new_path(spark, "store"), public_tokenizer("word_bpe_49k.json"), end_id=2)
     got = store.read(store.locate(docs), digest=True).join(store.shards, "shard")

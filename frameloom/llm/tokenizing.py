@@ -4,12 +4,14 @@ A text is cut where white space follows other characters. In both vocabularies n
 the ids of the pieces, joined, are the ids of the text. Pieces recur, so most cost one dictionary lookup. The
 pieces that are new go to the vocabulary's own BPE model after the pre-tokenisation that its file states; anything
 outside Latin script goes through the whole tokenizer instead, as does a whole text with the string of an added token in it:
-by the file's defaults that is the token's single id.
+by the file's defaults that is the token's single id. A vocabulary of another pre-tokenisation than these two goes through the
+whole tokenizer, text by text.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 from array import array
@@ -24,6 +26,16 @@ _ODD = ("  ", "\n\n", " \n", "\n ", *"\t\x0b\f\r")
 _ODD_WIDE = tuple(c for c in _W if not c.isascii())
 #: Characters from here on take the whole tokenizer (normal forms and case have special rules there).
 _BEYOND = "ɐ"
+#: Normalisation and pre-tokenisation of the vocabularies whose words are cached (fixed values, as their files state them).
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+_CUT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_FORMS = (
+    (None, _BYTES | {"use_regex": True}),
+    (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [_CUT, _BYTES | {"use_regex": False}]},
+    ),
+)
 #: Words kept by a worker, about 200 bytes each.
 CACHE_WORDS = 700_000
 
@@ -67,6 +79,8 @@ class Ids:
         self.model = self.whole.model
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
+        file = json.loads(self.whole.to_str())
+        self.known = (file["normalizer"], file["pre_tokenizer"]) in _FORMS and file["model"]["type"] == "BPE"
         self.spaced = self.whole.normalizer is None  # the byte-level vocabulary keeps white space and case
         self.letters = _byte_letters()
         # The pre-tokenisation that each vocabulary's file states (fixed patterns).
@@ -116,7 +130,7 @@ class Ids:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.lead in text and self.added.search(text):  # an added token may take white space or end a word
+        if not self.known or (self.lead in text and self.added.search(text)):  # an added token may take white space or end a word
             return self._whole(text)
         odd = any(x in text for x in _ODD) or (not text.isascii() and any(x in text for x in _ODD_WIDE))
         if odd or text[0] in " \n" or text[-1] in " \n":
