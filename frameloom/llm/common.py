@@ -86,6 +86,12 @@ def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], n: str = "n")
     return cold.unionByName(rows.join(hot, on).select(*cold.columns))
 
 
+def set_aside(docs: DataFrame, *read: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with the columns that an operator doesn't read under names that clash with nothing; and the name that each column has there."""
+    names = {c: c if c in read else f"_aside_{k}" for k, c in enumerate(docs.columns)}
+    return docs.withColumnsRenamed({c: n for c, n in names.items() if c != n}), names
+
+
 def freed_name(df: DataFrame, want: str) -> str:
     """want, with underscores before it until df has no such column: for helper columns beside a caller's own."""
     names = {c.lower() for c in df.columns}

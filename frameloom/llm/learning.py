@@ -13,15 +13,16 @@ def remainder(of: int, column: str = "doc_id") -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, rows: int) -> DataFrame:
-    """At most `rows` labelled documents outside the held-out part: (doc_id, text, label).
+    """At most `rows` labelled documents outside the held-out part, a row each: (doc_id, text, label).
 
-    The rows with the least hashes of doc_id are taken, so reruns agree. Rows without a label or doc_id take no
-    part; of several labels the largest counts.
+    Those with the least hashes of doc_id are taken, so reruns agree. Rows without a label or doc_id take no
+    part; of several labels the largest counts, of several texts of a doc_id the least.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most `rows` pairs of numbers
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most `rows` pairs of numbers
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

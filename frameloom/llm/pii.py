@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from .common import size_bounded, stage, table
+from .common import set_aside, size_bounded, stage, table
 
 KINDS = ("email", "ip", "card", "phone")
 DISCLOSURE, CHANCE = 0.8, 0.01
@@ -314,15 +314,20 @@ def sha256(text: str) -> str:
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
+    """Spans of all documents; nulls, empty and long texts and repeats as in protect()."""
     got = protect(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     return got.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("_base_spans", 256).alias("base_sha256"), F.col("_spans").alias("spans"))
 
 
 def stage_pii(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents with personal data and what discloses it replaced; n_chars follows the text."""
-    names = docs.columns
-    got = protect(docs)
+    """Pipeline stage: the documents with personal data and what discloses it replaced; n_chars follows the text.
+
+    Null and empty texts stay as they are. Null doc_id, ties and repeated rows: each row on its own. Very long texts: whole. Empty table: empty
+    result. All columns pass through, whatever their names.
+    """
+    inner, names = set_aside(docs, "text")
+    got = protect(inner)
+    out = {c: F.col(n) for c, n in names.items()}
     if "n_chars" in names:
-        kind = docs.schema["n_chars"].dataType
-        got = got.withColumn("n_chars", F.when(F.col("_spans") == "", F.col("n_chars")).otherwise(F.char_length("text").cast(kind)))
-    return got.select(*names)
+        out["n_chars"] = F.when(F.col("_spans") == "", out["n_chars"]).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return got.select(*(x.alias(c) for c, x in out.items()))

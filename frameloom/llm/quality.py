@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +17,8 @@ from .learning import labelled, remainder, sigmoid
 #: Labelled documents that the network is fitted on, at most.
 SAMPLE = 2000
 EPOCHS = 8
+#: Bytes of their texts together, at most, and bytes of one text that is learned from.
+SAMPLE_BYTES, TEXT_BYTES = 64 << 20, 4 << 20
 THRESHOLD = 0.3
 #: Bytes of a chunk, and from one chunk's start to the next.
 CHUNK, STEP = 256, 192
@@ -135,8 +138,14 @@ class ByteNet:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> ByteNet:
-    """Fit on labelled documents outside the held-out fifth: the driver gets `rows` whole texts."""
-    sample = labelled(docs, labels, "quality", F.coalesce(remainder(5) == 0, F.lit(True)), rows).toArrow()
+    """Fit on labelled documents outside the held-out fifth: the driver gets `rows` whole texts of SAMPLE_BYTES together at most.
+
+    Texts beyond TEXT_BYTES are not learned from (they are scored like others).
+    """
+    sample = labelled(docs, labels, "quality", F.coalesce(remainder(5) == 0, F.lit(True)), rows)
+    sample = sample.withColumn("_n", F.coalesce(F.octet_length("text"), F.lit(0))).where(F.col("_n") <= TEXT_BYTES)
+    before = F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0))  # `rows` rows at most
+    sample = sample.withColumn("_upto", before).where(F.col("_upto") <= SAMPLE_BYTES).select("doc_id", "text", "label").toArrow()
     sample = sample.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return ByteNet().fit(sample["text"].to_pylist(), sample["label"].to_numpy())
 
@@ -154,6 +163,7 @@ def score(docs: DataFrame, model: ByteNet) -> DataFrame:
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
+    """Scores of all documents; nulls and empty texts as in score(), a row each; null doc_id: not held out, never learned from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
     held_out = F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out")

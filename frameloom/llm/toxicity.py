@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free, stage, table
+from .common import free, set_aside, stage, table
 from .learning import BoostedTrees, Isotonic, labelled, remainder
 
 #: Labelled documents that the classifier is fitted on, at most.
@@ -152,6 +152,7 @@ def score(docs: DataFrame, model: Toxicity) -> DataFrame:
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
+    """Scores of all documents; nulls and empty texts as in score(), a row each; null doc_id: not held out, never learned from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
     held_out = F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out")
@@ -159,7 +160,11 @@ def op5(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_toxicity(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that are not toxic."""
-    names = docs.columns
-    kept = score(docs, train(docs, table(spark, sf_dir, "labels")))
-    return kept.where(F.col("_score") < THRESHOLD).select(*names)
+    """Pipeline stage: the documents that are not toxic.
+
+    Null and empty texts have the score of a text without features. Null doc_id: never labelled. Ties and repeated rows: each row on its own. Very
+    long texts: whole. Empty table: empty result. All columns pass through, whatever their names.
+    """
+    inner, names = set_aside(docs, "text")
+    kept = score(inner, train(docs, table(spark, sf_dir, "labels"))).where(F.col("_score") < THRESHOLD)
+    return kept.select(*(F.col(n).alias(c) for c, n in names.items()))
