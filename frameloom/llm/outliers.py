@@ -96,7 +96,7 @@ def resolution() -> list[Column]:
     """What one count more is worth in each transformed statistic of a row: a word, a mean's sampling error, a symbol, a line, four words in repeated windows.
 
     Most texts have no symbol or repeated line at all, so that the scatter of H is none; in the mean square over the rows of a
-    group this is the least variance, which follows the group's lengths.
+    group this adds to the variance, and follows the group's lengths.
     """
     n, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
     return [1 / n, 1 / F.sqrt(n), F.log1p(1000 / chars), F.log1p(20 / n), F.asin(F.sqrt(F.least(F.lit(1.0), 4 / n)))]
@@ -174,11 +174,14 @@ def _distance() -> Column:
 
 
 def scatter(mean: np.ndarray, cov: np.ndarray, floor: np.ndarray, rows: int, h: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """(mean, inverse, log determinant) of the scatter of the h nearest of normal rows, made that of all, with the least variances."""
+    """(mean, inverse, log determinant) of the scatter of the h nearest of normal rows, made that of all.
+
+    floor, the variance that counting in whole units has, adds to it: so rows on a line or copies of one have a proper scatter too.
+    """
     part = h / rows
     if part < 1:
         cov = cov * part / chi2_cdf(chi2_at(part, P), P + 2)
-    cov = cov + np.diag(np.maximum(0.0, floor - np.diag(cov)))
+    cov = cov + np.diag(floor)
     return mean, np.linalg.inv(cov), float(np.linalg.slogdet(cov)[1])
 
 
