@@ -9,7 +9,7 @@ are not yet linked with its least one's component; there a document takes 1 / th
 threshold has one common branch on average, however deep the recursion goes. What is small is compared exhaustively: members first
 by their signatures, then, those that have a partner, by their full sets. No candidate is dropped: a node at the last level is compared
 whatever its size, in blocks. Before that each document meets the least one of each of its nodes, which joins most
-of a group of near copies at a comparison each.
+of a group of near copies at a comparison each, and then one by hash, another in each node.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ CHANCE = 0.03
 #: Minwise tokens of a signature.
 VALUES = 128
 #: Members outside its least one's component up to which a node is compared, and levels of splitting below the first ones.
-SMALL, LEVELS = 64, 24
+SMALL, LEVELS = 1024, 24
 #: Members of a node that one comparison of signatures takes; of full sets; and shingles in one product.
 SIGNED, BLOCK, COLUMNS = 4096, 256, 8192
 #: Ids that a broadcast may hold (8 bytes each); above, the join shuffles.
@@ -293,7 +293,7 @@ def partnered(at: DataFrame, sigs: DataFrame, cut: int) -> DataFrame:
             of_y |= hit
         return pa.concat_tables([left.filter(pa.array(of_x)), right.filter(pa.array(of_y))]).drop_columns("sig")
 
-    return _blocks(at, SIGNED // 16, SIGNED).join(sigs, "id").select("key", "xb", "yb", "id", "comp", "left", "sig").groupBy("key", "xb", "yb").applyInArrow(run, _SIDES)
+    return _blocks(at, SIGNED, SIGNED).join(sigs, "id").select("key", "xb", "yb", "id", "comp", "left", "sig").groupBy("key", "xb", "yb").applyInArrow(run, _SIDES)
 
 
 def compared(sides: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -366,15 +366,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     reps = stage(reps.select("set", F.col("least.doc_id").alias("id"), F.col("least.sig").alias("sig"), "n"), "reps")
     sigs = reps.select("id", "sig")
     rows = paths(reps, trees, depth)
-    nodes = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("n")).where("pivot <> last").select("key", "pivot", "n")
-    met = stage(join_counted(rows, stage(nodes, "met-nodes"), ["key"]).select("key", "id", "pivot"), "met")  # only nodes where documents meet
+    nodes = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.min(F.struct(F.xxhash64("id", "key"), "id"))["id"].alias("other"), F.count("*").alias("n"))
+    nodes = nodes.where("pivot <> last").select("key", "pivot", "other", "n")
+    met = stage(join_counted(rows, stage(nodes, "met-nodes"), ["key"]).select("key", "id", "pivot", "other"), "met")  # only nodes where documents meet
 
     several = stage(usable.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("set").alias("low"), F.max("set").alias("high")).where("n > 1"), "several")
     # First each with the least document of each of its nodes, as far as their signatures agree.
     pairs = met.where("id <> pivot").select(F.col("id").alias("x"), F.col("pivot").alias("y")).distinct()
     near = stage(agreeing(stage(pairs, "star-pairs"), sigs, cut), "near")
     ids = met.select("id").distinct()
-    texts = texts_of(docs, near.select(F.col("x").alias("id")).union(near.select("y")).distinct(), several, size)
+    texts = texts_of(docs, _both(near), several, size)
     one = near.groupBy("x").agg(F.min("y").alias("y"))
     links = confirmed(one, texts, size, percent)
     if not several.isEmpty():
@@ -383,10 +384,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         ids = ids.union(same.select("a")).union(same.select("b")).distinct()
     ids = stage(ids, "linked-ids")
     comp = _merged(None, ids, stage(links, "links"))
-    x, y = (comp.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}")) for c in "xy")
-    rest = near.join(x, "x").join(y, "y").where("cx <> cy").select("x", "y")
-    comp = _merged(comp, ids, stage(confirmed(rest, texts, size, percent), "links"))
-    free(texts, near)
+    # Then with the others of its nodes that are least or chosen by hash, one of each component that is not its own.
+    rest = _apart(near, comp).unionByName(_apart(met.where("id <> other").select(F.col("id").alias("x"), F.col("other").alias("y")), comp))
+    rest = agreeing(stage(rest.groupBy("x", "cy").agg(F.min("y").alias("y")).select("x", "y"), "star-pairs"), sigs, cut)
+    rest = stage(rest, "near")
+    if not rest.isEmpty():
+        free(texts)
+        texts = texts_of(docs, _both(rest), several, size)
+        comp = _merged(comp, ids, stage(confirmed(rest, texts, size, percent), "links"))
+    free(texts, near, rest)
     # Then the members of different components in each node, large nodes split until they are small.
     at = stage(met.select("key", "id").join(comp, "id"), "nodes")
     sides = stage(partnered(small_nodes(at, sigs, threshold), sigs, cut), "partnered")
@@ -402,6 +408,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return linked.select("doc_id", "n_shingles", F.col("_root").alias("component_id")).unionByName(alone)
 
 
+def _both(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
+
+
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """(x, y, cy): the pairs of different components. Many x may have one y."""
+    x, y = (comp.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}")) for c in "xy")
+    pairs = stage(pairs.distinct(), "apart")
+    n = stage(pairs.groupBy("y").agg(F.count("*").alias("n")).join(y, "y"), "apart-y")
+    return join_counted(pairs, n, ["y"]).join(x, "x").where("cx <> cy").select("x", "y", "cy")
+
+
 def texts_of(docs: DataFrame, ids: DataFrame, several: DataFrame, size: int) -> DataFrame:
     """(id, z): the compressed texts of the documents in ids, staged; a doc_id with several texts has each of its sets once."""
     own = size_bounded(stage(ids, "text-ids"), BROADCAST_IDS)

@@ -265,7 +265,7 @@ def test_steps_over_all_rows_take_exactly_h(spark):
     groups = spark.createDataFrame([("g", floor.tolist(), 400)], "est string, floor array<double>, rows long")
     got = outliers._estimated(points, groups).first()
     want = outliers.determinant_of_sample(values, n, floor, 1)
-    assert got.h == 300 and got.logdet == pytest.approx(want[2], abs=1e-3)
+    assert got.h == 300 and got.logdet == pytest.approx(want[2], abs=1e-2)
     start = outliers.scatter(x.mean(axis=0), np.cov(x.T, bias=True), floor, 400, 400)
     params = spark.createDataFrame(outliers.pd.DataFrame(outliers._row("g", start, floor, 400, 300)), outliers._PARAMS)
     step = outliers._concentrated(points, params).first()
@@ -469,3 +469,147 @@ def test_clashing_columns_and_null_ids(spark):
     assert [df.count() for df in got] == [6] * 7
     assert packing.pack_documents(docs, packing.public_tokenizer("byte_bpe_50k.json"), 1).count() == 6
     assert got[0].where("n_removed > 0").count() == 2 and got[3].where("n_email = 1").count() == 1
+
+
+def test_unknown_vocabularies_take_the_whole_tokenizer(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.BPE({"a": 0, "b": 1, "ab": 2, "[": 3}, [("a", "b")], unk_token="["))
+    t.pre_tokenizer = pre_tokenizers.Whitespace()
+    t.save(str(tmp_path / "own.json"))
+    own = Ids(str(tmp_path / "own.json"))
+    assert np.frombuffer(own.encode("ab b  a x"), own.dtype).tolist() == t.encode("ab b  a x", add_special_tokens=False).ids
+
+
+def test_windows_of_many_entries_are_shared(spark, monkeypatch):
+    """A passage amid different texts, often enough that its phrases are hot, against brute force."""
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 3)
+    r = random.Random(11)
+    passage = made_up(r, 160)
+    texts = [made_up(r, r.randint(5, 40)) + passage[r.randint(0, 90) :] + made_up(r, r.randint(5, 60)) for _ in range(25)] + [made_up(r, 400) for _ in range(5)] + [passage] * 4
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.without_repeats(table(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == removed([t.encode() for t in texts])
+
+
+@pytest.fixture(scope="module")
+def ten(spark, tmp_path_factory, texts):
+    """Tables with nulls, empty texts, repeats, a long text and columns of clashing names, and the queries over them."""
+    from frameloom.llm import entry
+
+    where = str(tmp_path_factory.mktemp("tables"))
+    r = random.Random(21)
+    long = made_up(r, 30_000)
+    body = [*texts, "write to a.b@mail.example.com or 10.1.2.3 " + made_up(r, 80), "card 4539 5787 6362 1486, +1 (555) 010-9999", long, long, texts[-1]]
+    ids = [*range(len(body) - 3), None, 7, 7]
+    docs = table(spark, body, ids).withColumn("_row", F.lit("clash")).withColumn("score", F.lit(1)).withColumn("key", F.lit("clash"))
+    docs.write.parquet(f"{where}/documents.parquet")
+    spark.createDataFrame([(k, k % 2, k % 2) for k in range(len(body))] + [(None, 1, None), (3, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    vectors = [(k, np.random.default_rng(k).normal(size=8).tolist(), 0) for k in range(90)] + [(90, None, 1), (None, [1.0] * 8, 1), (91, [0.0] * 8, 1), (5, [2.0] * 8, 1)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>, rank int").write.parquet(f"{where}/embeddings.parquet")
+    return where, docs.collect(), {q.partition("_")[0]: f for q, f in entry.QUERIES.items()}
+
+
+def key_of(row):
+    return tuple((x is None, x if x is not None else 0) for x in row)
+
+
+def test_queries_of_texts_by_brute_force(spark, ten):
+    where, docs, ops = ten
+    body = [(d.doc_id, d.text) for d in docs]
+    got = ops["op4"](spark, where).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(got, key=key_of) == sorted([(i, *x) for (i, _), x in zip(body, removed([(t or "").encode() for _, t in body]), strict=True)], key=key_of)
+    got = ops["op3"](spark, where).collect()
+    want = [(i, *(c := outliers.counts(t)), c[0] < 50 or 100 * c[4] > 50 * c[0]) for i, t in body]
+    assert sorted([tuple(x)[:7] for x in got], key=key_of) == sorted(want, key=key_of) and not any(x.kept for x in got if x.base_failed)
+    got = ops["op7"](spark, where).collect()
+    want = []
+    for i, t in body:
+        spans = plain_spans(t or "")
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        want.append((i, *(sum(k == x for k, _, _ in spans) for x in pii.KINDS), hashlib.sha256(joined.encode()).hexdigest()))
+    assert sorted([tuple(x)[:6] for x in got], key=key_of) == sorted(want, key=key_of)
+    for x in got:
+        assert hashlib.sha256(",".join(s for s in x.spans.split(",") if s and not s.startswith("term:")).encode()).hexdigest() == x.base_sha256
+
+
+def test_query_of_near_duplicates_by_brute_force(spark, ten):
+    where, docs, ops = ten
+    got = ops["op6"](spark, where).collect()
+    own = [d for d in docs if d.doc_id is not None]
+    sets = components([d.text for d in own], 2, 80)
+    up = {d.doc_id: d.doc_id for d in own}
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for k, d in enumerate(own):  # what a text is linked to, its doc_id is
+        a, b = root(d.doc_id), root(own[sets[k][1]].doc_id)
+        up[max(a, b)] = min(a, b)
+    want = [(d.doc_id, sets[k][0], root(d.doc_id), root(d.doc_id) == d.doc_id) for k, d in enumerate(own)]
+    assert sorted([tuple(x)[:4] for x in got if x.doc_id is not None]) == sorted(want)
+    assert [(x.component_id, x.kept) for x in got if x.doc_id is None] == [(None, True)]
+
+
+def test_queries_of_ids_by_the_library(spark, ten):
+    from tokenizers import Tokenizer
+
+    where, docs, ops = ten
+    whole = Tokenizer.from_file(packing.public_tokenizer("byte_bpe_50k.json"))
+    pieces = ops["op8"](spark, where).collect()
+    want = []
+    for d in docs:
+        ids = np.array([*whole.encode(d.text or "", add_special_tokens=False).ids, 1], "<u4")
+        want += [(d.doc_id, at, min(2048, len(ids) - at), zlib.crc32(ids[at : at + 2048]), len(ids)) for at in range(0, len(ids), 2048)]
+    assert sorted([tuple(x)[:5] for x in pieces], key=key_of) == sorted(want, key=key_of)
+    for s in {x.sequence_id for x in pieces}:
+        at = 0
+        for x in sorted((x for x in pieces if x.sequence_id == s), key=lambda x: x.offset):
+            assert x.offset == at
+            at += x.length
+        assert at <= 2048
+    whole = Tokenizer.from_file(packing.public_tokenizer("word_bpe_49k.json"))
+    start, want = 0, []
+    for d in sorted(docs, key=lambda d: (d.doc_id is not None, d.doc_id or 0, d.text is not None, d.text or "")):
+        ids = np.array([*whole.encode(d.text or "", add_special_tokens=False).ids, 2], "<u4")
+        want.append((d.doc_id, start, len(ids), zlib.crc32(ids)))
+        start += len(ids)
+    assert sorted(map(tuple, ops["op10"](spark, where).collect()), key=lambda x: x[1]) == want
+
+
+def test_queries_of_models_and_vectors(spark, ten):
+    where, docs, ops = ten
+    for op, of, out, cut in (("op5", 3, 1, 0.7), ("op9", 5, 0, 0.3)):
+        got = ops[op](spark, where).collect()
+        assert len(got) == len(docs)
+        for x in got:
+            assert x.held_out == (x.doc_id is not None and zlib.crc32(str(x.doc_id).encode()) % of == out)
+            assert 0 <= x.score <= 1 and x.predicted == int(x.score >= cut)
+    got = sorted(map(tuple, ops["op1"](spark, where).select("query_id", "rank", "vec_id", "score").collect()))
+    v = {k: [np.random.default_rng(k).normal(size=8)] for k in range(90)}
+    v[5].append(np.full(8, 2.0))
+    found = 0
+    for q in range(0, 90, 20):
+        scores = {k: max(float((x * v[q][0]).sum()) for x in own) for k, own in v.items() if k != q}
+        want = sorted(scores, key=lambda k: (-scores[k], k))[:20]
+        own = [x for x in got if x[0] == q]
+        assert [x[1] for x in own] == list(range(1, 21)) and all(x[3] == pytest.approx(scores[x[2]]) for x in own)
+        found += len({x[2] for x in own} & set(want))
+    assert found >= 90
+    mixed = ops["op2"](spark, where).collect()
+    assert len(mixed) == len(docs) and all(0 <= x.taken <= 3 * x.size for x in mixed)
+
+
+def test_stages_pass_clashing_columns(spark, ten):
+    import corpus_pipeline
+
+    where, rows, _ = ten
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    names = ["_score", "_spans", "_base", "_run", "_src", "term", "id", "label", "_copies", "component_id"]
+    docs = docs.withColumns({c: F.lit("clash") for c in names})
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        got = corpus_pipeline.stage(step(spark, docs, where), f"clash-{name}")
+        assert got.columns == docs.columns and got.where(" or ".join(f"`{c}` <> 'clash'" for c in [*names, "_row", "key"])).count() == 0
+        assert got.where("doc_id is null").count() <= 3 and step(spark, docs.limit(0), where).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, where).count() >= len(rows)
