@@ -9,15 +9,22 @@ Dictionary. Phrases that are equal are one entry with a count, so highly repetit
 one copy of itself. An entry found twice has all its windows elsewhere. Other entries matter only where the
 text after the trigger, which is part of each of their windows, is found in other entries too.
 
-Order. In the suffix array of the corpus equal windows are neighbours, and only that is asked of it here. Suffixes
-of dictionary entries are therefore ranked by fingerprints of their first WINDOW bytes: equal ranks for equal
-windows, with the entries' counts as multiplicities, by a distributed grouping and not a sort of all suffixes.
+Order of the parse. The suffixes of the parse are the texts that begin at triggers. They are range-sorted by their bytes, as many as a window
+that holds the trigger can reach; what a suffix shares with its neighbours is the most that it shares with any other.
+
+Order of the dictionary. All suffixes of an entry that hold its trigger end their own part there, so the entries are sorted once by the
+bytes before the trigger, read backwards, and what neighbours share gives the order of all these suffixes.
+
+Corpus order. A window is a suffix of an entry, of some bytes before the trigger, followed by a suffix of the parse. It can be elsewhere
+only if both of its parts are within what the two orders share; for most entries that leaves no window. Those that are
+left have equal neighbours in the order of (part before, part after), found by grouping fingerprints of the two parts.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, HOT_ROWS, join_counted, stage, table
+from .common import HOT_KEYS, HOT_ROWS, free, join_counted, stage, table
 from .token_store import mixed
 
 WINDOW = 400
@@ -124,25 +131,98 @@ def parse(docs: DataFrame, only_after: bool) -> DataFrame:
     return docs.where(F.octet_length("text") >= WINDOW).select(row_key(), "text").mapInArrow(run, schema)
 
 
-def _suffixes(texts: DataFrame) -> DataFrame:
-    """(after, rank, key, at, phrase, count): every window of the entries in texts (text, key, entries), by the fingerprint of its bytes."""
+def _pieces(texts: DataFrame) -> DataFrame:
+    """One row for each entry in texts (text, key, entries): before, the bytes before its trigger read backwards, and suffix, those from the trigger on."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            out = []
             for key, text, entries in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                data = _bytes(text)
-                hashes = Hashes(data, 1)
+                data = _bytes(text).tobytes()
                 for e in entries:
                     first, starts, lead = e["place"] >> 20, e["place"] >> 10 & 1023, e["place"] & 1023
-                    at = np.arange(first, first + starts)
-                    rank = mixed(hashes.of(at, at + WINDOW) ^ (first + lead - at).astype(np.uint64), 8).view(np.int64)
-                    n = np.full(starts, 1)
-                    out.append((n * e["after"], rank, n * key, at, n * first, n * e["count"]))
-            columns = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.zeros(0, np.int64)] * 6
+                    at = first + lead
+                    yield e["after"], data[first:at][::-1], data[at : first + starts + WINDOW - 1], key, e["place"], e["count"], e["many"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+        names = ["after", "before", "suffix", "key", "place", "count", "many"]
+        every = rows(batches)
+        while part := list(islice(every, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
+
+    return texts.mapInArrow(run, "after long, before binary, suffix binary, key long, place long, count int, many boolean")
+
+
+def _strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all strings, offset of each and of the end)."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def shared_prefixes(column: pa.Array) -> np.ndarray:
+    """How many first bytes each string shares with the next one."""
+    data, offsets = _strings(column)
+    lengths = np.diff(offsets)
+    least = np.minimum(lengths[1:], lengths[:-1])
+    places = np.arange(int(least.max(initial=0)) + 1)
+    padded = np.append(data, np.zeros(len(places), np.uint8))
+    own = padded[offsets[:-1, None] + places]
+    return np.argmin((own[1:] == own[:-1]) & (places < least[:, None]), axis=1)
+
+
+def _beside(rows: DataFrame, order: list[str], by: str, name: str, within: str | None = None) -> DataFrame:
+    """rows in a global order, with the most first bytes of column by that a row shares with a neighbour; -1 where none has an equal within.
+
+    The first and last row of a partition have a neighbour elsewhere, and get the length of by: the most it can be.
+    """
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given(part: pa.Table, most: np.ndarray) -> Iterator[pa.RecordBatch]:
+            yield from part.append_column(name, pa.array(most, pa.int32())).to_batches()
+
+        held, up = None, 0  # the last row so far, and what it shares with the row before
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            part = pa.Table.from_batches([batch])
+            if held is None:
+                up = len(part[by][0].as_py())
+            else:
+                part = pa.concat_tables([held, part]).combine_chunks()
+            shared = shared_prefixes(part[by].combine_chunks())
+            if within:
+                group = part[within].to_numpy()
+                shared = np.where(group[1:] == group[:-1], shared, -1)
+            before = np.append(up, shared)
+            yield from given(part.slice(0, len(shared)), np.maximum(before[:-1], shared))
+            held, up = part.slice(len(shared)), before[-1]
+        if held is not None:
+            yield from given(held, np.array([len(held[by][0].as_py())]))
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{schema}, {name} int")
+
+
+def _windows(entries: DataFrame) -> DataFrame:
+    """(after, rank, key, at, phrase, count): the windows of entries within what both orders share; equal (after, rank) for equal bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            after, key, place, count, reach, back = (batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("after", "key", "place", "count", "reach", "back"))
+            (before, b), (tail, t) = (_strings(batch.column(batch.schema.get_field_index(c))) for c in ("before", "tail"))
+            first, starts, lead = place >> 20, place >> 10 & 1023, place & 1023
+            low, high = np.maximum(0, lead - back), np.minimum(starts, reach - WINDOW + lead + 1)
+            n = np.maximum(0, high - low)
+            e = np.repeat(np.arange(len(n)), n)
+            j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[e]
+            ahead = lead[e] - j  # bytes of the window before the trigger
+            one, two = Hashes(before, 0).of(b[e], b[e] + ahead), Hashes(tail, 1).of(t[e], t[e] + SPREAD - 1 - ahead)
+            rank = mixed(mixed(one + ahead.astype(np.uint64), 9) ^ two, 8).view(np.int64)
+            columns = [after[e], rank, key[e], first[e] + j, first[e], count[e]]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["after", "rank", "key", "at", "phrase", "count"])
 
-    return texts.mapInArrow(run, "after long, rank long, key long, at long, phrase long, count long")
+    return entries.mapInArrow(run, "after long, rank long, key long, at long, phrase long, count long")
 
 
 def _found_again(occurrences: DataFrame, again: DataFrame) -> DataFrame:
@@ -156,21 +236,31 @@ def _found_again(occurrences: DataFrame, again: DataFrame) -> DataFrame:
     return known.join(rest, "_k", "left").where("_hot or _cold").select("key", "after", "whole", "place")
 
 
-def _shared_windows(docs: DataFrame, entries: DataFrame, hot: bool = False) -> DataFrame:
-    """(key, phrase, at): the windows of entries found once that are windows of other entries too.
-
-    Equal neighbours in the order of (text after the trigger, rank). hot: many entries may share a text after the trigger, so counts add up before
-    a shuffle and the windows are joined to them; else a group is a few entries' windows.
-    """
-    by_text = entries.groupBy("key").agg(F.collect_list(F.struct("after", "place", F.least("count", F.lit(2)).alias("count"))).alias("entries"))  # of one document
-    by_text = stage(by_text, "open-texts")
+def _shared_windows(docs: DataFrame, entries: DataFrame) -> DataFrame:
+    """(key, phrase, at): the windows of entries (after, key, place, count, entries) found once that are windows of other entries too."""
+    many = (F.col("entries") >= HOT_ROWS).alias("many")
+    by_text = entries.groupBy("key").agg(F.collect_list(F.struct("after", "place", F.least("count", F.lit(2)).cast("int").alias("count"), many)).alias("entries"))
+    by_text = stage(by_text, "open-texts")  # of one document
     texts = docs.where(F.octet_length("text") >= WINDOW).select(row_key(), "text").join(by_text.select("key"), "key", "left_semi")
-    suffixes = _suffixes(texts.dropDuplicates(["key"]).join(by_text, "key").select("key", "text", "entries"))
-    if not hot:
-        return suffixes.withColumn("n", F.sum("count").over(W.partitionBy("after", "rank"))).where("n > 1 and count = 1").select("key", "phrase", "at")
-    suffixes = stage(suffixes, "hot-windows")
-    n = suffixes.groupBy("after", "rank").agg(F.sum("count").alias("n"), F.count("*").alias("rows")).where("n > 1")
-    return join_counted(suffixes.where("count = 1"), stage(n, "hot-ranks"), ["after", "rank"], "rows").select("key", "phrase", "at")
+    pieces = stage(_pieces(texts.dropDuplicates(["key"]).join(by_text, "key").select("key", "text", "entries")), "pieces")
+
+    parse_order = _beside(pieces, ["suffix", "before", "key", "place"], "suffix", "reach")
+    lead, known = F.col("place").bitwiseAND(1023), WINDOW - SPREAD + 1  # after stands for so many bytes
+    tail = F.expr(f"substring(suffix, {known + 1}, reach - {known})").alias("tail")
+    reaching = parse_order.where(F.col("reach") >= WINDOW - lead).select("after", "before", tail, "key", "place", "count", "many", "reach")
+    reaching = stage(reaching, "parse-order")
+    both = stage(_beside(reaching, ["after", "before", "key", "place"], "before", "back", "after").where("back >= 0"), "dictionary-order")
+    free(by_text, pieces, reaching)
+
+    # A group of few entries is a few rows for each rank; where many share a text after the trigger, counts add up before a shuffle.
+    few = _windows(both.where("not many")).withColumn("n", F.sum("count").over(W.partitionBy("after", "rank")))
+    shared = few.where("n > 1 and count = 1").select("key", "phrase", "at")
+    if both.where("many").isEmpty():
+        return shared
+    windows = stage(_windows(both.where("many")), "hot-windows")
+    n = windows.groupBy("after", "rank").agg(F.sum("count").alias("n"), F.count("*").alias("rows")).where("n > 1")
+    hot = join_counted(windows.where("count = 1"), stage(n, "hot-ranks"), ["after", "rank"], "rows")
+    return shared.unionByName(hot.select("key", "phrase", "at"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -187,11 +277,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     # Entries found once, and the entries they may share windows with: each once, however often it occurs.
     by_after = dictionary.groupBy("after").agg(F.count("*").alias("entries"), F.min("count").alias("least")).where("entries > 1 and least = 1")
     open_ = stage(join_counted(dictionary, stage(by_after, "by-after"), ["after"], "entries"), "open")
-    few = F.col("entries") < HOT_ROWS
-    shared = _shared_windows(docs, open_.where(few))
-    many = open_.where(~few)
-    if not many.isEmpty():
-        shared = shared.unionByName(_shared_windows(docs, many, hot=True))
+    shared = _shared_windows(docs, open_)
     parts = shared.groupBy("key", "phrase").agg(F.min("at").alias("start"), (F.max("at") + WINDOW).alias("end"))
     spans = whole.union(parts.select("key", "start", "end"))
     return stage(spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")

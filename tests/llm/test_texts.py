@@ -612,3 +612,23 @@ def test_stages_pass_clashing_columns(spark, ten):
         assert got.columns == docs.columns and got.where(" or ".join(f"`{c}` <> 'clash'" for c in [*names, "_row", "key"])).count() == 0
         assert got.where("doc_id is null").count() <= 3 and step(spark, docs.limit(0), where).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, where).count() >= len(rows)
+
+
+def test_orders_tell_what_is_shared_at_most(spark):
+    """Both orders of the parse and the dictionary, against all pairs; ends of partitions may only tell more."""
+    r = random.Random(31)
+    strings = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 9))) for _ in range(60)] + [b"", b"abab" * 100, b"abab" * 100 + b"x"]
+    rows = [(k % 3, x, k) for k, x in enumerate(strings)]
+
+    def common(a, b):
+        return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    df = spark.createDataFrame([(g, bytearray(x), k) for g, x, k in rows], "g int, s binary, k int")
+    for within, order in ((None, ["s", "k"]), ("g", ["g", "s", "k"])):
+        got = {x.k: x.most for x in suffix_dedup._beside(df, order, "s", "most", within).collect()}
+        less = 0
+        for g, x, k in rows:
+            want = max((common(x, y) for h, y, j in rows if j != k and (not within or h == g)), default=-1)
+            assert want <= got[k] <= len(x)
+            less += got[k] != want
+        assert less <= 2 * df.sparkSession.sparkContext.defaultParallelism
