@@ -9,8 +9,9 @@ Dictionary. Phrases that are equal are one entry with a count, so highly repetit
 one copy of itself. An entry found twice has all its windows elsewhere. Other entries matter only where the
 text after the trigger, which is part of each of their windows, is found in other entries too.
 
-Order of the parse. The suffixes of the parse are the texts that begin at triggers. They are range-sorted by their bytes, as many as a window
-that holds the trigger can reach; what a suffix shares with its neighbours is the most that it shares with any other.
+Order of the parse. The suffixes of the parse are the texts that begin at triggers. They are range-sorted by a fingerprint of the bytes that are part of
+every window of the entry, then by the bytes after these, as far as a window can reach. What a suffix shares with its neighbours is the most
+that it shares with any other.
 
 Order of the dictionary. All suffixes of an entry that hold its trigger end their own part there, so the entries are sorted once by the
 bytes before the trigger, read backwards, and what neighbours share gives the order of all these suffixes.
@@ -38,6 +39,8 @@ from .token_store import mixed
 WINDOW = 400
 #: Places of a window among which its trigger lies (a power of 2), and bytes that the rolling hash covers.
 SPREAD, GRAM = 128, 12
+#: Bytes from the trigger on that are part of every window of a phrase.
+KNOWN = WINDOW - SPREAD + 1
 #: Bytes hashed at once; longer texts are walked in overlapping blocks.
 BLOCK = 1 << 22
 
@@ -87,7 +90,7 @@ def phrases(data: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.concatenate([[0], np.flatnonzero(np.diff(trigger)) + 1])
     starts = np.diff(np.append(first, n))
     at = trigger[first]
-    after = one.of(at, at + WINDOW - SPREAD + 1)
+    after = one.of(at, at + KNOWN)
     whole = mixed(two.of(first, first + starts + WINDOW - 1) ^ ((at - first) * SPREAD + starts).astype(np.uint64), 6)
     return first, starts, at - first, after, whole
 
@@ -132,7 +135,7 @@ def parse(docs: DataFrame, only_after: bool) -> DataFrame:
 
 
 def _pieces(texts: DataFrame) -> DataFrame:
-    """One row for each entry in texts (text, key, entries): before, the bytes before its trigger read backwards, and suffix, those from the trigger on."""
+    """One row for each entry in texts (text, key, entries): before, the bytes before its trigger read backwards, and tail, those after the KNOWN bytes from the trigger on."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
@@ -141,16 +144,16 @@ def _pieces(texts: DataFrame) -> DataFrame:
                 for e in entries:
                     first, starts, lead = e["place"] >> 20, e["place"] >> 10 & 1023, e["place"] & 1023
                     at = first + lead
-                    yield e["after"], data[first:at][::-1], data[at : first + starts + WINDOW - 1], key, e["place"], e["count"], e["many"]
+                    yield e["after"], data[first:at][::-1], data[at + KNOWN : first + starts + WINDOW - 1], key, e["place"], e["count"], e["many"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
-        names = ["after", "before", "suffix", "key", "place", "count", "many"]
+        names = ["after", "before", "tail", "key", "place", "count", "many"]
         every = rows(batches)
         while part := list(islice(every, 10_000)):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
 
-    return texts.mapInArrow(run, "after long, before binary, suffix binary, key long, place long, count int, many boolean")
+    return texts.mapInArrow(run, "after long, before binary, tail binary, key long, place long, count int, many boolean")
 
 
 def _strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +215,7 @@ def _windows(entries: DataFrame) -> DataFrame:
             after, key, place, count, reach, back = (batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("after", "key", "place", "count", "reach", "back"))
             (before, b), (tail, t) = (_strings(batch.column(batch.schema.get_field_index(c))) for c in ("before", "tail"))
             first, starts, lead = place >> 20, place >> 10 & 1023, place & 1023
-            low, high = np.maximum(0, lead - back), np.minimum(starts, reach - WINDOW + lead + 1)
+            low, high = np.maximum(0, lead - back), np.minimum(starts, reach + lead - SPREAD + 2)
             n = np.maximum(0, high - low)
             e = np.repeat(np.arange(len(n)), n)
             j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[e]
@@ -244,10 +247,10 @@ def _shared_windows(docs: DataFrame, entries: DataFrame) -> DataFrame:
     texts = docs.where(F.octet_length("text") >= WINDOW).select(row_key(), "text").join(by_text.select("key"), "key", "left_semi")
     pieces = stage(_pieces(texts.dropDuplicates(["key"]).join(by_text, "key").select("key", "text", "entries")), "pieces")
 
-    parse_order = _beside(pieces, ["suffix", "before", "key", "place"], "suffix", "reach")
-    lead, known = F.col("place").bitwiseAND(1023), WINDOW - SPREAD + 1  # after stands for so many bytes
-    tail = F.expr(f"substring(suffix, {known + 1}, reach - {known})").alias("tail")
-    reaching = parse_order.where(F.col("reach") >= WINDOW - lead).select("after", "before", tail, "key", "place", "count", "many", "reach")
+    # Short sort keys: samples of them go to the driver, three million at most.
+    parse_order = _beside(pieces, ["after", "tail", "key", "place"], "tail", "reach", "after")
+    reaching = parse_order.where(F.col("reach") >= F.greatest(F.lit(0), SPREAD - 1 - F.col("place").bitwiseAND(1023)))
+    reaching = reaching.withColumn("tail", F.expr("substring(tail, 1, reach)"))
     reaching = stage(reaching, "parse-order")
     both = stage(_beside(reaching, ["after", "before", "key", "place"], "before", "back", "after").where("back >= 0"), "dictionary-order")
     free(by_text, pieces, reaching)
