@@ -31,8 +31,10 @@ KINDS = ("email", "ip", "card", "phone")
 DISCLOSURE, CHANCE = 0.8, 0.01
 #: Counts of terms or entities that a task may hold (16 bytes each); those of the rarer ones are then met by joins only.
 BROADCAST_TERMS = 1_000_000
-#: Counted terms that a task holds before it passes them on.
+#: Terms beside entities that a task holds before it passes them on.
 HELD_TERMS = 500_000
+#: Distinct terms that a task counts before it hands them on: about 40 MB of Python objects.
+COUNTED_TERMS = 100_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -245,7 +247,7 @@ def _document_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 n.update({w.lower() for w in _WORD.findall(text or "")})
-                if len(n) > HELD_TERMS:
+                if len(n) > COUNTED_TERMS:
                     yield counted_terms(_by_key(n))
                     n.clear()
         yield counted_terms(_by_key(n))
