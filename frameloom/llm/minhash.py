@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .common import free, join_counted, size_bounded, stage, table
+from .common import free, in_parts, join_counted, size_bounded, stage, table
 from .graph import components
 from .token_store import mixed
 
@@ -155,7 +155,7 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n_shingles, set binary, sig binary): size, fingerprint and signature of each document's set; null ones for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             n, prints, sigs = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, size)
@@ -194,7 +194,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
         def of(z: bytes) -> np.ndarray:
             return shingles(unzip.decompress(z).decode("utf-8", "surrogatepass"), size)
 
-        for batch in batches:
+        for batch in in_parts(batches):
             x, y, zx, zy = (batch.column(k).to_pylist() for k in range(4))
             keep = [similar(shingles(unzip.decompress(p).decode("utf-8", "surrogatepass"), size), of(q), percent) for p, q in zip(zx, zy, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -210,7 +210,7 @@ def compressed(docs: DataFrame, size: int | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in in_parts(batches):
             texts = batch.column(1).to_pylist()
             z = [pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts]
             columns = {"id": batch.column(0), "z": pa.array(z, pa.binary())}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage, table
+from .common import in_parts, stage, table
 from .tokenizing import ids_of
 
 WINDOW = 2048
@@ -28,7 +28,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = ids_of(tokenizer)
-        for batch in batches:
+        for batch in in_parts(batches):
             rows: list[list] = [[] for _ in range(6 if keep_ids else 5)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 all_ids = np.append(np.frombuffer(ids.encode(text), ids.dtype), ids.dtype.type(end_id)).astype("<u4")

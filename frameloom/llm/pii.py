@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from .common import set_aside, size_bounded, stage, table
+from .common import in_parts, set_aside, size_bounded, stage, table
 
 KINDS = ("email", "ip", "card", "phone")
 DISCLOSURE, CHANCE = 0.8, 0.01
@@ -126,7 +126,7 @@ def found(docs: DataFrame, text_where_clean: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in in_parts(batches):
             at = batch.schema.get_field_index("text")
             texts = batch.column(at).to_pylist()
             spans = [base_spans(t) for t in texts]
@@ -188,7 +188,7 @@ def together(rows: DataFrame, terms: DataFrame, entities: DataFrame, total: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_t, n_e = known.value
-        for batch in batches:
+        for batch in in_parts(batches):
             ids, keys, words, held = [], [], [], 0
             for row, text, base, entities in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = np.array(sorted({p[0] for p in term_places(text, _spans(base))}), np.int64)
@@ -244,7 +244,7 @@ def _document_counts(docs: DataFrame) -> DataFrame:
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
-        for batch in batches:
+        for batch in in_parts(batches):
             for text in batch.column(0).to_pylist():
                 n.update({w.lower() for w in _WORD.findall(text or "")})
                 if len(n) > COUNTED_TERMS:
@@ -277,7 +277,7 @@ def protect(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             column = {c: batch.column(k) for k, c in enumerate(batch.schema.names)}
             texts, out = column["text"].to_pylist(), {f.name: [] for f in more}
             for k, (base, terms, whole) in enumerate(zip(*(column[c].to_pylist() for c in ("_base", "_terms", "_whole")), strict=True)):

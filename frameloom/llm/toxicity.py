@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free, set_aside, stage, table
+from .common import free, in_parts, set_aside, stage, table
 from .learning import BoostedTrees, Isotonic, labelled, remainder
 
 #: Labelled documents that the classifier is fitted on, at most.
@@ -144,7 +144,7 @@ def score(docs: DataFrame, model: Toxicity) -> DataFrame:
     docs = docs.drop("_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             scores = model.scores(batch.column(batch.schema.get_field_index("text")).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "_score"])
 
