@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, minhash, mixing, outliers, packing, pii, quality, suffix_dedup, token_store, toxicity
+from . import ann, hard_negatives, minhash, mixing, outliers, packing, periodic_runs, pii, quality, suffix_dedup, token_store, toxicity
 
 QUERIES = {
     "op1_nearest_neighbours": ann.op1,
@@ -15,5 +15,7 @@ QUERIES = {
     "op8_pack_best_fit": packing.op8,
     "op9_quality": quality.op9,
     "op10_token_store": token_store.op10,
+    "op11_periodic_runs": periodic_runs.op11,
+    "op12_hard_negatives": hard_negatives.op12,
 }
-ORACLES = {"op2_mix_sources": mixing.OP2_SQL}
+ORACLES = {"op2_mix_sources": mixing.OP2_SQL, "op12_hard_negatives": hard_negatives.OP12_SQL}
