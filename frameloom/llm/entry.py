@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, hard_negatives, minhash, mixing, outliers, packing, periodic_runs, pii, quality, suffix_dedup, token_store, toxicity
+from . import ann, hard_negatives, minhash, mixing, outliers, packing, periodic_runs, pii, quality, recompression, suffix_dedup, token_store, toxicity
 
 QUERIES = {
     "op1_nearest_neighbours": ann.op1,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_token_store": token_store.op10,
     "op11_periodic_runs": periodic_runs.op11,
     "op12_hard_negatives": hard_negatives.op12,
+    "op13_earlier_passages": recompression.op13,
 }
-ORACLES = {"op2_mix_sources": mixing.OP2_SQL, "op12_hard_negatives": hard_negatives.OP12_SQL}
+ORACLES = {"op2_mix_sources": mixing.OP2_SQL, "op12_hard_negatives": hard_negatives.OP12_SQL, "op13_earlier_passages": recompression.OP13_SQL}
