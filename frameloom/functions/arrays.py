@@ -86,11 +86,11 @@ def trimmed_to(durs: Column, frames: Column) -> Column:
 
 
 def tail_trimmed(durs: Column, most: Column) -> Column:
-    """The durations whose running sum is within most; the last of them takes the rest."""
-    kept = F.filter(durs, lambda d, i: total(F.slice(durs, 1, i + 1), "int") <= most)
-    n = F.size(kept)
-    rest = F.least(most, total(durs, "int")) - total(kept, "int")
-    return F.transform(kept, lambda d, i: F.when(i == n - 1, d + rest).otherwise(d))
+    """Durations of a series that is cut to `most`: those whose running sum is within it, the first one in any case; the last takes what is missing. A series within `most` stays."""
+    n = F.greatest(F.size(F.filter(durs, lambda d, i: total(F.slice(durs, 1, i + 1), "int") <= most)), F.lit(1))
+    kept = F.slice(durs, F.lit(1), n)
+    rest = F.greatest(F.lit(0), most - total(kept, "int"))
+    return F.when(total(durs, "int") <= most, durs).otherwise(F.transform(kept, lambda d, i: F.when(i == F.size(kept) - 1, d + rest).otherwise(d)))
 
 
 def residual_fixed(durs: Column, frames: Column) -> Column:
@@ -120,10 +120,20 @@ def weighted_durations(weights: Column, frames: Column) -> Column:
 
 
 def interval_durations(starts: Column, ends: Column, frames: Column, rate: int = 50) -> Column:
-    """Frames of intervals in seconds, 1 at least, fitted to frames: the last takes the difference, as far as it stays at 1."""
+    """Frames of intervals in seconds, 1 at least, fitted to frames: the last takes the difference as far as it stays at 1; where the sum still
+    differs, all are scaled, rounded half to even, and the last takes the difference again."""
+
+    def last_fixed(xs: Column) -> Column:
+        diff = frames - total(xs, "int")
+        return F.transform(xs, lambda d, i: F.when(i == F.size(xs) - 1, F.greatest(F.lit(1), d + diff)).otherwise(d))
+
+    def scaled(xs: Column) -> Column:
+        # The factor is computed before the product, as halves depend on it.
+        factor = frames / total(xs, "int")
+        return let(F.transform(xs, lambda d: F.greatest(F.lit(1), F.bround(d * factor).cast("int"))), last_fixed)
+
     raw = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda s: F.greatest(F.lit(1), F.bround(s["b"] * rate).cast("int") - F.bround(s["a"] * rate).cast("int")))
-    diff = frames - total(raw, "int")
-    return F.transform(raw, lambda d, i: F.when(i == F.size(raw) - 1, F.greatest(F.lit(1), d + diff)).otherwise(d))
+    return let(let(raw, last_fixed), lambda xs: F.when(total(xs, "int") == frames, xs).otherwise(scaled(xs)))
 
 
 def chunk_starts(n: Column, size: int = 200, stride: int = 100) -> Column:

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 #: Rows up to which a dimension may be broadcast; the size is checked where it isn't known by construction.
 DIMENSION_ROWS = 100_000
-#: Symbols that may be added to a vocabulary at once.
-NEW_SYMBOLS = 10_000_000
 
 
 def dimension(df: DataFrame, rows: int = DIMENSION_ROWS) -> DataFrame:
@@ -114,16 +114,11 @@ def first_wins(sources: list[DataFrame], key: str, last: bool = False) -> DataFr
 
 
 def extended(vocabulary: DataFrame, more: DataFrame) -> DataFrame:
-    """vocabulary (symbol, id) with the unseen symbols of more, by order, after the largest id.
-
-    The new symbols are numbered in one task: distinct ones that a vocabulary still lacks, NEW_SYMBOLS at most; more are refused.
-    """
+    """vocabulary (symbol, id) with the unseen symbols of more, by order, after the largest id. New symbols are numbered over ranges."""
     new = more.select("symbol").distinct().join(dimension(vocabulary.select("symbol")), "symbol", "left_anti")
-    if new.limit(NEW_SYMBOLS + 1).count() > NEW_SYMBOLS:
-        raise ValueError(f"more than {NEW_SYMBOLS} new symbols")
     top = vocabulary.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("top"))
-    numbered = new.crossJoin(F.broadcast(top)).select("symbol", (F.col("top") + F.row_number().over(W.orderBy("symbol"))).cast("int").alias("id"))
-    return vocabulary.select("symbol", "id").unionByName(numbered)
+    added = numbered(new, "symbol", name="_n").crossJoin(F.broadcast(top))  # with one row
+    return vocabulary.select("symbol", "id").unionByName(added.select("symbol", (F.col("top") + 1 + F.col("_n")).cast("int").alias("id")))
 
 
 def first_existing(keys: DataFrame, listing: DataFrame, key: str, priority: Column) -> DataFrame:

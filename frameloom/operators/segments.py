@@ -57,14 +57,17 @@ def attention_pooled(frames: DataFrame, score: Column, x: str) -> DataFrame:
 
 
 def anchors(segs: DataFrame, frames: DataFrame, x: str) -> DataFrame:
-    """(utt, pos, start_x, mid_x, end_x) at the first, middle and last frame; without frames at the cursor, clamped.
+    """(utt, pos, start_x, mid_x, end_x) at the first, middle and last frame of segments (utt, pos, start, dur); without frames all three at the cursor.
 
-    frames has pos; the three places are picked in the aggregation that groups a segment's frames.
+    Places beyond the series are its last frame. The three places of a segment are one lookup, picked together again in one aggregation.
     """
-    at = lambda t: F.max(F.when(F.col("t") == t, F.col(x)))
-    s = segs.select("utt", "pos", F.col("start").alias("s"), F.col("dur").alias("d"))
-    j = frames.join(s, ["utt", "pos"])
-    return j.groupBy("utt", "pos").agg(at(F.col("s")).alias("start_x"), at(F.col("s") + F.floor(F.col("d") / 2)).alias("mid_x"), at(F.col("s") + F.col("d") - 1).alias("end_x"))
+    n = frames.groupBy("utt").agg(F.max("t").alias("_last"))
+    d = F.greatest(F.col("dur"), F.lit(1))
+    places = F.array(F.col("start"), F.col("start") + F.floor(d / 2).cast("int"), F.col("start") + d - 1)
+    asked = segs.join(n, "utt").select("utt", "pos", "_last", F.posexplode(places).alias("_k", "_at")).withColumn("t", F.least("_at", "_last"))
+    found = asked.join(frames.select("utt", "t", x), ["utt", "t"])
+    at = lambda k: F.max(F.when(F.col("_k") == k, F.col(x)))
+    return found.groupBy("utt", "pos").agg(at(0).alias("start_x"), at(1).alias("mid_x"), at(2).alias("end_x"))
 
 
 def end_flags(frames: DataFrame) -> DataFrame:
@@ -84,15 +87,3 @@ def jitter(frames: DataFrame, x: str) -> DataFrame:
     w = by_time()
     step = frames.withColumn("step", F.abs(F.lead(x).over(w) - F.col(x))).where("step is not null")
     return end_flags(step).groupBy("is_end").agg(F.avg("step").alias("mean"), F.max("step").alias("most"), F.count("*").alias("n"))
-
-
-def warped(frames: DataFrame, new: DataFrame, x: str) -> DataFrame:
-    """(utt, i, x): series of each key resampled to new length. frames (utt, t, x); new (utt, n).
-
-    The series is packed once by key and resampled by array functions, so each key is shuffled once.
-    """
-    from ..functions.arrays import resampled
-
-    xs = F.transform(F.array_sort(F.collect_list(F.struct("t", x))), lambda s: s[x]).alias("xs")
-    packed = frames.groupBy("utt").agg(xs).join(new, "utt")
-    return packed.select("utt", F.posexplode(resampled(F.col("xs"), F.col("n"))).alias("i", "x"))

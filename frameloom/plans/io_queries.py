@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..operators import quantize as V
+from ..operators.staging import scratch
 from ..sources import readers, writers
 from ..streaming import incremental as I
 from .base import RUNS, SQL, query, r6, table, with_runs
 from .vector_queries import _books
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder under spark.checkpoint.dir. Where that is unset a local session takes one of its own machine; a cluster's is refused."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(where or '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("src_01_listing", "SELECT o_orderstatus AS status, count(*) > 0 AS found FROM orders GROUP BY 1")
 def listing(spark, d):
     path = scratch(spark, "listing")

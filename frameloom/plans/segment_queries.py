@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..operators import blocks as B
 from ..operators import segments as G
 from ..operators import signal as S
 from .base import FRAMES, RUNS, SEGS, frames, long, query, r6, segs, with_runs
@@ -24,6 +25,32 @@ def durs(spark, d):
     return segs(spark, d).groupBy("utt").agg(packed.alias("d"), F.sum("dur").cast("int").alias("total"))
 
 
+def _gauss(name: str, source: str, columns: str, sigma: float) -> str:
+    """A CTE (utt, t, columns) of columns smoothed to 4 sigma with replicated edges."""
+    w, r = f"exp(-0.5 * k.k * k.k / {sigma * sigma})", int(4 * sigma + 0.5)
+    smooth = ", ".join(f"sum({w} * g.{c}) / sum({w}) AS {c}" for c in columns.split())
+    return f"""{name} AS (SELECT f.utt, f.t, {smooth} FROM {source} f JOIN (SELECT utt, max(t) AS last FROM {source} GROUP BY 1) n ON n.utt = f.utt,
+      (SELECT unnest(range({-r}, {r + 1})) AS k) k, {source} g WHERE g.utt = f.utt AND g.t = greatest(0, least(f.t + k.k, n.last)) GROUP BY 1, 2)"""
+
+
+def _stretch(name: str, source: str, columns: str, like: str) -> str:
+    """A CTE (utt, t, columns) of the series of source resampled to the lengths of those of like."""
+    mixed = ", ".join(f"a.{c} + (p.p - floor(p.p)) * (coalesce(b.{c}, a.{c}) - a.{c}) AS {c}" for c in columns.split())
+    return f"""{name} AS (SELECT p.utt, p.t, {mixed} FROM (
+        SELECT utt, t, t * (n - 1) / greatest(m - 1, 1)::DOUBLE AS p FROM (SELECT l.utt, s.n, l.m, unnest(range(l.m))::INTEGER AS t
+          FROM (SELECT utt, count(*) AS m FROM {like} GROUP BY 1) l JOIN (SELECT utt, count(*) AS n FROM {source} GROUP BY 1) s ON s.utt = l.utt)) p
+      JOIN {source} a ON a.utt = p.utt AND a.t = floor(p.p) LEFT JOIN {source} b ON b.utt = p.utt AND b.t = floor(p.p) + 1)"""
+
+
+def smoothed(df, kernel, before, after, name):
+    return B.blockwise(df, {name: ("pitch", kernel)}, before, after).select("utt", "t", r6(name).alias(name))
+
+
+def next_user(df):
+    """Frames or segments of each user under the id of the user before."""
+    return df.withColumn("utt", F.col("utt") - 1)
+
+
 def tall(df, xs, name="d", kind="int"):
     return df.select("utt", F.posexplode(xs).alias("i", "x")).select("utt", "i", F.col("x").cast(kind).alias(name))
 
@@ -78,17 +105,17 @@ def _around(low: int, high: int) -> str:
 
 @query("win_07_rolling_std", _around(-6, 5) + " SELECT utt, t, round(CASE WHEN count_if(x > 40) >= 3 THEN stddev_pop(CASE WHEN x > 40 THEN x END) ELSE 0.0 END, 6) AS std FROM w GROUP BY 1, 2")
 def rolling_std(spark, d):
-    return S.exploded(series(spark, d), S.rolling_std(F.col("xs"), 12, 40.0), "std").select("utt", "t", r6("std").alias("std"))
+    return smoothed(frames(spark, d), lambda xs: S.rolling_std(xs, 12, 40.0), 6, 5, "std")
 
 
 @query("win_08_gaussian", _around(-8, 8) + " SELECT utt, t, round(sum(exp(-0.5 * (k / 2.0) * (k / 2.0)) * x) / sum(exp(-0.5 * (k / 2.0) * (k / 2.0))), 6) AS x FROM w GROUP BY 1, 2")
 def gaussian(spark, d):
-    return S.exploded(series(spark, d), S.gaussian(F.col("xs"), 2.0), "x").select("utt", "t", r6("x").alias("x"))
+    return smoothed(frames(spark, d), lambda xs: S.gaussian(xs, 2.0), 8, 8, "x")
 
 
 @query("win_09_median", _around(-2, 2) + " SELECT utt, t, round(median(x), 6) AS x FROM w GROUP BY 1, 2")
 def median(spark, d):
-    return S.exploded(series(spark, d), S.median(F.col("xs")), "x").select("utt", "t", r6("x").alias("x"))
+    return smoothed(frames(spark, d), S.median, 2, 2, "x")
 
 
 @query("win_10_boundary", f"WITH {RUNS} SELECT utt, t, coalesce(lead(pos) OVER (PARTITION BY utt ORDER BY t) <> pos, true) AS is_end FROM runs")
@@ -127,23 +154,22 @@ def ordinal(spark, d):
 
 @query("win_14_end_ramp", f"WITH {FRAMES}, n AS (SELECT utt, count(*) AS n FROM frames GROUP BY 1) SELECT utt, t, round(CASE WHEN n > 64 AND t >= n - 32 THEN pitch + 10.0 * (t - (n - 32)) / 31 ELSE pitch END, 6) AS x FROM frames JOIN n USING (utt)")
 def end_ramp(spark, d):
-    return S.exploded(series(spark, d), S.end_ramp(F.col("xs"), 32, 10.0), "x").select("utt", "t", r6("x").alias("x"))
+    return S.end_ramp(frames(spark, d), "pitch", 32, 10.0).select("utt", "t", r6("pitch").alias("x"))
 
 
 @query("win_15_expand_smoothed", _around(-4, 4) + ", c AS (SELECT utt, t, sum(exp(-0.5 * k * k) * x) / sum(exp(-0.5 * k * k)) AS c FROM w GROUP BY 1, 2) SELECT c.utt, c.t, round(c.c + 1.4 * (f.pitch - c.c), 6) AS x FROM c JOIN frames f ON f.utt = c.utt AND f.t = c.t")
 def expand_smoothed(spark, d):
-    xs = F.col("xs")
-    return S.exploded(series(spark, d), S.expanded_about(xs, S.gaussian(xs, 1.0), 1.4), "x").select("utt", "t", r6("x").alias("x"))
+    return smoothed(frames(spark, d), lambda xs: F.zip_with(xs, S.gaussian(xs, 1.0), lambda x, c: S.expanded(x, c, 1.4)), 4, 4, "x")
 
 
 @query("win_16_expand_pitch", f"WITH {FRAMES}, m AS (SELECT utt, avg(CASE WHEN pitch > 40 THEN pitch END) AS m, count_if(pitch > 40) AS n FROM frames GROUP BY 1) SELECT utt, t, round(CASE WHEN n >= 5 AND pitch > 40 THEN least(greatest(m + 1.5 * (pitch - m), 40), 500) ELSE pitch END, 6) AS x FROM frames JOIN m USING (utt)")
 def expand_pitch(spark, d):
-    return S.exploded(series(spark, d), S.expanded_pitch(F.col("xs"), 1.5), "x").select("utt", "t", r6("x").alias("x"))
+    return S.expanded_pitch(frames(spark, d), "pitch", 1.5).select("utt", "t", r6("pitch").alias("x"))
 
 
 @query("win_17_envelope", f"WITH {FRAMES} SELECT utt, t, round(least(greatest(pitch / (avg(pitch) OVER (PARTITION BY utt) + 1e-6), 0.5), 3.0), 6) AS x FROM frames")
 def envelope(spark, d):
-    return S.exploded(series(spark, d), S.envelope(F.col("xs"), 0.5, 3.0), "x").select("utt", "t", r6("x").alias("x"))
+    return S.enveloped(frames(spark, d), {"pitch": (0.5, 3.0)}).select("utt", "t", r6("pitch").alias("x"))
 
 
 @query("win_18_shift", f"WITH {FRAMES} SELECT utt, t, lag(pitch, 1, -1.0) OVER (PARTITION BY utt ORDER BY t) AS x FROM frames")
@@ -220,13 +246,20 @@ def weighted(spark, d):
 
 @query(
     "seq_08_interval_durations",
-    f"""WITH {SEGS}, i AS (SELECT utt, pos, start / 50.0 AS a, (start + dur) / 50.0 AS b FROM segs), r AS (SELECT utt, pos, greatest(1, round_even(b * 50, 0)::INTEGER - round_even(a * 50, 0)::INTEGER) AS d FROM i),
-        s AS (SELECT *, 90 - (sum(d) OVER (PARTITION BY utt))::INTEGER AS diff, max(pos) OVER (PARTITION BY utt) AS last FROM r)
-        SELECT utt, pos AS i, (CASE WHEN pos = last THEN greatest(1, d + diff) ELSE d END)::INTEGER AS d FROM s""",
+    f"""WITH {SEGS}, i AS (SELECT utt, pos, start / 50.0 AS a, (start + dur) / 50.0 AS b FROM segs),
+        r AS (SELECT utt, pos, greatest(1, round_even(b * 50, 0)::INTEGER - round_even(a * 50, 0)::INTEGER) AS d, CASE WHEN utt % 2 = 0 THEN 90 ELSE 40 END AS want FROM i),
+        l AS (SELECT *, max(pos) OVER (PARTITION BY utt) AS last, (sum(d) OVER (PARTITION BY utt))::INTEGER AS total FROM r),
+        f AS (SELECT *, CASE WHEN pos = last THEN greatest(1, d + want - total) ELSE d END AS d1 FROM l),
+        g AS (SELECT *, (sum(d1) OVER (PARTITION BY utt))::INTEGER AS total1 FROM f),
+        h AS (SELECT *, CASE WHEN total1 = want THEN d1 ELSE greatest(1, round_even(d1 * (want / total1::DOUBLE), 0)::INTEGER) END AS d2 FROM g),
+        k AS (SELECT *, (sum(d2) OVER (PARTITION BY utt))::INTEGER AS total2 FROM h)
+        SELECT utt, pos AS i, (CASE WHEN pos = last THEN greatest(1, d2 + want - total2) ELSE d2 END)::INTEGER AS d FROM k""",
 )
 def interval_durations(spark, d):
+    """90 frames are more than any user has, 40 fewer: the last segment grows, or all are scaled."""
     s = segs(spark, d).groupBy("utt").agg(F.array_sort(F.collect_list(F.struct("pos", (F.col("start") / 50.0).alias("a"), ((F.col("start") + F.col("dur")) / 50.0).alias("b")))).alias("s"))
-    return tall(s, A.interval_durations(F.transform("s", lambda x: x["a"]), F.transform("s", lambda x: x["b"]), F.lit(90)))
+    want = F.when(F.col("utt") % 2 == 0, 90).otherwise(40)
+    return tall(s, A.interval_durations(F.transform("s", lambda x: x["a"]), F.transform("s", lambda x: x["b"]), want))
 
 
 @query(
@@ -246,21 +279,36 @@ def overflow_trim(spark, d):
 
 @query(
     "seq_11_tail_trim",
-    f"""WITH {SEGS}, k AS (SELECT utt, pos, dur FROM segs WHERE start + dur <= 40), t AS (SELECT utt, sum(dur) AS total FROM segs GROUP BY 1),
-        s AS (SELECT k.*, sum(dur) OVER (PARTITION BY utt) AS kept, max(pos) OVER (PARTITION BY utt) AS last FROM k)
-        SELECT utt, pos AS i, (CASE WHEN pos = last THEN dur + least(40, total) - kept ELSE dur END)::INTEGER AS d FROM s JOIN t USING (utt)""",
+    f"""WITH {SEGS}, n AS (SELECT utt, pos, dur + CASE WHEN pos = 0 AND utt % 3 = 0 THEN 50 ELSE 0 END AS dur FROM segs),
+        c AS (SELECT *, sum(dur) OVER (PARTITION BY utt ORDER BY pos) AS cum, sum(dur) OVER (PARTITION BY utt) AS total FROM n),
+        k AS (SELECT *, max(pos) OVER (PARTITION BY utt) AS last, sum(dur) OVER (PARTITION BY utt) AS used FROM c WHERE total <= 40 OR cum <= 40 OR pos = 0)
+        SELECT utt, pos AS i, (dur + CASE WHEN pos = last AND total > 40 THEN greatest(0, 40 - used) ELSE 0 END)::INTEGER AS d FROM k""",
 )
 def tail_trim(spark, d):
-    return tall(durs(spark, d), A.tail_trimmed(F.col("d"), F.lit(40)))
+    """A third of the users have a first segment that is longer than all that may be kept."""
+    longer = F.transform("d", lambda x, i: x + F.when((i == 0) & (F.col("utt") % 3 == 0), 50).otherwise(0))
+    return tall(durs(spark, d), A.tail_trimmed(longer, F.lit(40)))
+
+
+#: Segments with empty ones after every third.
+_WITH_EMPTY = f"""{SEGS}, cut AS (SELECT utt, 2 * pos AS pos, start, dur FROM segs UNION ALL SELECT utt, 2 * pos + 1, start + dur, 0 FROM segs WHERE pos % 3 = 0)"""
+
+
+def _with_empty(spark, d):
+    s = segs(spark, d)
+    empty = s.where("pos % 3 = 0").select("utt", 2 * F.col("pos") + 1, F.col("start") + F.col("dur"), F.lit(0))
+    return s.select("utt", (2 * F.col("pos")).alias("pos"), "start", "dur").union(empty)
 
 
 @query(
     "seq_12_anchors",
-    f"""WITH {SEGS} SELECT s.utt, s.pos, a.pitch AS start_x, m.pitch AS mid_x, e.pitch AS end_x FROM segs s
-        JOIN frames a ON a.utt = s.utt AND a.t = s.start JOIN frames m ON m.utt = s.utt AND m.t = s.start + s.dur // 2 JOIN frames e ON e.utt = s.utt AND e.t = s.start + s.dur - 1""",
+    f"""WITH {_WITH_EMPTY}, l AS (SELECT utt, max(t) AS last FROM frames GROUP BY 1),
+        c AS (SELECT cut.*, last, CASE WHEN dur = 0 THEN start ELSE start + dur // 2 END AS m, CASE WHEN dur = 0 THEN start ELSE start + dur - 1 END AS e FROM cut JOIN l USING (utt))
+        SELECT c.utt, c.pos::INTEGER AS pos, a.pitch AS start_x, m.pitch AS mid_x, e.pitch AS end_x FROM c
+        JOIN frames a ON a.utt = c.utt AND a.t = least(c.start, last) JOIN frames m ON m.utt = c.utt AND m.t = least(c.m, last) JOIN frames e ON e.utt = c.utt AND e.t = least(c.e, last)""",
 )
 def anchors(spark, d):
-    return G.anchors(segs(spark, d), with_runs(spark, d), "pitch")
+    return G.anchors(_with_empty(spark, d), frames(spark, d), "pitch")
 
 
 @query(
@@ -270,25 +318,45 @@ def anchors(spark, d):
 )
 def resample(spark, d):
     f = frames(spark, d)
-    return G.warped(f, f.select("utt").distinct().withColumn("n", F.lit(50)), "pitch").select("utt", "i", r6("x").alias("x"))
+    return B.stretched(f, ["pitch"], f.select("utt").distinct().withColumn("m", F.lit(50))).select("utt", F.col("t").alias("i"), r6("pitch").alias("x"))
 
 
-@query(
-    "seq_14_segment_warp",
-    f"""WITH {RUNS}, g AS (SELECT utt, pos, list(pitch ORDER BY t) AS xs FROM runs GROUP BY 1, 2), i AS (SELECT utt, pos, xs, len(xs) - 1 AS last, unnest(range(4)) AS i FROM g), x AS (SELECT *, i * last / 3.0::DOUBLE AS p FROM i)
-        SELECT utt, pos, i::INTEGER AS i, round(xs[floor(p)::INTEGER + 1] + (p - floor(p)) * (xs[least(floor(p)::INTEGER + 1, last) + 1] - xs[floor(p)::INTEGER + 1]), 6) AS x FROM x""",
-)
+#: Declared durations of the source, some a frame too long, and the next user's durations as target, some empty.
+_GRIDS = f"""{SEGS}, source AS (SELECT utt, pos, dur + CASE WHEN pos % 4 = 1 THEN 1 ELSE 0 END AS dur FROM segs),
+  target AS (SELECT utt - 1 AS utt, pos, phone, dur - CASE WHEN pos % 5 = 0 THEN 1 ELSE 0 END AS dur FROM segs WHERE utt - 1 IN (SELECT utt FROM segs))"""
+_WARP = f"""{_GRIDS}, src AS (SELECT utt, pos, sum(dur) OVER w - dur AS a, sum(dur) OVER w AS e, sum(dur) OVER (PARTITION BY utt) AS whole FROM source WINDOW w AS (PARTITION BY utt ORDER BY pos)),
+  n AS (SELECT utt, count(*) AS n FROM frames GROUP BY 1), ends AS (SELECT DISTINCT utt, whole AS every_dur FROM src),
+  tgt AS (SELECT utt, pos, dur, sum(dur) OVER (PARTITION BY utt ORDER BY pos) - dur AS begins FROM target),
+  met AS (SELECT tgt.*, n, coalesce(a, every_dur) AS a, greatest(0, least(coalesce(e, every_dur), n) - coalesce(a, every_dur)) AS has FROM tgt LEFT JOIN src USING (utt, pos) JOIN n USING (utt) JOIN ends USING (utt) WHERE dur > 0),
+  every AS (SELECT *, unnest(range(dur)) AS i FROM met),
+  places AS (SELECT utt, pos, (begins + i)::INTEGER AS t, CASE WHEN has = 0 THEN least(a, n) - 1 WHEN has = 1 THEN a ELSE a + i * (has - 1) / greatest(dur - 1, 1)::DOUBLE END AS p FROM every),
+  warp AS (SELECT p.utt, p.pos, p.t, coalesce(x.pitch + (p - floor(p)) * (coalesce(y.pitch, x.pitch) - x.pitch), 0.0) AS pitch
+    FROM places p LEFT JOIN frames x ON x.utt = p.utt AND x.t = floor(p) LEFT JOIN frames y ON y.utt = p.utt AND y.t = floor(p) + 1)"""
+
+
+def _warped(spark, d):
+    s = segs(spark, d)
+    source = s.select("utt", "pos", (F.col("dur") + (F.col("pos") % 4 == 1).cast("int")).alias("dur"))
+    target = next_user(s).join(s.select("utt").distinct(), "utt", "left_semi").withColumn("dur", F.col("dur") - (F.col("pos") % 5 == 0).cast("int"))
+    return B.warped_onto(frames(spark, d), ["pitch"], source, target)
+
+
+@query("seq_14_segment_warp", f"WITH {_WARP} SELECT utt, pos, t, round(pitch, 6) AS x FROM warp")
 def segment_warp(spark, d):
-    xs = F.transform(F.array_sort(F.collect_list(F.struct("t", "pitch"))), lambda s: s["pitch"])
-    g = with_runs(spark, d).groupBy("utt", "pos").agg(xs.alias("xs"))
-    return g.select("utt", "pos", F.posexplode(A.resampled(F.col("xs"), F.lit(4))).alias("i", "x")).select("utt", "pos", "i", r6("x").alias("x"))
+    return _warped(spark, d).select("utt", "pos", "t", r6("pitch").alias("x"))
+
+
+_DELTA = f"{_WARP}, {_gauss('smooth', 'warp', 'pitch', 3.0)}, delta AS (SELECT s.utt, s.t, f.pitch - s.pitch AS pitch FROM smooth s JOIN frames f ON f.utt = s.utt + 1 AND f.t = s.t)"
 
 
-@query("seq_15_frame_delta", f"WITH {FRAMES} SELECT a.utt, a.t, round(a.pitch - b.pitch, 6) AS delta FROM frames a JOIN frames b ON a.t = b.t AND b.utt = a.utt + 1")
+def _delta(spark, d):
+    return S.paired_delta(next_user(frames(spark, d)), _warped(spark, d), ["pitch"])
+
+
+@query("seq_15_frame_delta", f"WITH {_DELTA} SELECT utt, t, round(pitch, 6) AS delta FROM delta")
 def frame_delta(spark, d):
-    a = frames(spark, d)
-    b = frames(spark, d).select((F.col("utt") - 1).alias("utt"), "t", F.col("pitch").alias("base"))
-    return a.join(b, ["utt", "t"]).select("utt", "t", r6(F.col("pitch") - F.col("base")).alias("delta"))
+    """The next user's frames less those of this one, warped onto the next one's segments and smoothed."""
+    return _delta(spark, d).select("utt", "t", r6("pitch").alias("delta"))
 
 
 @query("seq_16_downsample", f"WITH {DURS}, e AS (SELECT utt, total, greatest(1, total // 5) AS n FROM durs), i AS (SELECT utt, total, n, unnest(range(n)) AS i FROM e) SELECT utt, i::INTEGER AS i, (CASE WHEN n = 1 THEN total // 2 ELSE round_even(i * (total - 1) / (n - 1)::DOUBLE, 0) END)::INTEGER AS d FROM i")
@@ -298,10 +366,12 @@ def downsample(spark, d):
 
 
 def _anchored(spark, d):
-    return G.anchors(segs(spark, d), with_runs(spark, d), "pitch").join(segs(spark, d).select("utt", "pos", "dur", "phone"), ["utt", "pos"])
+    """The anchors of each segment, to be rendered at other durations: 0 to 6 frames."""
+    s = segs(spark, d)
+    return G.anchors(s, frames(spark, d), "pitch").join(s.select("utt", "pos", "phone", (F.col("pos") % 7).alias("dur")), ["utt", "pos"])
 
 
-_ANCHORED = f"""{SEGS}, anchored AS (SELECT s.utt, s.pos, s.dur AS d, s.phone, a.pitch AS x, m.pitch AS y, e.pitch AS z FROM segs s
+_ANCHORED = f"""{SEGS}, anchored AS (SELECT s.utt, s.pos, s.pos % 7 AS d, s.phone, a.pitch AS x, m.pitch AS y, e.pitch AS z FROM segs s
         JOIN frames a ON a.utt = s.utt AND a.t = s.start JOIN frames m ON m.utt = s.utt AND m.t = s.start + s.dur // 2 JOIN frames e ON e.utt = s.utt AND e.t = s.start + s.dur - 1),
         p AS (SELECT *, (d + 1) // 2 AS f, unnest(range(d))::INTEGER AS i FROM anchored)"""
 _LINEAR = """CASE WHEN d = 1 THEN y WHEN d = 2 THEN CASE WHEN i = 0 THEN x ELSE z END WHEN d = 3 THEN CASE i WHEN 0 THEN x WHEN 1 THEN y ELSE z END
@@ -314,7 +384,7 @@ def _render(spark, d, kind):
     return _anchored(spark, d).select("utt", "pos", F.posexplode(xs).alias("i", "v")).select("utt", "pos", "i", r6("v").alias("v"))
 
 
-@query("seq_17_render_line", f"WITH {_ANCHORED} SELECT utt, pos, i, round(CASE WHEN d = 1 THEN x ELSE x + (z - x) * i / greatest(d - 1, 1) END, 6) AS v FROM p")
+@query("seq_17_render_line", f"WITH {_ANCHORED} SELECT utt, pos, i, round(CASE WHEN d = 1 THEN 0.5 * (x + z) ELSE x + (z - x) * i / greatest(d - 1, 1) END, 6) AS v FROM p")
 def render_line(spark, d):
     return _render(spark, d, F.lit("line"))
 
@@ -360,12 +430,21 @@ def half_masks(spark, d):
 
 @query(
     "seq_24_boundary_blend",
-    f"WITH {RUNS}, c AS (SELECT utt, t, pos, pitch, lead(pitch) OVER (PARTITION BY utt ORDER BY t) AS nx, lead(pos) OVER (PARTITION BY utt ORDER BY t) AS np FROM runs) SELECT utt, t, round(CASE WHEN np <> pos THEN 0.5 * pitch + 0.5 * nx ELSE pitch END, 6) AS x FROM c",
+    f"""WITH {RUNS}, c AS (SELECT *, 0.9 * coalesce(lag(pitch) OVER w, 0.0) AS p, 1.1 * coalesce(lead(pitch) OVER w, 0.0) AS q FROM runs WINDOW w AS (PARTITION BY utt ORDER BY t)),
+        b AS (SELECT utt, pos, arg_min(p, t) AS before, arg_max(q, t) AS after, min(t) AS a, max(t) AS e FROM c GROUP BY 1, 2),
+        n AS (SELECT utt, pos, a, e, lag(after) OVER w AS from_last, lead(before) OVER w AS from_next FROM b WINDOW w AS (PARTITION BY utt ORDER BY pos)),
+        one AS (SELECT r.utt, r.pos, r.t, n.e, from_next, CASE WHEN r.t = n.a AND from_last IS NOT NULL THEN 0.5 * r.pitch + 0.5 * from_last ELSE r.pitch END AS x FROM runs r JOIN n USING (utt, pos))
+        SELECT utt, t, round(CASE WHEN t = e AND from_next IS NOT NULL THEN 0.5 * x + 0.5 * from_next ELSE x END, 6) AS x FROM one""",
 )
 def boundary_blend(spark, d):
+    """Blocks are the runs of a user between predictions of the frames beside them: nine tenths of the one before, eleven tenths of the one after."""
     w = G.by_time()
-    x = F.when(F.lead("pos").over(w) != F.col("pos"), 0.5 * F.col("pitch") + 0.5 * F.lead("pitch").over(w)).otherwise(F.col("pitch"))
-    return with_runs(spark, d).select("utt", "t", r6(x).alias("x"))
+    c = with_runs(spark, d).withColumn("p", 0.9 * F.lag("pitch", 1, 0.0).over(w)).withColumn("q", 1.1 * F.lead("pitch", 1, 0.0).over(w))
+    packed = F.array_sort(F.collect_list(F.struct("t", "pitch", "p", "q"))).alias("s")
+    ext = F.concat(F.array(F.col("s")[0]["p"]), F.transform("s", lambda r: r["pitch"]), F.array(F.element_at("s", -1)["q"]))
+    b = c.groupBy("utt", "pos").agg(packed, F.min("t").alias("start")).select("utt", "pos", "start", ext.alias("ext"))
+    out = B.blended(b.select("utt", "pos", "ext")).join(b.select("utt", "pos", "start"), ["utt", "pos"])
+    return out.select("utt", "start", F.posexplode("body").alias("i", "x")).select("utt", (F.col("start") + F.col("i")).alias("t"), r6("x").alias("x"))
 
 
 @query("seq_25_collate", f"WITH {DURS}, m AS (SELECT *, (ceil(max(len(d)) OVER (PARTITION BY utt % 8) / 16.0) * 16)::BIGINT AS width FROM durs) SELECT utt, width, len(d)::BIGINT AS n, total::BIGINT AS total FROM m")
@@ -391,17 +470,49 @@ def position_from_ends(spark, d):
     return e.select("utt", F.posexplode(A.positions_of_ends(F.col("e"))).alias("t", "place"))
 
 
-@query("seq_28_gated_delta", f"WITH {FRAMES} SELECT a.utt, a.t, round(a.pitch + CASE WHEN a.pitch > 40 AND b.pitch > 40 THEN 0.5 * (b.pitch - a.pitch) ELSE 0 END, 6) AS x FROM frames a LEFT JOIN frames b ON b.utt = a.utt + 1 AND b.t = a.t")
+_CHANNELS = "ours AS (SELECT utt, t, ln(pitch + 1) AS pitch, pitch / 50 AS loud FROM frames)"
+
+
+def _channels(spark, d):
+    """(utt, t, pitch, loud): the logarithm of the pitch, and a share of it as loudness."""
+    return frames(spark, d).select("utt", "t", F.log1p("pitch").alias("pitch"), (F.col("pitch") / 50).alias("loud"))
+
+
+@query(
+    "seq_28_gated_delta",
+    f"""WITH {FRAMES}, {_CHANNELS}, held AS (SELECT * FROM ours WHERE utt + 1 IN (SELECT utt FROM ours)),
+        exemplar AS (SELECT utt - 1 AS utt, t, ln(pitch + 1) - 3.5 AS dp, pitch / 50 - 0.7 AS dl, (pitch > 40)::INTEGER::DOUBLE AS v FROM frames),
+        {_stretch('warped', 'exemplar', 'dp dl v', 'held')},
+        masks AS (SELECT w.*, (o.pitch > ln(31))::INTEGER::DOUBLE AS mine, (o.pitch > ln(31) AND w.v > 0.5)::INTEGER::DOUBLE AS both_ FROM warped w JOIN held o ON o.utt = w.utt AND o.t = w.t),
+        {_gauss('gates', 'masks', 'mine both_', 2.0)},
+        gated AS (SELECT m.utt, m.t, m.dp * g.both_ AS dp, m.dl * g.mine AS dl FROM masks m JOIN gates g ON g.utt = m.utt AND g.t = m.t),
+        {_gauss('moves', 'gated', 'dp dl', 1.5)}
+        SELECT o.utt, o.t, round(o.pitch + 0.8 * coalesce(dp, 0), 6) AS pitch, round(o.loud + 0.8 * coalesce(dl, 0), 6) AS loud FROM ours o LEFT JOIN moves m ON m.utt = o.utt AND m.t = o.t""",
+)
 def gated_delta(spark, d):
-    b = frames(spark, d).select((F.col("utt") - 1).alias("utt"), "t", F.col("pitch").alias("other"))
-    both = (F.col("pitch") > 40) & (F.col("other") > 40)
-    return frames(spark, d).join(b, ["utt", "t"], "left").select("utt", "t", r6(F.col("pitch") + F.when(both, 0.5 * (F.col("other") - F.col("pitch"))).otherwise(0.0)).alias("x"))
+    """The exemplar is the next user: its distance from a mid value is the delta, voiced above 40."""
+    e = next_user(frames(spark, d))
+    delta = e.select("utt", "t", (F.log1p("pitch") - 3.5).alias("pitch"), (F.col("pitch") / 50 - 0.7).alias("loud"), (F.col("pitch") > 40).cast("double").alias("voiced"))
+    return S.with_delta(_channels(spark, d), delta, 0.8).select("utt", "t", r6("pitch").alias("pitch"), r6("loud").alias("loud"))
 
 
-@query("seq_29_apply_envelope", f"WITH {FRAMES} SELECT utt, t, round(pitch * least(greatest(pitch / avg(pitch) OVER (PARTITION BY utt), 0.6), 2.5), 6) AS x FROM frames")
+@query(
+    "seq_29_apply_envelope",
+    f"""WITH {FRAMES}, {_CHANNELS}, held AS (SELECT * FROM ours WHERE utt + 1 IN (SELECT utt FROM ours)),
+        exemplar AS (SELECT utt - 1 AS utt, t, pitch, pitch / 50 AS loud FROM frames), last AS (SELECT utt, max(t) AS last FROM exemplar GROUP BY 1),
+        swing AS (SELECT f.utt, f.t, any_value(f.loud) AS loud, CASE WHEN count_if(g.pitch > 40) >= 3 THEN stddev_pop(CASE WHEN g.pitch > 40 THEN g.pitch END) ELSE 0.0 END AS pitch
+          FROM exemplar f JOIN last USING (utt), (SELECT unnest(range(-6, 6)) AS k) k, exemplar g WHERE g.utt = f.utt AND g.t = greatest(0, least(f.t + k.k, last)) GROUP BY 1, 2),
+        {_gauss('env', 'swing', 'pitch loud', 6.0)},
+        scaled AS (SELECT utt, t, least(greatest(pitch / (avg(pitch) OVER (PARTITION BY utt) + 1e-6), 0.5), 3.0) AS pitch, least(greatest(loud / (avg(loud) OVER (PARTITION BY utt) + 1e-6), 0.6), 2.5) AS loud FROM env),
+        {_stretch('by_', 'scaled', 'pitch loud', 'held')}, {_gauss('centre', 'ours', 'pitch loud', 20.0)}
+        SELECT o.utt, o.t, round(CASE WHEN b.pitch IS NULL THEN o.pitch ELSE c.pitch + (o.pitch - c.pitch) * (1 + 0.7 * (b.pitch - 1)) END, 6) AS pitch,
+          round(CASE WHEN b.loud IS NULL THEN o.loud ELSE c.loud + (o.loud - c.loud) * (1 + 0.4 * (b.loud - 1)) END, 6) AS loud
+        FROM ours o JOIN centre c ON c.utt = o.utt AND c.t = o.t LEFT JOIN by_ b ON b.utt = o.utt AND b.t = o.t""",
+)
 def apply_envelope(spark, d):
-    xs = F.col("xs")
-    return S.exploded(series(spark, d), F.zip_with(xs, S.envelope(xs, 0.6, 2.5), lambda a, b: a * b), "x").select("utt", "t", r6("x").alias("x"))
+    """The exemplar is the next user."""
+    exemplar = next_user(frames(spark, d)).select("utt", "t", "pitch", (F.col("pitch") / 50).alias("loud"))
+    return S.excited(_channels(spark, d), exemplar, 0.7, 0.4).select("utt", "t", r6("pitch").alias("pitch"), r6("loud").alias("loud"))
 
 
 @query("seq_30_concat_gaps", f"WITH {SEGS} SELECT utt, pos, (coalesce(sum(dur + 6) OVER (PARTITION BY utt ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS place FROM segs")
@@ -410,7 +521,13 @@ def concat_gaps(spark, d):
     return segs(spark, d).select("utt", "pos", F.coalesce(F.sum(F.col("dur") + 6).over(w), F.lit(0)).alias("place"))
 
 
-@query("seq_31_body_delta", f"WITH {FRAMES}, n AS (SELECT utt, max(t) AS last FROM frames GROUP BY 1) SELECT f.utt, f.t, round(f.pitch + CASE WHEN f.t > 0 AND f.t < last THEN coalesce((f.t - 1) * 0.25::DOUBLE, 0) ELSE 0 END, 6) AS x FROM frames f JOIN n USING (utt)")
+@query(
+    "seq_31_body_delta",
+    f"""WITH {_DELTA}, e AS (SELECT utt, arg_min(dur, pos) AS first, arg_max(dur, pos) AS last FROM segs GROUP BY 1),
+        b AS (SELECT delta.utt, delta.t + first AS t, delta.pitch AS d FROM delta JOIN e USING (utt) JOIN n USING (utt) WHERE delta.t < n - first - last)
+        SELECT f.utt, f.t, round(f.pitch + 0.5 * coalesce(b.d, 0), 6) AS x FROM frames f LEFT JOIN b ON b.utt = f.utt AND b.t = f.t""",
+)
 def body_delta(spark, d):
-    n = F.max("t").over(W.partitionBy("utt"))
-    return frames(spark, d).withColumn("last", n).select("utt", "t", r6(F.col("pitch") + F.when((F.col("t") > 0) & (F.col("t") < F.col("last")), (F.col("t") - 1) * 0.25).otherwise(0.0)).alias("x"))
+    """The first and the last segment stand for the ends; the delta is that of seq_15, which may be shorter or longer than the body."""
+    ends = segs(spark, d).groupBy("utt").agg(F.min_by("dur", "pos").alias("first"), F.max_by("dur", "pos").alias("last"))
+    return S.with_body_delta(frames(spark, d), _delta(spark, d), ends, "pitch", 0.5).select("utt", "t", r6("pitch").alias("x"))

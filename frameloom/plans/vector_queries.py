@@ -98,18 +98,28 @@ def group_split(spark, d):
     return O.group_split(table(spark, d, "events").select("event_id", "user_id"), "user_id", "event_id", 0.1, "g").select("event_id", "split")
 
 
-@query("ord_13_length_batches", "WITH b AS (SELECT doc_id, floor(n_chars / 500) AS w, row_number() OVER (PARTITION BY floor(n_chars / 500) ORDER BY n_chars, doc_id) AS rn FROM documents) SELECT doc_id, w::BIGINT::VARCHAR || '-' || floor((rn - 1) / 16)::BIGINT::VARCHAR AS batch FROM b")
+_BATCHES = "WITH b AS (SELECT doc_id, (row_number() OVER (ORDER BY n_chars, doc_id) - 1) // 16 AS batch FROM documents)"
+
+
+@query(
+    "ord_13_length_batches",
+    f"""{_BATCHES}, p AS (SELECT batch, row_number() OVER (ORDER BY {_hash('e1', 'batch')}, batch) - 1 AS place FROM (SELECT DISTINCT batch FROM b))
+        SELECT doc_id, batch::BIGINT AS batch, place::BIGINT AS place FROM b JOIN p USING (batch)""",
+)
 def length_batches(spark, d):
-    return O.batches(table(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 16, 500).select("doc_id", "batch")
+    return O.batches(table(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 16, "e1").select("doc_id", "batch", "place")
 
 
-@query("ord_14_fixed_batch", "SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= 256 UNION ALL SELECT DISTINCT event_type, -1 FROM events")
+@query(
+    "ord_14_fixed_batch",
+    f"""WITH s AS (SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY {_hash('b', 'event_id')}, event_id) <= 64),
+        n AS (SELECT user_id, count(*) AS n FROM s GROUP BY 1)
+        SELECT user_id, event_id, value FROM s UNION ALL SELECT user_id, NULL, 0.0 FROM (SELECT user_id, unnest(range(n, 64)) FROM n WHERE n < 64)""",
+)
 def fixed_batch(spark, d):
-    from pyspark.sql import Window as W
-
-    e = table(spark, d, "events").select("event_type", "event_id")
-    rn = F.row_number().over(W.partitionBy("event_type").orderBy("event_id"))
-    return e.withColumn("rn", rn).where("rn <= 256").drop("rn").union(e.select("event_type", F.lit(-1).cast("long")).distinct())
+    """Some users have more than 64 events, some fewer."""
+    e = table(spark, d, "events").select("user_id", "event_id", "value")
+    return O.fixed_batch(e, "user_id", "event_id", 64, "b", {"value": F.lit(0.0)})
 
 
 @query("ord_15_round_robin", "SELECT event_id, ((row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) % 4)::INTEGER AS slot FROM events")

@@ -28,12 +28,15 @@ CASES = {
     "upto_0": (lambda: A.upto(F.lit(0)), []),
     "trimmed": (lambda: A.trimmed_to(ints(3, 4, 5), F.lit(8)), [3, 4, 1]),
     "tail_trimmed": (lambda: A.tail_trimmed(ints(3, 4, 5), F.lit(8)), [3, 5]),
+    "tail_trimmed_first_too_long": (lambda: A.tail_trimmed(ints(9, 2), F.lit(5)), [9]),
+    "tail_not_trimmed": (lambda: A.tail_trimmed(ints(3, 0, 2), F.lit(5)), [3, 0, 2]),
     "residual_surplus": (lambda: A.residual_fixed(ints(3, 2, 0), F.lit(7)), [3, 4, 0]),
     "residual_shortage": (lambda: A.residual_fixed(ints(5, 1), F.lit(4)), [3, 1]),
     "residual_none": (lambda: A.residual_fixed(ints(1, 1), F.lit(1)), [1, 1]),
     "weighted": (lambda: A.weighted_durations(reals(1, 1, 2), F.lit(9)), [2, 2, 5]),
     "weighted_blocked": (lambda: A.weighted_durations(reals(1, 1, 1), F.lit(2)), [1, 1, 1]),
     "intervals": (lambda: A.interval_durations(reals(0, 0.1), reals(0.1, 0.11), F.lit(8)), [5, 3]),
+    "intervals_scaled": (lambda: A.interval_durations(reals(0, 0.16, 0.32), reals(0.16, 0.32, 0.48), F.lit(10)), [5, 5, 1]),
     "chunks_long": (lambda: A.chunk_starts(F.lit(450)), [0, 100, 200]),
     "chunks_exact": (lambda: A.chunk_starts(F.lit(200)), [0]),
     "chunks_short": (lambda: A.chunk_starts(F.lit(150)), [0]),
@@ -52,6 +55,8 @@ CASES = {
     "render_3": (lambda: G.rendered(F.lit(0.0), F.lit(10.0), F.lit(20.0), F.lit(3), F.lit("linear")), [0, 10, 20]),
     "render_4": (lambda: G.rendered(F.lit(0.0), F.lit(10.0), F.lit(20.0), F.lit(4), F.lit("linear")), [0, 10, 10, 20]),
     "render_5": (lambda: G.rendered(F.lit(0.0), F.lit(10.0), F.lit(20.0), F.lit(5), F.lit("linear")), [0, 5, 10, 10, 20]),
+    "line_1": (lambda: G.rendered(F.lit(0.0), F.lit(10.0), F.lit(20.0), F.lit(1), F.lit("line")), [10]),
+    "line_3": (lambda: G.rendered(F.lit(0.0), F.lit(99.0), F.lit(20.0), F.lit(3), F.lit("line")), [0, 10, 20]),
     "plateau_4": (lambda: G.rendered(F.lit(0.0), F.lit(10.0), F.lit(20.0), F.lit(4), F.lit("plateau")), [0, 10, 10, 20]),
     "median": (lambda: G.median(reals(1, 9, 2, 8, 3)), [1, 2, 3, 3, 3]),
     "clauses": (lambda: S.merged_clauses(F.lit("a b, c d, e f. g"), 4), ["a b, c d", "e f.", "g"]),
@@ -60,7 +65,7 @@ CASES = {
     "gap_parts": (lambda: F.transform(S.gaps(F.lit(" a, b! c\n")), lambda g: g["part"]), ["a,", "b!", "c"]),
     "prosody": (lambda: F.array(*[S.prosody(F.lit(t))[k] for t in ("NUM", "DET", "INTJ") for k in ("scale", "boost")]), [1.3, 0.05, 0.7, -0.03, 1.0, 0.0]),
     "prosody_charming": (lambda: F.array(*[S.prosody(F.lit(t), "charming")[k] for t in ("VERB", "PART", "X") for k in ("scale", "boost")]), [1.4, 0.1, 0.6, -0.05, 1.0, 0.0]),
-    "envelope_of_zeros": (lambda: G.envelope(reals(0, 0), 0.5, 3.0), [0.5, 0.5]),
+    "envelope_of_zeros": (lambda: F.array(G.envelope(F.lit(0.0), F.lit(0.0), 0.5, 3.0), G.envelope(F.lit(9.0), F.lit(2.0), 0.5, 3.0)), [0.5, 3.0]),
     "rolling_std": (lambda: G.rolling_std(reals(50, 52, 10, 54), 4, 40.0, 2), [0.75**0.5, (8 / 9) ** 0.5, (8 / 3) ** 0.5, (8 / 9) ** 0.5]),
     "deadzones": (lambda: F.array(G.deadzone_loss(F.lit(-5.0), 3.0, 2.0), G.deadzone_loss(F.lit(2.0), 3.0), G.beyond(F.lit(9.0), G.conditional_deadzone(F.lit(-6.0), 4.0))), [8, 0, 3]),
     "bround": (lambda: F.array(*[S.whole_duration(F.lit(x)) for x in (12.5, 2.5, 3.5, 0.1)]), [12, 2, 4, 1]),

@@ -38,6 +38,13 @@ def test_anchors(spark):
     assert rows(got.select("pos", "start_x", "mid_x", "end_x"), "pos") == [(0, 0, 0, 0), (1, 1, 3, 5)]
 
 
+def test_anchors_of_empty_segments_are_at_the_cursor(spark):
+    frames = spark.createDataFrame([(0, t, float(10 * t)) for t in range(4)], "utt int, t int, x double")
+    segs = spark.createDataFrame([(0, 0, 0, 0), (0, 1, 0, 2), (0, 2, 2, 0), (0, 3, 2, 3), (0, 4, 5, 0)], "utt int, pos int, start int, dur int")
+    got = G.anchors(segs, frames, "x").select("pos", "start_x", "mid_x", "end_x")
+    assert rows(got, "pos") == [(0, 0, 0, 0), (1, 0, 10, 10), (2, 20, 20, 20), (3, 20, 30, 30), (4, 30, 30, 30)]
+
+
 def test_pooled_gives_zero_without_frames(spark):
     s = spark.createDataFrame([(0, 0), (0, 1)], "utt int, pos int")
     f = spark.createDataFrame([(0, 0, 2.0), (0, 0, 4.0)], "utt int, pos int, x double")
@@ -146,12 +153,6 @@ def test_products_of_two_large_tables_are_refused(spark, monkeypatch):
     assert R.grid(spark.range(3), spark.range(2).toDF("b")).count() == 6
 
 
-def test_new_symbols_beyond_the_bound_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(R, "NEW_SYMBOLS", 1)
-    with pytest.raises(ValueError):
-        R.extended(spark.createDataFrame([("a", 0)], "symbol string, id int"), spark.createDataFrame([("b",), ("c",)], "symbol string"))
-
-
 def test_quantiles_are_exact(spark):
     import numpy as np
 

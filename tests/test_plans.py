@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frameloom.functions import arrays as A
+from frameloom.operators import blocks as B
 from frameloom.operators import quantize as V
 from frameloom.operators import relational as R
 from frameloom.operators import segments as G
@@ -55,5 +56,5 @@ def test_windows_over_one_key_share_a_shuffle(frames):
 
 
 def test_no_python_in_operators(frames):
-    for df in (G.segments(frames, "phone"), G.differences(frames, "pitch"), T.usage(frames.withColumn("code", F.col("t") % 5), "code"), G.warped(frames, frames.select("utt").distinct().withColumn("n", F.lit(5)), "pitch")):
+    for df in (G.segments(frames, "phone"), G.differences(frames, "pitch"), T.usage(frames.withColumn("code", F.col("t") % 5), "code"), B.stretched(frames, ["pitch"], frames.select("utt").distinct().withColumn("m", F.lit(5)))):
         assert "Python" not in plan(df) and "Arrow" not in plan(df)
