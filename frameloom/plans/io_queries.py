@@ -8,7 +8,9 @@ from ..functions import arrays as A
 from ..operators import quantize as V
 from ..operators.staging import scratch
 from ..sources import readers, writers
+from ..streaming import flush
 from ..streaming import incremental as I
+from ..streaming import monitor as M
 from .base import RUNS, SQL, query, r6, table, with_runs
 from .vector_queries import _books
 
@@ -186,6 +188,34 @@ def publish(spark, d):
     return writers.published(docs, path, "doc_id").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("keys"))
 
 
+@query(
+    "snk_06_staged_flush",
+    """WITH k AS (SELECT r.r_regionkey * 100 + n_nationkey AS id, n_nationkey AS n FROM nation, region r)
+        SELECT 'f' || id AS key, n % 5 <> 4 AS published, (CASE WHEN n % 5 = 4 THEN 0 ELSE 600 + n END)::BIGINT AS bytes, n % 5 = 4 OR n % 7 = 3 AS retried FROM k""",
+)
+def staged_flush(spark, d):
+    """Files of 600 bytes and more, of which some fail in the first four passes; a fifth has 100 bytes, and is never published."""
+    root, source, out = scratch(spark, "staging"), scratch(spark, "rows"), scratch(spark, "files")
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("n")).crossJoin(F.broadcast(table(spark, d, "region").select("r_regionkey")))
+    size = F.when(F.col("n") % 5 == 4, 100).otherwise(600 + F.col("n"))
+    rows = n.select(F.concat(F.lit("f"), (F.col("r_regionkey") * 100 + F.col("n")).cast("string")).alias("key"), F.repeat(F.lit("x"), size).cast("binary").alias("content"), "r_regionkey")
+    for region in range(5):  # a file for each
+        rows.where(F.col("r_regionkey") == region).drop("r_regionkey").coalesce(1).write.mode("append").parquet(source)
+
+    def put(uri, content, number):
+        if number <= 4 and int(uri.rpartition("/f")[2]) % 100 % 7 == 3:
+            raise OSError("busy")
+        flush.write_checked(uri, content)
+
+    sink = flush.StagedSink(spark, root, out, 50, put)
+    stream = spark.readStream.schema("key string, content binary").option("maxFilesPerTrigger", 1).parquet(source)
+    sink.start(stream, f"{root}-ck").awaitTermination()
+    sink.finish()
+    tried = sink.manifest().groupBy("key").agg(F.max("ok").alias("published"), (F.count("*") > 1).alias("retried"))
+    files = spark.read.format("binaryFile").load(out).select(F.regexp_extract("path", "([^/]+)$", 1).alias("key"), F.col("length").alias("bytes"))
+    return tried.join(files, "key", "left").select("key", "published", F.coalesce("bytes", F.lit(0)).alias("bytes"), "retried")
+
+
 @query("snk_08_best", "WITH e AS (SELECT user_id % 5 AS run, event_id, value FROM events) SELECT run, event_id, coalesce(value < min(value) OVER (PARTITION BY run ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_best FROM e")
 def best(spark, d):
     e = table(spark, d, "events").select((F.col("user_id") % 5).alias("run"), "event_id", "value")
@@ -220,11 +250,26 @@ def incremental(spark, d):
     return spark.read.schema("event_id long, value double").parquet(out).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("str_04_status", "WITH e AS (SELECT event_id // 1000 AS epoch, avg(value) AS value FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY epoch DESC) AS rn FROM e) SELECT max(epoch)::BIGINT AS epoch, round(max(CASE WHEN rn = 1 THEN value END), 6) AS value, round(avg(CASE WHEN rn <= 3 THEN value END), 6) AS recent, avg(CASE WHEN rn <= 3 THEN value END) < 60 AS better FROM r")
+@query(
+    "str_04_status",
+    """WITH r AS (SELECT event_type AS run, event_id // 1000 AS epoch, value, value / 10 AS seconds FROM events),
+        e AS (SELECT run, epoch, avg(value) AS value, sum(seconds) AS seconds FROM r GROUP BY 1, 2),
+        n AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY epoch DESC) AS rn FROM e), b AS (SELECT run, min(value) AS best FROM r GROUP BY 1)
+        SELECT run, max(epoch)::BIGINT AS epoch, round(max(CASE WHEN rn = 1 THEN value END), 6) AS value, round(avg(CASE WHEN rn <= 3 THEN value END), 6) AS recent,
+          round(max(CASE WHEN rn = 1 THEN value END) - max(CASE WHEN rn = 2 THEN value END), 6) AS trend, avg(CASE WHEN rn <= 3 THEN value END) < 60 AS better,
+          any_value(best) AS best, round((200 - max(epoch)) * avg(CASE WHEN rn <= 3 THEN seconds END), 4) AS eta_seconds FROM n JOIN b USING (run) GROUP BY run""",
+)
 def status(spark, d):
-    log = table(spark, d, "events").select(F.floor(F.col("event_id") / 1000).alias("epoch"), "value")
-    s = I.status(log, 60.0)
-    return s.select("epoch", r6("value").alias("value"), r6("recent").alias("recent"), "better")
+    """The log grows while it is watched: three parts, one after the other, the second and third with records of earlier epochs."""
+    source, out = scratch(spark, "log"), scratch(spark, "status")
+    log = table(spark, d, "events").select(F.col("event_type").alias("run"), F.floor(F.col("event_id") / 1000).alias("epoch"), "value", (F.col("value") / 10).alias("seconds"), "event_id")
+    for part in range(3):
+        log.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).drop("event_id").write.mode("append").json(source)
+        stream = spark.readStream.schema("run string, epoch long, value double, seconds double").json(source)
+        seen = M.monitored(stream, 60.0, 200)
+        M.upserted(seen, out, f"{out}-ck").awaitTermination()
+    s = M.latest(spark, out, seen.schema, "run")
+    return s.select("run", "epoch", *(r6(c).alias(c) for c in ("value", "recent", "trend")), "better", "best", F.round("eta_seconds", 4).alias("eta_seconds"))
 
 
 @query(
@@ -234,20 +279,33 @@ def status(spark, d):
 def state_machine(spark, d):
     from ..operators.segments import end_flags
 
-    source, name = scratch(spark, "ends"), f"places_{uuid.uuid4().hex}"
+    source, out = scratch(spark, "ends"), scratch(spark, "places")
     e = end_flags(with_runs(spark, d)).select("utt", "t", F.col("is_end").cast("int").alias("eop"), F.lit(20).alias("n"))
-    e.write.parquet(source)
-    stream = spark.readStream.schema(e.schema).parquet(source)
-    out = scratch(spark, name)
-    q = I.places(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-ck").outputMode("append").trigger(availableNow=True).start()
+    e = e.withColumn("ts", F.timestamp_seconds(1_704_067_200 + F.col("t") * 60))
+    for part in range(3):  # in no order of t
+        e.where(F.pmod(F.xxhash64("utt", "t"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    q = I.places(stream, "1 day").writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-ck").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema("utt long, t int, place int").parquet(out)
 
 
-@query("str_09_event_windows", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+@query(
+    "str_09_event_windows",
+    """WITH w AS (SELECT date_trunc('day', ts) - to_days(unnest(range(2))::INTEGER) AS start, event_type, value FROM events)
+        SELECT strftime(start, '%Y-%m-%d') AS day, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM w GROUP BY 1, 2""",
+)
 def event_windows(spark, d):
-    w = I.windows(table(spark, d, "events"), "1 day", "1 day", "1 hour", "event_type")
-    return w.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+    """Windows of two days that begin every day, over a stream whose parts are not in order of time."""
+    source, out = scratch(spark, "events"), scratch(spark, "windows")
+    e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    for part in range(3):
+        e.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    w = I.windows(stream, "2 days", "1 day", "40 days", "event_type")
+    M.upserted(w, out, f"{out}-ck").awaitTermination()
+    got = M.latest(spark, out, w.schema, "start", "event_type")
+    return got.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("vq_07_tokenize_corpus", f"SELECT vec_id, c0, c1 FROM ({SQL['vq_02_residual']})")

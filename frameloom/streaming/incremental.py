@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -28,33 +29,41 @@ def windows(events: DataFrame, size: str, slide: str, late: str, by: str) -> Dat
     return w.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), by, "n", "total")
 
 
-def status(log: DataFrame, baseline: float) -> DataFrame:
-    """One row over a metrics log (epoch, value): last epoch, its value, mean of the last three, whether it is below the baseline."""
-    last = F.slice(F.sort_array(F.collect_list(F.struct("epoch", "value")), asc=False), 1, 3)
-    x = log.groupBy("epoch").agg(F.avg("value").alias("value")).agg(last.alias("s"))  # a value for each epoch
-    mean = F.aggregate("s", F.lit(0.0), lambda a, r: a + r["value"]) / F.size("s")
-    return x.select(F.col("s")[0]["epoch"].alias("epoch"), F.col("s")[0]["value"].alias("value"), mean.alias("recent"), (mean < baseline).alias("better"))
+def places(ends: DataFrame, late: str = "1 hour") -> DataFrame:
+    """(utt, t, place) from a stream (utt, ts, t, eop, n) whose rows may come out of order: the place moves on after each end flag, and rows stop once it is past n.
 
-
-def places(ends: DataFrame, timeout: bool = False) -> DataFrame:
-    """(utt, t, place) from streamed (utt, t, eop, n): the place moves on after each end flag and rows stop once it is past n.
-
-    State is one number for each sequence. Within a batch rows are put in order of t.
+    A sequence's rows are taken in order of t from 0 on. One that comes early waits in the state. If the rows before it have not come when the watermark, `late` behind
+    the newest ts, passes its ts, a timer lets it go without them; rows that come after that, and rows of a t that has been, are left out. The state of a sequence is its place and what waits.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        place = state.get[0] if state.exists else 1
-        rows = pd.concat(list(parts)).sort_values("t")
+        place, after, waiting = json.loads(state.get[0]) if state.exists else (1, 0, {})
+        waiting = {int(t): row for t, row in waiting.items()}
+        passed = state.getCurrentWatermarkMs() if state.hasTimedOut else -1
+        if not state.hasTimedOut:
+            for pdf in parts:
+                ms = pdf["ts"].astype("datetime64[ms]").astype("int64")
+                for t, eop, n, at in zip(pdf["t"].tolist(), pdf["eop"].tolist(), pdf["n"].tolist(), ms.tolist(), strict=True):
+                    if t >= after and after >= 0:
+                        waiting.setdefault(t, [eop, n, at])
         out = []
-        for t, eop, n in zip(rows["t"], rows["eop"], rows["n"], strict=True):
+        while waiting:
+            t = min(waiting)
+            if t != after and waiting[t][2] > passed:
+                break
+            eop, n, _ = waiting.pop(t)
             if place > n:
+                after, waiting = -1, {}  # complete
                 break
             out.append((key[0], t, place))
-            place += int(eop)
-        state.update((place,))
+            place, after = place + eop, t + 1
+        state.update((json.dumps([place, after, waiting]),))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[min(waiting)][2] + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["utt", "t", "place"])
 
-    return ends.groupBy("utt").applyInPandasWithState(step, "utt long, t int, place int", "place int", "append", GroupStateTimeout.NoTimeout)
+    timed = ends.withWatermark("ts", late).groupBy("utt")
+    return timed.applyInPandasWithState(step, "utt long, t int, place int", "held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def model_seam(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
