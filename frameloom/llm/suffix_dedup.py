@@ -267,7 +267,10 @@ def _shared_windows(docs: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(key, spans): for rows by row_key() the parts [start, end) of bytes covered by windows that are elsewhere too, not merged."""
+    """(key, spans): for rows by row_key() the parts [start, end) of bytes covered by windows that are elsewhere too, not merged.
+
+    Rows that repeat count as occurrences, but have one set of parts, which is no longer than a text has phrases.
+    """
     again = stage(parse(docs, only_after=True).groupBy("after").count().where("count > 1"), "again")
     occurrences = stage(_found_again(parse(docs, only_after=False), again), "occurrences")
     dictionary = occurrences.groupBy("after", "whole").agg(F.count("*").alias("count"), F.min(F.struct("key", "place")).alias("of"))
@@ -283,7 +286,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     shared = _shared_windows(docs, open_)
     parts = shared.groupBy("key", "phrase").agg(F.min("at").alias("start"), (F.max("at") + WINDOW).alias("end"))
     spans = whole.union(parts.select("key", "start", "end"))
-    return stage(spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    return stage(spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -300,8 +303,8 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
 def without_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """docs (doc_id, text, ...) with n_bytes, n_removed, n_spans, kept_sha256 and, if asked, kept binary, the bytes left. Columns of these names are replaced.
 
-    Null or empty text: 0 bytes, nothing removed. Repeated rows: each is elsewhere for the other, so both lose what
-    is 400 bytes or longer. Null doc_id: like another. Empty table: empty result. Other columns pass through.
+    Null or empty text: 0 bytes, nothing removed. Long texts are hashed in overlapping blocks of 4 MB. Repeated rows: each is elsewhere for the other, so both lose what
+    is 400 bytes or longer. Ties do not arise: a window is elsewhere or not. Null doc_id: like another. Empty table: empty result. Other columns pass through.
     """
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "_text_key", "_spans")
     spans = repeated_spans(docs).select(F.col("key").alias("_text_key"), F.col("spans").alias("_spans"))

@@ -632,3 +632,15 @@ def test_orders_tell_what_is_shared_at_most(spark):
             assert want <= got[k] <= len(x)
             less += got[k] != want
         assert less <= 2 * df.sparkSession.sparkContext.defaultParallelism
+
+
+def test_equal_rows_have_one_set_of_parts(spark):
+    r = random.Random(8)
+    text = made_up(r, 500)
+    docs = spark.createDataFrame([(1, text)] * 3000 + [(2, made_up(r, 200))], "doc_id long, text string").repartition(4)
+    n = len(suffix_dedup.phrases(suffix_dedup._bytes(text))[0])
+    spans = suffix_dedup.repeated_spans(docs).collect()
+    assert [len(s.spans) for s in spans] == [n] and len(set(spans[0].spans)) == n
+    got = suffix_dedup.without_repeats(docs).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
+    size = len(text.encode())
+    assert sorted(map(tuple, got))[0] == (1, size, size, 1, 3000) and sorted(got)[1].n_removed == 0
