@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,9 +35,25 @@ def spread_of(stats: DataFrame, columns: list[str]) -> DataFrame:
     return stats.agg(*(f(c).alias(f"{c}_{n}") for c in columns for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("median", F.median))))
 
 
-def vector_mean(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, i, x): mean of each component."""
-    return df.select(key, F.posexplode(vector).alias("i", "x")).groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+def of_places(f: Callable[[Column], Column], vector: str, size: int) -> Column:
+    """An array of an aggregate over each of the first `size` places of vectors, such as their mean. One row for a group and task goes through the shuffle, however many vectors it has."""
+    return F.array(*(f(F.get(vector, F.lit(i)).cast("double")) for i in range(size)))
+
+
+def vector_mean(df: DataFrame, keys: str | list[str], vector: str) -> DataFrame:
+    """(keys, mean, n): mean of each place over the vectors of a group that have one there, and their number; null vectors don't count."""
+    keys = [keys] if isinstance(keys, str) else keys
+    size = df.agg(F.max(F.size(vector))).first()[0] or 0
+    return df.where(F.col(vector).isNotNull()).groupBy(*keys).agg(of_places(F.avg, vector, size).alias("mean"), F.count("*").alias("n"))
+
+
+def vector_delta(df: DataFrame, unit: str, kind: str, base: str, vector: str) -> DataFrame:
+    """(unit, kind, delta, n): mean vector by unit and kind less that of the base kind; n is the smaller count. A unit without the base kind has a base of zeros and n = 0."""
+    means = vector_mean(df, [unit, kind], vector)
+    b = means.where(F.col(kind) == base).select(unit, F.col("mean").alias("_base"), F.col("n").alias("_n"))
+    delta = F.zip_with("mean", F.coalesce("_base", F.transform("mean", lambda _: F.lit(0.0))), lambda x, y: x - y)
+    joined = means.where(F.col(kind) != base).join(b, unit, "left")
+    return joined.select(unit, kind, delta.alias("delta"), F.least("n", F.coalesce("_n", F.lit(0))).alias("n"))
 
 
 def group_delta(df: DataFrame, unit: str, kind: str, base: str, x: str) -> DataFrame:

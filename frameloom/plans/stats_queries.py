@@ -53,7 +53,8 @@ def spread(spark, d):
     "SELECT label, (i - 1)::INTEGER AS i, round(avg(x), 6) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2",
 )
 def vector_mean(spark, d):
-    return ST.vector_mean(table(spark, d, "embeddings"), "label", "embedding").select("label", "i", r6("x").alias("x"))
+    m = ST.vector_mean(table(spark, d, "embeddings"), "label", "embedding")
+    return m.select("label", F.posexplode("mean").alias("i", "x")).select("label", "i", r6("x").alias("x"))
 
 
 _Z = "z AS (SELECT user_id % 40 AS phone, event_type AS emotion, user_id, event_id, (ln(value + 1) - m) / s AS x FROM events, (SELECT avg(ln(value + 1)) AS m, stddev_pop(ln(value + 1)) AS s FROM events))"
@@ -74,6 +75,21 @@ def group_delta(spark, d):
     return ST.group_delta(_z(spark, d), "phone", "emotion", BASE, "x").select("phone", "emotion", r6("delta").alias("delta"), "n")
 
 
+@query(
+    "agg_07_vector_delta",
+    """WITH e AS (SELECT label AS phone, CASE WHEN label = 3 THEN 1 + vec_id % 2 ELSE vec_id % 3 END AS emotion, embedding FROM embeddings),
+        g AS (SELECT phone, emotion, i, avg(x) AS m, count(*) AS n FROM (SELECT phone, emotion, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM e) GROUP BY 1, 2, 3)
+        SELECT a.phone, a.emotion, a.i::INTEGER AS i, round(a.m - coalesce(b.m, 0), 6) AS delta, least(a.n, coalesce(b.n, 0))::BIGINT AS n
+        FROM g a LEFT JOIN g b ON b.phone = a.phone AND b.i = a.i AND b.emotion = 0 WHERE a.emotion <> 0""",
+)
+def vector_delta(spark, d):
+    """One phone has nothing of the base kind."""
+    kind = F.when(F.col("label") == 3, 1 + F.col("vec_id") % 2).otherwise(F.col("vec_id") % 3)
+    e = table(spark, d, "embeddings").select(F.col("label").alias("phone"), kind.alias("emotion"), "embedding")
+    v = ST.vector_delta(e, "phone", "emotion", 0, "embedding")
+    return v.select("phone", "emotion", "n", F.posexplode("delta").alias("i", "delta")).select("phone", "emotion", "i", r6("delta").alias("delta"), "n")
+
+
 @query(
     "agg_08_mean_ratio",
     """WITH n AS (SELECT user_id, event_type, count(*) AS c FROM events GROUP BY 1, 2), p AS (SELECT a.event_type AS kind, a.c / b.c::DOUBLE AS r FROM n a JOIN n b USING (user_id) WHERE a.event_type <> 'view' AND b.event_type = 'view')

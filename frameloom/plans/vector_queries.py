@@ -364,7 +364,7 @@ def stale_codes(spark, d):
 def mean_vector(spark, d):
     from ..operators.stats import vector_mean
 
-    return vector_mean(table(spark, d, "embeddings"), "label", "embedding").groupBy("label").agg(r6(F.sqrt(F.sum(F.col("x") * F.col("x")))).alias("norm"))
+    return vector_mean(table(spark, d, "embeddings"), "label", "embedding").select("label", r6(A.norm(F.col("mean"))).alias("norm"))
 
 
 _LOGITS = "x AS (SELECT l_orderkey, l_linenumber, [l_quantity / 50, l_discount * 10, l_tax * 10, 0.5::DOUBLE] AS z, (l_orderkey % 4)::INTEGER AS target, l_linenumber AS level FROM lineitem)"

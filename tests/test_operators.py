@@ -1,5 +1,6 @@
 """Operators on small literal frames."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,3 +174,54 @@ def test_resampling_keeps_tones():
     assert up == pytest.approx(np.sin(2 * np.pi * 5 * np.arange(128) / 128) + 0.3)
     assert readers.resampled(up, 64) == pytest.approx(x)
     assert readers.resampled(x[:0], 0).tolist() == []
+
+
+def brute_codes(x, books):
+    """Codes of each level by squared distance, ties to the least code, and what is left."""
+    codes, rest = [], np.array(x, float)
+    for book in books:
+        d, code, word = min(((float(((rest - np.array(v)) ** 2).sum()), c, v) for c, v in book), key=lambda t: t[:2])
+        codes.append(code)
+        rest = rest - np.array(word)
+    return codes, rest, d
+
+
+@pytest.mark.parametrize("block", [1 << 22, 24, 9])
+def test_blocked_search_equals_brute_force(spark, monkeypatch, block):
+    """Codebooks in many blocks, with equal codewords and rows on them; rows without a vector."""
+    monkeypatch.setattr(V, "BLOCK", block)
+    r = np.random.default_rng(block)
+    books = [[(int(c), v.round(1).tolist()) for c, v in zip(r.permutation(40), r.normal(size=(40, 3)) * 3, strict=True)] for _ in range(2)]
+    books[0][7] = (books[0][7][0], books[0][3][1])
+    vectors = [v.round(2).tolist() for v in r.normal(size=(60, 3)) * 3] + [v for _, v in books[0]]
+    rows_ = [(k, v) for k, v in enumerate(vectors)] + [(900, None), (901, [1.0, 2.0]), (902, [1.0, None, 2.0])]
+    q = spark.createDataFrame(rows_, "id int, v array<double>").repartition(3)
+    frames = [spark.createDataFrame(b, "code int, v array<double>") for b in books]
+    one = {x.id: (x.code, x.dist) for x in V.assign(q, frames[0]).collect()}
+    two = {x.id: (x.codes, x.error) for x in V.residual_assign(q, frames).collect()}
+    for k, v in enumerate(vectors):
+        codes, _, d = brute_codes(v, books[:1])
+        assert one[k][0] == codes[0] and one[k][1] == pytest.approx(d)
+        codes, rest, _ = brute_codes(v, books)
+        assert two[k][0] == codes and two[k][1] == pytest.approx(float((rest**2).sum()))
+    for k in (900, 901, 902):
+        assert one[k] == (None, None) and two[k] == (None, None)
+    back = V.decoded(V.residual_assign(q.where("id < 60"), frames).select("id", "codes", F.col("v").alias("w")), frames)
+    for x in back.collect():
+        assert np.allclose(x.v, np.array(x.w) - brute_codes(x.w, books)[1])
+
+
+def test_vector_means_send_one_row_a_group_and_task(spark):
+    r = np.random.default_rng(1)
+    data = [(k % 3, "ab"[k % 2], r.random(5).tolist()) for k in range(60)] + [(7, "a", [1.0] * 5), (0, "a", None)]
+    df = spark.createDataFrame(data, "g int, kind string, v array<double>").repartition(4)
+    got = {x.g: (x.mean, x.n) for x in T.vector_mean(df, "g", "v").collect()}
+    for g in range(3):
+        want = np.array([v for h, _, v in data if h == g and v])
+        assert np.allclose(got[g][0], want.mean(axis=0)) and got[g][1] == len(want)
+    delta = {(x.g, x.kind): (x.delta, x.n) for x in T.vector_delta(df, "g", "kind", "b", "v").collect()}
+    assert set(delta) == {(0, "a"), (1, "a"), (2, "a"), (7, "a")} and delta[7, "a"] == ([1.0] * 5, 0)
+    a, b = (np.array([v for h, k, v in data if (h, k) == (0, kind) and v]) for kind in "ab")
+    assert np.allclose(delta[0, "a"][0], a.mean(axis=0) - b.mean(axis=0)) and delta[0, "a"][1] == 10
+    plan = T.vector_mean(df, "g", "v")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "partial_avg" in plan
