@@ -107,10 +107,30 @@ def gaps(text: Column, sentence_gap: float = 0.30, comma_gap: float = 0.12) -> C
     return F.transform(parts, lambda p: F.struct(p.alias("part"), gap(p).alias("gap")))
 
 
-def phonemes_of(tokens: Column, silence: str = "<sil>", around: bool = True) -> Column:
-    """Symbols with silence for blanks and punctuation; silence at start and end if asked."""
-    body = F.transform(tokens, lambda p: F.when(p.rlike("^[A-Z]"), p).otherwise(F.lit(silence)))
-    return F.concat(F.array(F.lit(silence)), body, F.array(F.lit(silence))) if around else body
+#: Ends of sentences, and of phrases as well: fixed values.
+SENTENCE, PHRASE = ".!?", ".!?,;:—–"
+
+
+def sentences(text: Column, ends: str = SENTENCE) -> Column:
+    """The parts of a text between white space that follows an end; ends stay with their parts."""
+    return F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), rf"(?<=[{ends}])\s+")
+
+
+def blanks_silent(tokens: Column, silence: str = "<sil>") -> Column:
+    """Symbols in which a blank is silence; other white space and empty tokens are left out."""
+    kept = F.filter(tokens, lambda p: (p == " ") | ~p.rlike(r"^\s*$"))
+    return F.transform(kept, lambda p: F.when(p == " ", silence).otherwise(p))
+
+
+def silence_first(tokens: Column, silence: str = "<sil>") -> Column:
+    """Silence, then the phonemes alone."""
+    return F.concat(F.array(F.lit(silence)), F.filter(tokens, is_phoneme))
+
+
+def silences_between(parts: Column, silence: str = "<sil>") -> Column:
+    """The phonemes of an array of arrays of tokens with silence at the start, before each part but the first, and at the end. Parts without tokens are left out."""
+    one = lambda p, i: F.when(F.size(p) == 0, F.array().cast("array<string>")).otherwise(F.concat(F.when(i > 0, F.array(F.lit(silence))).otherwise(F.array().cast("array<string>")), F.filter(p, is_phoneme)))
+    return F.concat(F.array(F.lit(silence)), F.flatten(F.transform(parts, one)), F.array(F.lit(silence)))
 
 
 def is_phoneme(token: Column) -> Column:

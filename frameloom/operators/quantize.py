@@ -241,6 +241,23 @@ def cross_entropy(logits: Column, target: Column) -> Column:
     return log_sum_exp(logits) - F.get(logits, target)
 
 
+def leveled_loss(rows: DataFrame, level: str, logits: Column, target: Column, mask: Column, weights: dict[int, float]) -> DataFrame:
+    """(level, ce, acc, weight, total): mean cross-entropy and accuracy of each level over the rows that the mask (0 or 1) keeps, and the sum over levels of weight * ce.
+
+    A level that is masked whole has 0; levels without a weight have weight 0.
+    """
+    from ..functions.arrays import argmax
+
+    kept = F.greatest(F.sum(mask), F.lit(1))
+    hit = (argmax(logits) == target).cast("int")
+    by = rows.groupBy(level).agg((F.sum(cross_entropy(logits, target) * mask) / kept).alias("ce"), (F.sum(hit * mask) / kept).alias("acc"))
+    weight = F.lit(0.0)
+    for k, w in weights.items():
+        weight = F.when(F.col(level) == k, w).otherwise(weight)
+    by = by.withColumn("weight", weight)
+    return by.withColumn("total", F.sum(F.col("ce") * F.col("weight")).over(W.partitionBy(F.lit(0))))  # a row for each level
+
+
 def bce_with_logits(x: Column, y: Column, positive_weight: float = 1.0) -> Column:
     """Binary cross-entropy in the stable form."""
     soft = lambda z: F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..operators import quantize as V
 from ..operators.staging import scratch
-from ..sources import readers, writers
+from ..sources import files, readers, writers
 from ..streaming import flush
 from ..streaming import incremental as I
 from ..streaming import monitor as M
@@ -23,44 +23,94 @@ def listing(spark, d):
     return got.select(F.regexp_extract("path", "status=([^/]+)", 1).alias("status")).groupBy("status").agg((F.count("*") > 0).alias("found"))
 
 
-@query("src_02_partitioned_listing", "SELECT n_regionkey AS speaker, n_name AS emotion FROM nation WHERE n_regionkey BETWEEN 1 AND 3")
+_WALK = """SELECT CASE WHEN n_nationkey = 3 THEN 'misc' ELSE (5 * n_regionkey + 7)::VARCHAR END AS speaker, CASE WHEN n_nationkey % 6 = 1 THEN '__' || n_name ELSE n_name END AS emotion, n_nationkey FROM nation"""
+
+
+@query("src_02_partitioned_listing", f"SELECT speaker::INTEGER AS speaker, emotion, 'u' || n_nationkey AS key FROM ({_WALK}) WHERE speaker <> 'misc' AND speaker::INTEGER BETWEEN 11 AND 20 AND emotion NOT LIKE '\\_\\_%' ESCAPE '\\'")
 def partitioned_listing(spark, d):
     path = scratch(spark, "walk")
-    n = table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").alias("s"), F.col("n_name").alias("e"))
-    n.write.partitionBy("s", "e").parquet(path)
-    files = readers.listing(spark, path, "*.parquet")
-    x = files.select(F.regexp_extract("path", "/s=([^/]+)/e=([^/]+)/", 1).try_cast("int").alias("speaker"), F.regexp_extract("path", "/s=([^/]+)/e=([^/]+)/", 2).alias("emotion"))
-    return x.where("speaker between 1 and 3").distinct()
+    speaker = F.when(F.col("n_nationkey") == 3, "misc").otherwise((5 * F.col("n_regionkey") + 7).cast("string"))
+    emotion = F.when(F.col("n_nationkey") % 6 == 1, F.concat(F.lit("__"), "n_name")).otherwise(F.col("n_name"))
+    key = F.concat_ws("/", speaker, F.translate(emotion, " ", "%"), F.concat(F.lit("u"), F.col("n_nationkey").cast("string")))
+    files.write_arrays(table(spark, d, "nation").select(key.alias("key"), F.array("n_regionkey").alias("x")), path)
+    got = readers.partitioned_listing(spark, path, "*.npz", 11, 20)
+    return got.select("speaker", F.translate(F.regexp_replace("emotion", "%25", "%"), "%", " ").alias("emotion"), "key")
 
 
 _FEATURES = "SELECT user_id::VARCHAR AS utt_id, list(value ORDER BY event_id) AS pitch FROM events GROUP BY 1"
 
 
-def _features(spark, d):
-    e = table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("utt_id"))
+#: What is read of a feature file: of its four arrays one stays where it is.
+_ARRAYS = "key string, ema array<array<float>>, pitch array<float>, loudness array<float>"
+
+
+def _series(spark, d):
+    """(key, ema, pitch, loudness, spk_emb): the events of a user as a feature record; loudness lacks the last frame."""
+    e = table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("key"))
     xs = e.agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda s: s["value"].cast("float")).alias("pitch"))
-    path = scratch(spark, "features")
-    full = xs.select("utt_id", F.transform("pitch", lambda x: F.array(x)).alias("ema"), "pitch", F.slice("pitch", F.lit(1), F.size("pitch") - 1).alias("loudness"), F.array(F.lit(0.0).cast("float")).alias("spk_emb"))
-    writers.features(full, path)
-    return path
+    ema = F.transform("pitch", lambda x: F.array(x, -x))
+    return xs.select("key", ema.alias("ema"), "pitch", F.slice("pitch", F.lit(1), F.size("pitch") - 1).alias("loudness"), F.array(F.lit(0.0).cast("float")).alias("spk_emb"))
+
+
+def _npz(spark, rows):
+    """Rows written as NPZ files and read back through the data source."""
+    path = scratch(spark, "npz")
+    files.write_arrays(rows, path)
+    spark.dataSource.register(files.ArrayFiles)
+    return spark.read.format("arrays").schema(_ARRAYS).load(path)
 
 
-@query("src_03_features", f"SELECT utt_id, (len(pitch) - 1)::BIGINT AS n FROM ({_FEATURES})")
+_NPZ = "list_slice(pitch, 1, len(pitch) - 1)"
+
+
+@query("src_03_features", f"SELECT utt_id, (len(pitch) - 1)::BIGINT AS n, round(list_sum({_NPZ}), 2) AS pitch, round(-list_sum({_NPZ}), 2) AS ema, round(list_sum({_NPZ}), 2) AS loudness FROM ({_FEATURES})")
 def features(spark, d):
-    return readers.features(spark, _features(spark, d)).select("utt_id", F.size("pitch").cast("long").alias("n"))
+    f = readers.features(_npz(spark, _series(spark, d)))
+    total = lambda c: F.round(A.total(F.col(c)), 2).alias(c)
+    ema = F.round(A.total(F.transform("ema", lambda x: x[1])), 2).alias("ema")
+    return f.select(F.col("key").alias("utt_id"), F.size("pitch").cast("long").alias("n"), total("pitch"), ema, total("loudness"))
 
 
-@query("src_04_auto_log_pitch", f"SELECT utt_id, round(max(ln(x + 1)), 4) AS top FROM (SELECT utt_id, unnest(list_slice(pitch, 1, len(pitch) - 1)) AS x FROM ({_FEATURES})) GROUP BY 1")
+@query("src_04_auto_log_pitch", f"SELECT utt_id, i - 1 AS t, round(CASE WHEN list_max({_NPZ}) > 20 THEN ln({_NPZ}[i] + 1) ELSE {_NPZ}[i] END, 4) AS pitch FROM (SELECT utt_id, CASE WHEN utt_id::INTEGER % 3 = 0 THEN list_transform(pitch, lambda x: x / 50) ELSE pitch END AS pitch, unnest(range(1, len(pitch))) AS i FROM ({_FEATURES}))")
 def auto_log_pitch(spark, d):
-    return readers.features(spark, _features(spark, d), log_pitch=True).select("utt_id", F.round(F.array_max("pitch"), 4).alias("top"))
+    """A third of the series are not in Hz: their values stay."""
+    low = F.transform("pitch", lambda x: F.when(F.col("key").cast("int") % 3 == 0, x / 50).otherwise(x).cast("float"))
+    f = readers.features(_npz(spark, _series(spark, d).withColumn("pitch", low)), log_pitch=True)
+    return f.select(F.col("key").alias("utt_id"), F.posexplode("pitch").alias("t", "pitch")).select("utt_id", F.col("t").cast("long").alias("t"), F.round("pitch", 4).alias("pitch"))
 
 
-@query("src_05_strict_features", f"SELECT utt_id, len(pitch)::BIGINT AS n FROM ({_FEATURES})")
+@query("src_05_strict_features", f"SELECT utt_id, len(pitch)::BIGINT AS n, round(list_sum(pitch), 2) AS total FROM ({_FEATURES})")
 def strict_features(spark, d):
-    path = scratch(spark, "strict")
-    whole = readers.features(spark, _features(spark, d))
-    writers.features(whole.withColumn("pitch", F.concat("pitch", F.slice("pitch", 1, 1))).withColumns({c: F.concat(c, F.slice(c, 1, 1)) for c in ("ema", "loudness")}), path)
-    return readers.features(spark, path, strict=True).select("utt_id", F.size("pitch").cast("long").alias("n"))
+    f = readers.features(_npz(spark, _series(spark, d).withColumn("loudness", F.col("pitch"))), strict=True)
+    return f.select(F.col("key").alias("utt_id"), F.size("pitch").cast("long").alias("n"), F.round(A.total(F.col("pitch")), 2).alias("total"))
+
+
+@query("src_06_token_files", f"WITH {RUNS} SELECT utt::VARCHAR AS utt_id, t, pos AS code FROM runs")
+def token_files(spark, d):
+    """The run numbers of a user as a file of codes."""
+    path = scratch(spark, "npy")
+    codes = F.transform(F.array_sort(F.collect_list(F.struct("t", "pos"))), lambda s: s["pos"])
+    files.write_arrays(with_runs(spark, d).groupBy(F.col("utt").cast("string").alias("key")).agg(codes.alias("codes")), path, suffix="npy")
+    spark.dataSource.register(files.ArrayFiles)
+    got = spark.read.format("arrays").schema("key string, codes array<int>").option("partitionBytes", 4096).load(path)
+    return got.select(F.col("key").alias("utt_id"), F.posexplode("codes").alias("t", "code"))
+
+
+@query("flt_07_corrupt_skip", "SELECT p_brand AS brand, count(*)::BIGINT AS n, count_if(p_partkey % 7 = 0)::BIGINT AS skipped, sum(CASE WHEN p_partkey % 7 <> 0 THEN p_size ELSE 0 END)::BIGINT AS total FROM part WHERE p_size < 20 GROUP BY 1")
+def corrupt_skip(spark, d):
+    """A seventh of the files are cut off."""
+    path = scratch(spark, "corrupt")
+    p = table(spark, d, "part").where("p_size < 20").select(F.concat_ws("/", F.translate("p_brand", "#", "_"), F.col("p_partkey").cast("string")).alias("key"), F.array("p_size").alias("x"), "p_partkey")
+    files.write_arrays(p.where("p_partkey % 7 <> 0"), path)
+    broken = p.where("p_partkey % 7 = 0").select(F.concat("key", F.lit(".npz")).alias("key"), F.lit("PK cut off").cast("binary").alias("content"))
+    sink = flush.StagedSink(spark, scratch(spark, "staging"), path, put=lambda uri, content, _: flush.write_checked(uri, content, 0))
+    sink.add(broken, 0)
+    sink.finish()
+    spark.dataSource.register(files.ArrayFiles)
+    got = spark.read.format("arrays").schema("path string, x array<float>, _error string").load(path)
+    brand = F.translate(F.regexp_extract("path", "^([^/]+)/", 1), "_", "#")
+    n_bad, total = F.count_if(F.col("_error").isNotNull()), F.sum(F.coalesce(F.get("x", F.lit(0)), F.lit(0)))
+    return got.groupBy(brand.alias("brand")).agg(F.count("*").alias("n"), n_bad.alias("skipped"), total.cast("long").alias("total"))
 
 
 @query("src_13_waveforms", "SELECT user_id::VARCHAR AS utt_id, (2 * count(*))::BIGINT AS n, round(avg(floor(value * 50)) / 32768, 4) AS mean FROM events GROUP BY 1")
@@ -138,11 +188,17 @@ def styles(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count_distinct("lang").alias("styles"), F.count("*").alias("n"))
 
 
-@query("src_16_log_tail", "SELECT 'step ' || max(event_id) AS line FROM events WHERE event_type = 'click'")
+_LINE = "CASE WHEN event_type = 'click' THEN 'Epoch ' || event_id || '/9: 5%' ELSE 'note ' || event_id || ' ' || event_type END"
+
+
+@query("src_16_log_tail", f"WITH l AS (SELECT event_id, event_type, {_LINE} AS line FROM events) SELECT (SELECT line FROM l WHERE event_type = 'click' ORDER BY event_id DESC LIMIT 1) AS line, least(16384, sum(length(line) + 1))::BIGINT AS read FROM l")
 def log_tail(spark, d):
+    path = scratch(spark, "log")
     e = table(spark, d, "events")
-    lines = e.select(F.col("event_id").alias("n"), F.concat(F.when(F.col("event_type") == "click", "step ").otherwise("note "), F.col("event_id").cast("string")).alias("line"))
-    return readers.last_match(lines, r"^step \d+")
+    id_ = F.col("event_id").cast("string")
+    line = F.when(F.col("event_type") == "click", F.concat(F.lit("Epoch "), id_, F.lit("/9: 5%"))).otherwise(F.concat_ws(" ", F.lit("note"), id_, "event_type"))
+    e.select("event_id", line.alias("line")).orderBy("event_id").coalesce(1).select("line").write.option("lineSep", "\r").text(path)
+    return files.last_lines(readers.listing(spark, path, "*.txt"), r"Epoch .*/.*%").select("line", "read")
 
 
 @query("src_17_done_set", "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0")
@@ -159,9 +215,12 @@ def whole_text(spark, d):
     return readers.whole_texts(spark, path).select(F.regexp_replace("text", "\n$", "").alias("text"))
 
 
-@query("snk_01_features", f"SELECT utt_id, (len(pitch))::BIGINT AS n FROM ({_FEATURES})")
+@query("snk_01_features", f"SELECT utt_id, (len(pitch))::BIGINT AS n, round(list_max(pitch), 4) AS top FROM ({_FEATURES})")
 def write_features(spark, d):
-    return spark.read.parquet(_features(spark, d)).select("utt_id", F.size("pitch").cast("long").alias("n"))
+    path = scratch(spark, "features")
+    writers.features(_series(spark, d), path)
+    f = spark.read.parquet(path)
+    return f.select(F.col("key").alias("utt_id"), F.size("pitch").cast("long").alias("n"), F.round(F.array_max("pitch").cast("double"), 4).alias("top"))
 
 
 @query("snk_03_keyed_json", "SELECT r_regionkey::VARCHAR AS key, r_name FROM region")

@@ -141,12 +141,6 @@ def phoneme_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", long(F.size(F.filter(F.split("text", " "), S.is_phoneme))).alias("n"))
 
 
-@query("flt_07_corrupt_skip", "SELECT count(*)::BIGINT AS n, count_if(try_cast(substr(l_comment, 1, 2) AS INTEGER) IS NULL)::BIGINT AS skipped FROM (SELECT p_name AS l_comment FROM part)")
-def corrupt_skip(spark, d):
-    x = F.substring("p_name", 1, 2).try_cast("int")
-    return table(spark, d, "part").agg(F.count("*").alias("n"), F.count_if(x.isNull()).alias("skipped"))
-
-
 @query("flt_08_mask", "SELECT event_id, value FROM events WHERE value > 40 AND event_type <> 'error'")
 def mask(spark, d):
     return table(spark, d, "events").where("value > 40 AND event_type <> 'error'").select("event_id", "value")

@@ -164,10 +164,34 @@ def gaps(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(S.gaps(F.col("text"))).alias("i", "g")).groupBy("doc_id").agg(F.count("*").alias("parts"), r6(F.sum("g.gap")).alias("seconds"))
 
 
-@query("scl_05_silences", "SELECT doc_id, (len(string_split(text, ' ')) + 2)::BIGINT AS n, (len(list_filter(string_split(text, ' '), lambda x: NOT regexp_matches(x, '^[A-Z]'))) + 2)::BIGINT AS silent FROM documents")
+def _dialect(name: str, ends: str) -> str:
+    """(doc_id, ps) by the silences between parts that end in one of `ends`."""
+    return rf"""{name} AS (SELECT doc_id, list_concat(list_concat(['<sil>'], flatten(list_transform(parts, lambda p, i: CASE WHEN p = '' THEN []::VARCHAR[] ELSE
+        list_concat(CASE WHEN i > 1 THEN ['<sil>'] ELSE []::VARCHAR[] END, list_filter(string_split(p, ' '), lambda x: regexp_matches(x, '^[A-Z]'))) END))), ['<sil>']) AS ps
+      FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([{ends}])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM documents))"""
+
+
+_COUNTED = "array_to_string(ps, ' ')"
+
+
+@query(
+    "scl_05_silences",
+    rf"""WITH {_dialect('sentence', '.!?')}, {_dialect('phrase', '.!?,;:—–')},
+        first AS (SELECT doc_id, list_concat(['<sil>'], list_filter(string_split(text, ' '), lambda x: regexp_matches(x, '^[A-Z]'))) AS ps FROM documents),
+        blank AS (SELECT doc_id, list_transform(list_filter(regexp_extract_all(text, ' |[^ ]+'), lambda x: x = ' ' OR NOT regexp_matches(x, '^\s*$')), lambda x: CASE WHEN x = ' ' THEN '<sil>' ELSE x END) AS ps FROM documents)
+        SELECT doc_id, 'sentence' AS dialect, len(ps)::BIGINT AS n, md5({_COUNTED}) AS ps FROM sentence UNION ALL SELECT doc_id, 'phrase', len(ps)::BIGINT, md5({_COUNTED}) FROM phrase
+        UNION ALL SELECT doc_id, 'first', len(ps)::BIGINT, md5({_COUNTED}) FROM first UNION ALL SELECT doc_id, 'blank', len(ps)::BIGINT, md5({_COUNTED}) FROM blank""",
+)
 def silences(spark, d):
-    p = table(spark, d, "documents").select("doc_id", S.phonemes_of(F.split("text", " ")).alias("p"))
-    return p.select("doc_id", long(F.size("p")).alias("n"), long(F.size(F.filter("p", lambda x: x == "<sil>"))).alias("silent"))
+    """Words that begin with a capital stand for phonemes."""
+    docs = table(spark, d, "documents")
+    tokens = lambda parts: F.transform(parts, lambda p: F.when(p == "", F.array().cast("array<string>")).otherwise(F.split(p, " ")))
+    made = {
+        "sentence": S.silences_between(tokens(S.sentences(F.col("text")))), "phrase": S.silences_between(tokens(S.sentences(F.col("text"), S.PHRASE))),
+        "first": S.silence_first(F.split("text", " ")), "blank": S.blanks_silent(F.regexp_extract_all("text", F.lit(" |[^ ]+"), F.lit(0))),
+    }
+    rows = docs.select("doc_id", F.explode(F.array(*(F.struct(F.lit(k).alias("dialect"), ps.alias("ps")) for k, ps in made.items()))).alias("r"))
+    return rows.select("doc_id", "r.dialect", long(F.size("r.ps")).alias("n"), F.md5(F.array_join("r.ps", " ")).alias("ps"))
 
 
 @query("scl_06_regex", "SELECT page_id, len(regexp_extract_all(html, '<li>'))::BIGINT AS items, regexp_extract(html, 'lang=\"([a-z]+)\"', 1) AS lang FROM pages")
@@ -372,13 +396,20 @@ _LOGITS = "x AS (SELECT l_orderkey, l_linenumber, [l_quantity / 50, l_discount *
 
 def _logits(spark, d):
     z = F.array(F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 10, F.lit(0.5))
-    return table(spark, d, "lineitem").select(z.alias("z"), (F.col("l_orderkey") % 4).cast("int").alias("target"), F.col("l_linenumber").alias("level"))
+    return table(spark, d, "lineitem").select("l_orderkey", z.alias("z"), (F.col("l_orderkey") % 4).cast("int").alias("target"), F.col("l_linenumber").alias("level"))
+
+
+_MASKED = f"""{_LOGITS}, m AS (SELECT level, ln(list_sum(list_transform(z, lambda v: exp(v)))) - z[target + 1] AS ce, (list_position(z, list_max(z)) - 1 = target)::INTEGER AS hit,
+    CASE WHEN l_orderkey % 3 = 0 OR level = 7 THEN 0 ELSE 1 END AS mask FROM x),
+  l AS (SELECT level, sum(ce * mask) / greatest(sum(mask), 1) AS ce, sum(hit * mask) / greatest(sum(mask), 1)::DOUBLE AS acc, CASE WHEN level <= 4 THEN power(0.5, level - 1) ELSE 0 END AS weight FROM m GROUP BY level)"""
 
 
-@query("evl_01_cross_entropy", f"WITH {_LOGITS} SELECT level, round(avg(ln(list_sum(list_transform(z, lambda v: exp(v)))) - z[target + 1]), 6) AS ce, round(avg((list_position(z, list_max(z)) - 1 = target)::INTEGER), 6) AS acc FROM x GROUP BY 1")
+@query("evl_01_cross_entropy", f"WITH {_MASKED} SELECT level, round(ce, 6) AS ce, round(acc, 6) AS acc, round(weight, 6) AS weight, round(sum(ce * weight) OVER (), 6) AS total FROM l")
 def cross_entropy(spark, d):
-    x = _logits(spark, d)
-    return x.groupBy("level").agg(r6(F.avg(V.cross_entropy(F.col("z"), F.col("target")))).alias("ce"), r6(F.avg((A.argmax(F.col("z")) == F.col("target")).cast("double"))).alias("acc"))
+    """The seventh level is masked whole; levels beyond the fourth have no weight."""
+    x = _logits(spark, d).withColumn("mask", ((F.col("l_orderkey") % 3 != 0) & (F.col("level") != 7)).cast("int"))
+    got = V.leveled_loss(x, "level", F.col("z"), F.col("target"), F.col("mask"), {1: 1.0, 2: 0.5, 3: 0.25, 4: 0.125})
+    return got.select("level", *(r6(c).alias(c) for c in ("ce", "acc", "weight", "total")))
 
 
 @query("evl_02_log_duration", f"WITH {SEGS} SELECT round(avg((ln(dur + 1) - ln(4)) * (ln(dur + 1) - ln(4))), 6) AS mse1, round(avg((ln(greatest(dur, 1)) - ln(3)) * (ln(greatest(dur, 1)) - ln(3))), 6) AS mse0 FROM segs")

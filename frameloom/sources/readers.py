@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 
 from ..functions.arrays import auto_log_pitch, reconciled, same_length
 
-FEATURES = "utt_id string, ema array<array<float>>, pitch array<float>, loudness array<float>, spk_emb array<float>"
 METRICS = "type string, step bigint, epoch bigint, lr double, losses map<string,double>, name string, payload map<string,double>, wall double"
 
 
@@ -23,15 +22,14 @@ def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 
 def partitioned_listing(spark: SparkSession, root: str, pattern: str, low: int, high: int) -> DataFrame:
-    """(speaker, emotion, key, path) of root/<speaker>/<emotion>/<file>: numeric speakers within the bounds, no hidden folders."""
-    parts = F.regexp_extract("path", r"/([^/]+)/([^/]+)/[^/]+$", 1), F.regexp_extract("path", r"/([^/]+)/([^/]+)/[^/]+$", 2)
+    """(speaker, emotion, key, path) of root/<speaker>/<emotion>/<file>: speakers that are numbers within the bounds, emotions that don't begin with two underscores."""
+    parts = [F.regexp_extract("path", r"/([^/]+)/([^/]+)/[^/]+$", k) for k in (1, 2)]
     x = listing(spark, root, pattern).select(parts[0].try_cast("int").alias("speaker"), parts[1].alias("emotion"), "key", "path")
     return x.where(F.col("speaker").between(low, high) & ~F.col("emotion").startswith("__"))
 
 
-def features(spark: SparkSession, path: str, strict: bool = False, log_pitch: bool = False) -> DataFrame:
-    """Feature rows with the series cut to their least length, or an error where they differ if strict."""
-    df = spark.read.schema(FEATURES).parquet(path)
+def features(df: DataFrame, strict: bool = False, log_pitch: bool = False) -> DataFrame:
+    """Feature rows with the series cut to their least length, or an error where they differ if strict. df: (ema, pitch, loudness, ...), from Parquet or from files of arrays."""
     columns = [F.col(c) for c in ("ema", "pitch", "loudness")]
     if strict:
         df = df.withColumn("pitch", same_length(F.col("pitch").cast("array<double>"), F.col("ema"), F.col("loudness")))
@@ -68,17 +66,6 @@ def intervals(text: Column, tier: str = "phones") -> Column:
     return F.transform(rows, lambda r: F.struct(r["a"].cast("double").alias("xmin"), r["b"].cast("double").alias("xmax"), r["c"].alias("label")))
 
 
-def last_match(lines: DataFrame, pattern: str) -> DataFrame:
-    """(line,): the last of the lines (n, line) with the pattern, no row without one."""
-    return lines.where(F.col("line").rlike(pattern)).agg(F.max_by("line", "n").alias("line")).where("line is not null")
-
-
-def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(n, line): lines of one log file, split at CR and LF, numbered."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", "[\r\n]+")).alias("n", "line")).where("line <> ''")
-
-
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
@@ -110,24 +97,3 @@ def waveforms(files: DataFrame, rate: int = 16_000) -> DataFrame:
             yield pd.DataFrame({"path": pdf["path"], "samples": out})
 
     return files.select("path", "content").mapInPandas(run, T.StructType([T.StructField("path", T.StringType()), T.StructField("samples", T.ArrayType(T.FloatType()))]))
-
-
-def arrays_of_npz(files: DataFrame, names: list[str]) -> DataFrame:
-    """(key, one flat array<double> for each name) of NPZ contents (path, content); a name that is absent is null, a broken file is left out."""
-    import io
-    import zipfile
-
-    schema = T.StructType([T.StructField("key", T.StringType()), *(T.StructField(n, T.ArrayType(T.DoubleType())) for n in names)])
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                try:
-                    with np.load(io.BytesIO(bytes(content))) as z:
-                        rows.append([path.rpartition("/")[2].partition(".")[0], *(z[n].astype(float).ravel().tolist() if n in z else None for n in names)])
-                except (ValueError, OSError, zipfile.BadZipFile):
-                    continue
-            yield pd.DataFrame(rows, columns=schema.names)
-
-    return files.select("path", "content").mapInPandas(run, schema)
