@@ -23,16 +23,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import free, in_parts, join_counted, set_aside, stage, table, words
+from .common import HOT_ROWS, free, in_parts, join_counted, set_aside, stage, table, words
 from .suffix_dedup import Hashes
 from .token_store import mixed
 
 #: Words of a window, at most 63.
 WINDOW = 50
-#: Rounds of runs and pairs; a round makes symbols a third longer.
-ROUNDS = 5
+#: Rounds of runs and pairs; a round makes symbols a third longer. More rounds make anchors rarer in text that is not shared, fewer make phrases longer.
+ROUNDS = 4
 #: Words parsed at once; longer texts are parsed in parts that overlap. Bytes of texts that are turned into words at once, about.
 BLOCK, BYTES = 1 << 17, 1 << 20
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -223,8 +224,8 @@ def parse(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _edge_windows(docs: DataFrame, open_: DataFrame, window: int) -> DataFrame:
-    """(anchor, whole, id, at, rank): the windows of the open phrases (anchor, whole, id, key, place); at: after the phrase's first, rank: a fingerprint."""
-    listed = open_.groupBy("id", "key").agg(F.collect_list(F.struct("anchor", "whole", "place")).alias("open"))  # of one text
+    """(anchor, whole, id, at, rank, many): the windows of the open phrases (anchor, whole, id, key, place, many); at: after the phrase's first, rank: a fingerprint."""
+    listed = open_.groupBy("id", "key").agg(F.collect_list(F.struct("anchor", "whole", "place", "many")).alias("open"))  # of one text
     texts = docs.select(_order(), row_key(), "text").join(listed, ["id", "key"]).dropDuplicates(["id", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,15 +236,16 @@ def _edge_windows(docs: DataFrame, open_: DataFrame, window: int) -> DataFrame:
                 one, two = Sums(names), Sums(proof)
                 for k in range(len(offsets) - 1):
                     anchor, whole, place = (lists[row + k].values.field(c).to_numpy() for c in ("anchor", "whole", "place"))
+                    many = lists[row + k].values.field("many").to_numpy(zero_copy_only=False)
                     count, first = place & 63, (place >> 6) + number[k]
                     of = np.repeat(np.arange(len(count)), count)
                     at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
                     start = first[of] + at
                     rank = mixed(one.of(start, start + window) ^ mixed(two.of(start, start + window), 9), 10).view(np.int64)
-                    columns = [anchor[of], whole[of], np.full(len(of), ids[row + k]), at, rank]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["anchor", "whole", "id", "at", "rank"])
+                    columns = [pa.array(c, pa.int64()) for c in (anchor[of], whole[of], np.full(len(of), ids[row + k]), at, rank)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(many[of], pa.bool_())], names=["anchor", "whole", "id", "at", "rank", "many"])
 
-    return texts.select("id", "text", "open").mapInArrow(run, "anchor long, whole long, id long, at long, rank long")
+    return texts.select("id", "text", "open").mapInArrow(run, "anchor long, whole long, id long, at long, rank long, many boolean")
 
 
 def earlier_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -262,11 +264,16 @@ def earlier_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     # Third round: windows of phrases whose anchor is in other phrases too.
     by_anchor = stage(entries.groupBy("anchor").agg(F.count("*").alias("n"), F.min("owner").alias("first"), F.max("owner").alias("last")).where("n > 1 and first < last"), "open-anchors")
-    open_ = join_counted(entries.drop("n"), by_anchor, ["anchor"]).select("anchor", "whole", F.col("owner").alias("id"), "key", "place")
+    open_ = join_counted(entries.drop("n"), by_anchor, ["anchor"]).select("anchor", "whole", F.col("owner").alias("id"), "key", "place", (F.col("n") >= HOT_ROWS).alias("many"))
     windows = stage(_edge_windows(docs, open_, window), "windows")
-    ranks = windows.groupBy("anchor", "rank").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n"))
-    ranks = stage(ranks.where("least < most").drop("most"), "ranks")
-    again = join_counted(windows, ranks, ["anchor", "rank"]).where("least < id")
+    # A window of an anchor with few phrases is a few rows; of others the counts add up before a shuffle, and hot ones are broadcast.
+    again = windows.where("not many").withColumn("least", F.min("id").over(W.partitionBy("anchor", "rank")))
+    ranks = None
+    if not windows.where("many").isEmpty():
+        ranks = windows.where("many").groupBy("anchor", "rank").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n"))
+        ranks = stage(ranks.where("least < most").drop("most"), "ranks")
+        again = again.unionByName(join_counted(windows.where("many"), ranks, ["anchor", "rank"]).drop("n"))
+    again = again.where("least < id")
     bit = F.expr("shiftleft(1L, cast(at as int))")
     edges = again.groupBy("anchor", "whole").agg(F.bit_or(bit).alias("bits"))
 
@@ -277,7 +284,7 @@ def earlier_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     placed = join_counted(found, entries, ["anchor", "whole"]).select("id", "key", "place", F.when(F.col("owner") < F.col("id"), all_).otherwise(F.col("bits")).alias("bits"))
     placed = placed.where("bits <> 0").groupBy("id", "key", "place").agg(F.bit_or("bits").alias("bits"))  # rows that repeat are one
     out = stage(placed.groupBy("id", "key").agg(F.collect_list(F.struct("place", "bits")).alias("phrases")), "earlier-windows")
-    free(found, by_anchor, windows, ranks, entries)
+    free(found, by_anchor, windows, entries, *([ranks] if ranks is not None else []))
     return out
 
 

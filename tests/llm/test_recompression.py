@@ -54,7 +54,10 @@ def on_spark(spark, tmp_path, rows):
     return sorted(map(tuple, recompression.op13(spark, str(tmp_path)).collect()), key=str)
 
 
-def test_op13_equals_brute_force(spark, tmp_path):
+@pytest.mark.parametrize("many", [500, 3])
+def test_op13_equals_brute_force(spark, tmp_path, monkeypatch, many):
+    """With anchors of few phrases alone, and with ones of many."""
+    monkeypatch.setattr(recompression, "HOT_ROWS", many)
     texts = corpus(1, 60) + ["", None, " \n", "é " * 60, "é " * 49, "é " * 50 + "end"]
     ids = random.Random(2).sample(range(500), len(texts) - 1) + [None]
     rows = list(zip(ids, texts, strict=True))
