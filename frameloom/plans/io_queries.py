@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..operators import quantize as V
+from ..operators.ordering import numbered
 from ..operators.staging import scratch
 from ..sources import files, readers, writers
 from ..streaming import flush
@@ -15,12 +16,16 @@ from .base import RUNS, SQL, query, r6, table, with_runs
 from .vector_queries import _books
 
 
-@query("src_01_listing", "SELECT o_orderstatus AS status, count(*) > 0 AS found FROM orders GROUP BY 1")
+@query("src_01_listing", "SELECT 'r' || n_regionkey || '/u' || n_nationkey || '.npz' AS path, 'u' || n_nationkey AS key, row_number() OVER (ORDER BY 'r' || n_regionkey || '/u' || n_nationkey || '.npz') - 1 AS place FROM nation WHERE n_nationkey % 4 <> 2")
 def listing(spark, d):
+    """Files of one kind below a root, by path; a quarter of the files are of another kind."""
     path = scratch(spark, "listing")
-    table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status")).write.partitionBy("status").parquet(path)
-    got = readers.listing(spark, path, "*.parquet")
-    return got.select(F.regexp_extract("path", "status=([^/]+)", 1).alias("status")).groupBy("status").agg((F.count("*") > 0).alias("found"))
+    key = F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit("/u"), F.col("n_nationkey").cast("string"))
+    n = table(spark, d, "nation").select("n_nationkey", key.alias("key"), F.array("n_regionkey").alias("x"))
+    files.write_arrays(n.where("n_nationkey % 4 <> 2"), path)
+    files.write_arrays(n.where("n_nationkey % 4 = 2"), path, suffix="npy")
+    got = readers.listing(spark, path, "*.npz").select(F.regexp_extract("path", r"(r[0-9]+/[^/]+)$", 1).alias("path"), "key")
+    return numbered(got, "path", name="place")
 
 
 _WALK = """SELECT CASE WHEN n_nationkey = 3 THEN 'misc' ELSE (5 * n_regionkey + 7)::VARCHAR END AS speaker, CASE WHEN n_nationkey % 6 = 1 THEN '__' || n_name ELSE n_name END AS emotion, n_nationkey FROM nation"""
@@ -231,20 +236,25 @@ def write_keyed_json(spark, d):
     return lines.select("key", "v.r_name")
 
 
-@query("snk_04_append_log", "SELECT 2 * count(*)::BIGINT AS n FROM nation")
+@query("snk_04_append_log", "SELECT 'epoch' AS type, n_nationkey::BIGINT AS step, n_name AS name, n_regionkey / 4::DOUBLE AS wall FROM nation UNION ALL SELECT 'step', n_nationkey::BIGINT, n_name, n_regionkey / 2::DOUBLE FROM nation WHERE n_regionkey > 1")
 def append_log(spark, d):
+    """Two writes to one log; the second adds to the first."""
     path = scratch(spark, "append")
-    for _ in range(2):
-        writers.log(table(spark, d, "nation"), path)
-    return spark.read.schema("n_nationkey int").json(path).agg(F.count("*").alias("n"))
+    n = table(spark, d, "nation")
+    for kind, rows, by in (("epoch", n, 4), ("step", n.where("n_regionkey > 1"), 2)):
+        writers.log(rows.select(F.lit(kind).alias("type"), F.col("n_nationkey").alias("step"), F.col("n_name").alias("name"), (F.col("n_regionkey") / by).alias("wall")), path)
+    parts = readers.metrics_log(spark, path)
+    return parts["step"].union(parts["epoch"]).select("type", "step", "name", "wall")
 
 
-@query("snk_05_publish", "SELECT count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS keys FROM documents")
+@query("snk_05_publish", "SELECT doc_id, source, doc_id % 2 = 0 AS early, md5(text) AS text FROM documents WHERE octet_length(encode(text)) >= 500")
 def publish(spark, d):
+    """Half of the rows are there when all come; rows under 500 bytes are not published, and no row is there twice."""
     path = scratch(spark, "publish")
-    docs = table(spark, d, "documents").select("doc_id", "source")
-    writers.published(docs.where("doc_id % 2 = 0"), path, "doc_id")
-    return writers.published(docs, path, "doc_id").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("keys"))
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    large = lambda df: df.where(F.octet_length("text") >= 500)
+    writers.published(docs.where("doc_id % 2 = 0").withColumn("early", F.lit(True)), path, "doc_id", large)
+    return writers.published(docs.withColumn("early", F.lit(False)), path, "doc_id", large).select("doc_id", "source", "early", F.md5("text").alias("text"))
 
 
 @query(
@@ -287,11 +297,13 @@ def write_split(spark, d):
     return writers.split(docs, scratch(spark, "split"))
 
 
-@query("snk_10_alignment_corpus", "SELECT source AS spk, lang AS emotion, count(*)::BIGINT AS n FROM documents GROUP BY 1, 2")
+@query("snk_10_alignment_corpus", "SELECT source AS spk, lang AS emotion, doc_id::VARCHAR AS utt_id, md5(text) AS text FROM documents")
 def alignment_corpus(spark, d):
     path = scratch(spark, "corpus")
-    writers.alignment_corpus(table(spark, d, "documents").select(F.col("source").alias("spk"), F.col("lang").alias("emotion"), F.col("doc_id").cast("string").alias("utt_id"), F.md5("text").alias("text")), path)
-    return spark.read.text(path).groupBy("spk", "emotion").agg(F.count("*").alias("n"))
+    docs = table(spark, d, "documents").select(F.col("source").alias("spk"), F.col("lang").alias("emotion"), F.col("doc_id").cast("string").alias("utt_id"), F.md5("text").alias("text"))
+    writers.alignment_corpus(docs, path)
+    line = F.split("value", "\t")
+    return spark.read.text(path).select("spk", "emotion", line[0].alias("utt_id"), line[1].alias("text"))
 
 
 @query("str_01_resume", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 0)")
@@ -309,6 +321,23 @@ def incremental(spark, d):
     return spark.read.schema("event_id long, value double").parquet(out).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+@query(
+    "str_03_cadences",
+    """WITH e AS (SELECT event_id AS step, event_id // 300 AS epoch, value AS loss FROM events)
+        SELECT 'step' AS type, step, epoch, round(loss, 4) AS loss, CASE WHEN step % 200 = 0 THEN round(loss / 490, 6) END AS ratio FROM e WHERE step % 50 = 0
+        UNION ALL SELECT 'epoch', max(step), epoch, round(avg(loss), 4), NULL FROM e GROUP BY epoch""",
+)
+def cadences(spark, d):
+    """A record every 50 steps, with ratios every 200, and one for each epoch of 300 steps, appended as they come."""
+    path = scratch(spark, "cadences")
+    e = table(spark, d, "events").select(F.col("event_id").alias("step"), F.floor(F.col("event_id") / 300).alias("epoch"), F.struct(F.col("value").alias("ce")).alias("losses"))
+    for part in (e.where("epoch % 2 = 0"), e.where("epoch % 2 = 1")):
+        writers.log(writers.cadenced(part, "losses", {"share": F.col("losses.ce") / 490}), path)
+    parts = readers.metrics_log(spark, path)
+    rows = parts["step"].union(parts["epoch"])
+    return rows.select("type", "step", "epoch", F.round(F.col("losses")["ce"], 4).alias("loss"), r6(F.col("grad_ratios")["share"]).alias("ratio"))
+
+
 @query(
     "str_04_status",
     """WITH r AS (SELECT event_type AS run, event_id // 1000 AS epoch, value, value / 10 AS seconds FROM events),

@@ -447,13 +447,17 @@ def boundary_blend(spark, d):
     return out.select("utt", "start", F.posexplode("body").alias("i", "x")).select("utt", (F.col("start") + F.col("i")).alias("t"), r6("x").alias("x"))
 
 
-@query("seq_25_collate", f"WITH {DURS}, m AS (SELECT *, (ceil(max(len(d)) OVER (PARTITION BY utt % 8) / 16.0) * 16)::BIGINT AS width FROM durs) SELECT utt, width, len(d)::BIGINT AS n, total::BIGINT AS total FROM m")
+@query(
+    "seq_25_collate",
+    f"""WITH {DURS}, m AS (SELECT *, (ceil(max(len(d)) OVER (PARTITION BY utt % 8) / 16.0) * 16)::BIGINT AS width FROM durs), p AS (SELECT utt, d, width, unnest(range(width)) AS i FROM m)
+        SELECT utt, width, i::INTEGER AS i, coalesce(d[i + 1], 0)::INTEGER AS d, i < len(d) AS held FROM p""",
+)
 def collate(spark, d):
     from ..functions.scalars import rounded_up
 
     x = durs(spark, d).withColumn("width", rounded_up(F.max(F.size("d")).over(W.partitionBy(F.col("utt") % 8)), 16))
     padded = A.to_length(F.col("d"), F.col("width").cast("int"), F.lit(0))
-    return x.select("utt", "width", long(F.size(F.filter(padded, lambda v: v > 0))).alias("n"), long(A.total(padded, "long")).alias("total"))
+    return x.select("utt", "width", F.size("d").alias("n"), F.posexplode(padded).alias("i", "d")).select("utt", "width", "i", "d", (F.col("i") < F.col("n")).alias("held"))
 
 
 _ENDS = f"{RUNS}, ends AS (SELECT utt, t, pos, coalesce(lead(pos) OVER (PARTITION BY utt ORDER BY t) <> pos, true)::INTEGER AS eop FROM runs)"

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.arrays import auto_log_pitch, reconciled, same_length
 
-METRICS = "type string, step bigint, epoch bigint, lr double, losses map<string,double>, name string, payload map<string,double>, wall double"
+METRICS = "type string, step bigint, epoch bigint, lr double, losses map<string,double>, grad_ratios map<string,double>, name string, payload map<string,double>, wall double"
 
 
 def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,6 +20,16 @@ def log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def cadenced(steps: DataFrame, losses: str, ratios: dict[str, Column], every: int = 50, ratios_every: int = 200) -> DataFrame:
+    """The records that a log gets of steps (step, epoch, losses struct): one every `every` steps, with ratios every `ratios_every`, and the mean losses of each epoch at its last step."""
+    names = steps.schema[losses].dataType.names
+    held = F.when(F.col("step") % ratios_every == 0, F.struct(*(x.alias(n) for n, x in ratios.items())))
+    records = steps.where(F.col("step") % every == 0).select(F.lit("step").alias("type"), "step", "epoch", F.col(losses).alias("losses"), held.alias("grad_ratios"))
+    means = F.struct(*(F.avg(f"{losses}.{n}").alias(n) for n in names)).alias("losses")
+    epochs = steps.groupBy("epoch").agg(F.max("step").alias("step"), means).select(F.lit("epoch").alias("type"), "step", "epoch", "losses")
+    return records.unionByName(epochs, allowMissingColumns=True)
+
+
 def keyed_json(df: DataFrame, key: str, path: str) -> None:
     """JSON lines of one-key maps, which together are the map from key to record."""
     record = F.struct(*(c for c in df.columns if c != key))
