@@ -180,14 +180,13 @@ def combined(a: Column, b: Column, f: Callable[[Column, Column], Column]) -> Col
 
 
 def softmax(xs: Column, temperature: float = 1.0) -> Column:
-    top = F.array_max(xs)
-    e = F.transform(xs, lambda x: F.exp((x - top) / temperature))
-    return F.transform(e, lambda x: x / total(e))
+    """Each of the array, its greatest, the exponentials and their sum is computed once."""
+    shares = lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s))
+    return let(xs, lambda v: let(F.array_max(v), lambda top: let(F.transform(v, lambda x: F.exp((x - top) / temperature)), shares)))
 
 
 def log_sum_exp(xs: Column) -> Column:
-    top = F.array_max(xs)
-    return top + F.log(total(F.transform(xs, lambda x: F.exp(x - top))))
+    return let(xs, lambda v: let(F.array_max(v), lambda top: top + F.log(total(F.transform(v, lambda x: F.exp(x - top))))))
 
 
 def argmax(xs: Column) -> Column:

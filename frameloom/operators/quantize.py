@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.arrays import dot, softmax
+from ..functions.arrays import dot, let, softmax
 from .ordering import numbered
 from .relational import dimension
 from .staging import staged
@@ -185,9 +185,9 @@ def decoded(codes: DataFrame, codebooks: list[DataFrame], pad: int = -1) -> Data
 
 def soft_decoded(logits: Column, book: Column, temperature: float) -> Column:
     """Codewords weighted by the softmax of the logits."""
-    pairs = F.arrays_zip(softmax(logits, temperature).alias("p"), book.alias("c"))
     zero = F.transform(book[0]["v"], lambda _: F.lit(0.0))
-    return F.aggregate(pairs, zero, lambda a, x: F.zip_with(a, x["c"]["v"], lambda s, y: s + x["p"] * y.cast("double")))
+    add = lambda a, x: F.zip_with(a, x["c"]["v"], lambda s, y: s + x["p"] * y.cast("double"))
+    return let(F.arrays_zip(softmax(logits, temperature).alias("p"), book.alias("c")), lambda pairs: F.aggregate(pairs, zero, add))
 
 
 def tied_logits(h: Column, book: Column, log_scale: float) -> Column:

@@ -16,30 +16,29 @@ from .base import RUNS, SQL, query, r6, table, with_runs
 from .vector_queries import _books
 
 
-@query("src_01_listing", "SELECT 'r' || n_regionkey || '/u' || n_nationkey || '.npz' AS path, 'u' || n_nationkey AS key, row_number() OVER (ORDER BY 'r' || n_regionkey || '/u' || n_nationkey || '.npz') - 1 AS place FROM nation WHERE n_nationkey % 4 <> 2")
+@query("src_01_listing", "SELECT 'r' || s_nationkey || '/u' || s_suppkey || '.npz' AS path, 'u' || s_suppkey AS key, row_number() OVER (ORDER BY 'r' || s_nationkey || '/u' || s_suppkey || '.npz') - 1 AS place FROM supplier WHERE s_suppkey % 4 <> 2")
 def listing(spark, d):
     """Files of one kind below a root, by path; a quarter of the files are of another kind."""
     path = scratch(spark, "listing")
-    key = F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit("/u"), F.col("n_nationkey").cast("string"))
-    n = table(spark, d, "nation").select("n_nationkey", key.alias("key"), F.array("n_regionkey").alias("x"))
-    files.write_arrays(n.where("n_nationkey % 4 <> 2"), path)
-    files.write_arrays(n.where("n_nationkey % 4 = 2"), path, suffix="npy")
+    key = F.concat(F.lit("r"), F.col("s_nationkey").cast("string"), F.lit("/u"), F.col("s_suppkey").cast("string"))
+    n = table(spark, d, "supplier").select("s_suppkey", key.alias("key"), F.array("s_acctbal").alias("x"))
+    files.write_arrays(n.where("s_suppkey % 4 <> 2"), path)
+    files.write_arrays(n.where("s_suppkey % 4 = 2"), path, suffix="npy")
     got = readers.listing(spark, path, "*.npz").select(F.regexp_extract("path", r"(r[0-9]+/[^/]+)$", 1).alias("path"), "key")
     return numbered(got, "path", name="place")
 
 
-_WALK = """SELECT CASE WHEN n_nationkey = 3 THEN 'misc' ELSE (5 * n_regionkey + 7)::VARCHAR END AS speaker, CASE WHEN n_nationkey % 6 = 1 THEN '__' || n_name ELSE n_name END AS emotion, n_nationkey FROM nation"""
+_WALK = """SELECT CASE WHEN s_suppkey % 9 = 3 THEN 'misc' ELSE (s_nationkey + 4)::VARCHAR END AS speaker, CASE WHEN s_suppkey % 6 = 1 THEN '__' ELSE '' END || 'e' || (s_suppkey % 4) AS emotion, s_suppkey FROM supplier"""
 
 
-@query("src_02_partitioned_listing", f"SELECT speaker::INTEGER AS speaker, emotion, 'u' || n_nationkey AS key FROM ({_WALK}) WHERE speaker <> 'misc' AND speaker::INTEGER BETWEEN 11 AND 20 AND emotion NOT LIKE '\\_\\_%' ESCAPE '\\'")
+@query("src_02_partitioned_listing", f"SELECT speaker::INTEGER AS speaker, emotion, 'u' || s_suppkey AS key FROM ({_WALK}) WHERE speaker <> 'misc' AND try_cast(speaker AS INTEGER) BETWEEN 11 AND 20 AND emotion NOT LIKE '\\_\\_%' ESCAPE '\\'")
 def partitioned_listing(spark, d):
     path = scratch(spark, "walk")
-    speaker = F.when(F.col("n_nationkey") == 3, "misc").otherwise((5 * F.col("n_regionkey") + 7).cast("string"))
-    emotion = F.when(F.col("n_nationkey") % 6 == 1, F.concat(F.lit("__"), "n_name")).otherwise(F.col("n_name"))
-    key = F.concat_ws("/", speaker, F.translate(emotion, " ", "%"), F.concat(F.lit("u"), F.col("n_nationkey").cast("string")))
-    files.write_arrays(table(spark, d, "nation").select(key.alias("key"), F.array("n_regionkey").alias("x")), path)
-    got = readers.partitioned_listing(spark, path, "*.npz", 11, 20)
-    return got.select("speaker", F.translate(F.regexp_replace("emotion", "%25", "%"), "%", " ").alias("emotion"), "key")
+    speaker = F.when(F.col("s_suppkey") % 9 == 3, "misc").otherwise((F.col("s_nationkey") + 4).cast("string"))
+    emotion = F.concat(F.when(F.col("s_suppkey") % 6 == 1, "__").otherwise(""), F.lit("e"), (F.col("s_suppkey") % 4).cast("string"))
+    key = F.concat_ws("/", speaker, emotion, F.concat(F.lit("u"), F.col("s_suppkey").cast("string")))
+    files.write_arrays(table(spark, d, "supplier").select(key.alias("key"), F.array("s_acctbal").alias("x")), path)
+    return readers.partitioned_listing(spark, path, "*.npz", 11, 20).select("speaker", "emotion", "key")
 
 
 _FEATURES = "SELECT user_id::VARCHAR AS utt_id, list(value ORDER BY event_id) AS pitch FROM events GROUP BY 1"
@@ -76,7 +75,10 @@ def features(spark, d):
     return f.select(F.col("key").alias("utt_id"), F.size("pitch").cast("long").alias("n"), total("pitch"), ema, total("loudness"))
 
 
-@query("src_04_auto_log_pitch", f"SELECT utt_id, i - 1 AS t, round(CASE WHEN list_max({_NPZ}) > 20 THEN ln({_NPZ}[i] + 1) ELSE {_NPZ}[i] END, 4) AS pitch FROM (SELECT utt_id, CASE WHEN utt_id::INTEGER % 3 = 0 THEN list_transform(pitch, lambda x: x / 50) ELSE pitch END AS pitch, unnest(range(1, len(pitch))) AS i FROM ({_FEATURES}))")
+_STORED = f"""SELECT utt_id, {_NPZ} AS xs FROM (SELECT utt_id, list_transform(pitch, lambda x: (CASE WHEN utt_id::INTEGER % 3 = 0 THEN x::FLOAT::DOUBLE / 50 ELSE x END)::FLOAT::DOUBLE) AS pitch FROM ({_FEATURES}))"""
+
+
+@query("src_04_auto_log_pitch", f"SELECT utt_id, i - 1 AS t, round(CASE WHEN list_max(xs) > 20 THEN ln(xs[i] + 1) ELSE xs[i] END, 4) AS pitch FROM (SELECT utt_id, xs, unnest(range(1, len(xs) + 1)) AS i FROM ({_STORED}))")
 def auto_log_pitch(spark, d):
     """A third of the series are not in Hz: their values stay."""
     low = F.transform("pitch", lambda x: F.when(F.col("key").cast("int") % 3 == 0, x / 50).otherwise(x).cast("float"))
@@ -236,13 +238,13 @@ def write_keyed_json(spark, d):
     return lines.select("key", "v.r_name")
 
 
-@query("snk_04_append_log", "SELECT 'epoch' AS type, n_nationkey::BIGINT AS step, n_name AS name, n_regionkey / 4::DOUBLE AS wall FROM nation UNION ALL SELECT 'step', n_nationkey::BIGINT, n_name, n_regionkey / 2::DOUBLE FROM nation WHERE n_regionkey > 1")
+@query("snk_04_append_log", "SELECT 'epoch' AS type, s_suppkey::BIGINT AS step, s_name AS name, s_acctbal / 4 AS wall FROM supplier UNION ALL SELECT 'step', s_suppkey::BIGINT, s_name, s_acctbal / 2 FROM supplier WHERE s_nationkey > 9")
 def append_log(spark, d):
     """Two writes to one log; the second adds to the first."""
     path = scratch(spark, "append")
-    n = table(spark, d, "nation")
-    for kind, rows, by in (("epoch", n, 4), ("step", n.where("n_regionkey > 1"), 2)):
-        writers.log(rows.select(F.lit(kind).alias("type"), F.col("n_nationkey").alias("step"), F.col("n_name").alias("name"), (F.col("n_regionkey") / by).alias("wall")), path)
+    n = table(spark, d, "supplier")
+    for kind, rows, by in (("epoch", n, 4), ("step", n.where("s_nationkey > 9"), 2)):
+        writers.log(rows.select(F.lit(kind).alias("type"), F.col("s_suppkey").alias("step"), F.col("s_name").alias("name"), (F.col("s_acctbal") / by).alias("wall")), path)
     parts = readers.metrics_log(spark, path)
     return parts["step"].union(parts["epoch"]).select("type", "step", "name", "wall")
 
@@ -259,30 +261,30 @@ def publish(spark, d):
 
 @query(
     "snk_06_staged_flush",
-    """WITH k AS (SELECT r.r_regionkey * 100 + n_nationkey AS id, n_nationkey AS n FROM nation, region r)
-        SELECT 'f' || id AS key, n % 5 <> 4 AS published, (CASE WHEN n % 5 = 4 THEN 0 ELSE 600 + n END)::BIGINT AS bytes, n % 5 = 4 OR n % 7 = 3 AS retried FROM k""",
+    """SELECT 'f' || s_suppkey AS key, s_suppkey % 5 <> 4 AS published, (CASE WHEN s_suppkey % 5 = 4 THEN 0 ELSE 600 + s_nationkey END)::BIGINT AS bytes,
+        s_suppkey % 5 = 4 OR s_suppkey % 5 = 0 AND s_suppkey % 7 = 3 AS retried FROM supplier""",
 )
 def staged_flush(spark, d):
-    """Files of 600 bytes and more, of which some fail in the first four passes; a fifth has 100 bytes, and is never published."""
+    """Files of 600 bytes and more. Some that come first fail in the first four passes; a fifth, which come last, have 100 bytes and are never published."""
     root, source, out = scratch(spark, "staging"), scratch(spark, "rows"), scratch(spark, "files")
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("n")).crossJoin(F.broadcast(table(spark, d, "region").select("r_regionkey")))
-    size = F.when(F.col("n") % 5 == 4, 100).otherwise(600 + F.col("n"))
-    rows = n.select(F.concat(F.lit("f"), (F.col("r_regionkey") * 100 + F.col("n")).cast("string")).alias("key"), F.repeat(F.lit("x"), size).cast("binary").alias("content"), "r_regionkey")
-    for region in range(5):  # a file for each
-        rows.where(F.col("r_regionkey") == region).drop("r_regionkey").coalesce(1).write.mode("append").parquet(source)
+    size = F.when(F.col("s_suppkey") % 5 == 4, 100).otherwise(600 + F.col("s_nationkey"))
+    rows = table(spark, d, "supplier").select(F.concat(F.lit("f"), F.col("s_suppkey").cast("string")).alias("key"), F.repeat(F.lit("x"), size).cast("binary").alias("content"), "s_suppkey")
+    for part in range(5):  # a file for each
+        rows.where(F.col("s_suppkey") % 5 == part).drop("s_suppkey").coalesce(1).write.mode("append").parquet(source)
 
     def put(uri, content, number):
-        if number <= 4 and int(uri.rpartition("/f")[2]) % 100 % 7 == 3:
+        key = int(uri.rpartition("/f")[2])
+        if number <= 4 and key % 5 == 0 and key % 7 == 3:
             raise OSError("busy")
         flush.write_checked(uri, content)
 
-    sink = flush.StagedSink(spark, root, out, 50, put)
+    sink = flush.StagedSink(spark, root, out, 100, put)
     stream = spark.readStream.schema("key string, content binary").option("maxFilesPerTrigger", 1).parquet(source)
     sink.start(stream, f"{root}-ck").awaitTermination()
     sink.finish()
     tried = sink.manifest().groupBy("key").agg(F.max("ok").alias("published"), (F.count("*") > 1).alias("retried"))
-    files = spark.read.format("binaryFile").load(out).select(F.regexp_extract("path", "([^/]+)$", 1).alias("key"), F.col("length").alias("bytes"))
-    return tried.join(files, "key", "left").select("key", "published", F.coalesce("bytes", F.lit(0)).alias("bytes"), "retried")
+    written = spark.read.format("binaryFile").load(out).select(F.regexp_extract("path", "([^/]+)$", 1).alias("key"), F.col("length").alias("bytes"))
+    return tried.join(written, "key", "left").select("key", "published", F.coalesce("bytes", F.lit(0)).alias("bytes"), "retried")
 
 
 @query("snk_08_best", "WITH e AS (SELECT user_id % 5 AS run, event_id, value FROM events) SELECT run, event_id, coalesce(value < min(value) OVER (PARTITION BY run ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_best FROM e")
