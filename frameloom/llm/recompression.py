@@ -224,8 +224,8 @@ def parse(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _edge_windows(docs: DataFrame, open_: DataFrame, window: int) -> DataFrame:
-    """(anchor, whole, id, at, rank, many): the windows of the open phrases (anchor, whole, id, key, place, many); at: after the phrase's first, rank: a fingerprint."""
-    listed = open_.groupBy("id", "key").agg(F.collect_list(F.struct("anchor", "whole", "place", "many")).alias("open"))  # of one text
+    """(anchor, id, tag, rank, many): the windows of the open phrases (anchor, entry, id, key, place, many); tag: 64 * entry + place after the phrase's first, rank: a fingerprint."""
+    listed = open_.groupBy("id", "key").agg(F.collect_list(F.struct("anchor", "entry", "place", "many")).alias("open"))  # of one text
     texts = docs.select(_order(), row_key(), "text").join(listed, ["id", "key"]).dropDuplicates(["id", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,17 +235,17 @@ def _edge_windows(docs: DataFrame, open_: DataFrame, window: int) -> DataFrame:
                 names, proof, number = _named(data, offsets)
                 one, two = Sums(names), Sums(proof)
                 for k in range(len(offsets) - 1):
-                    anchor, whole, place = (lists[row + k].values.field(c).to_numpy() for c in ("anchor", "whole", "place"))
+                    anchor, entry, place = (lists[row + k].values.field(c).to_numpy() for c in ("anchor", "entry", "place"))
                     many = lists[row + k].values.field("many").to_numpy(zero_copy_only=False)
                     count, first = place & 63, (place >> 6) + number[k]
                     of = np.repeat(np.arange(len(count)), count)
                     at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
                     start = first[of] + at
                     rank = mixed(one.of(start, start + window) ^ mixed(two.of(start, start + window), 9), 10).view(np.int64)
-                    columns = [pa.array(c, pa.int64()) for c in (anchor[of], whole[of], np.full(len(of), ids[row + k]), at, rank)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(many[of], pa.bool_())], names=["anchor", "whole", "id", "at", "rank", "many"])
+                    columns = [pa.array(c, pa.int64()) for c in (anchor[of], np.full(len(of), ids[row + k]), entry[of] * 64 + at, rank)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(many[of], pa.bool_())], names=["anchor", "id", "tag", "rank", "many"])
 
-    return texts.select("id", "text", "open").mapInArrow(run, "anchor long, whole long, id long, at long, rank long, many boolean")
+    return texts.select("id", "text", "open").mapInArrow(run, "anchor long, id long, tag long, rank long, many boolean")
 
 
 def earlier_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -265,26 +265,32 @@ def earlier_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # Third round: windows of phrases whose anchor is in other phrases too.
     by_anchor = stage(entries.groupBy("anchor").agg(F.count("*").alias("n"), F.min("owner").alias("first"), F.max("owner").alias("last")).where("n > 1 and first < last"), "open-anchors")
     open_ = join_counted(entries.drop("n"), by_anchor, ["anchor"]).select("anchor", "whole", F.col("owner").alias("id"), "key", "place", (F.col("n") >= HOT_ROWS).alias("many"))
-    windows = stage(_edge_windows(docs, open_, window), "windows")
+    open_ = stage(open_.withColumn("entry", F.monotonically_increasing_id()), "open-phrases")
+    windows = _edge_windows(docs, open_, window)
+    staged = []
     # A window of an anchor with few phrases is a few rows; of others the counts add up before a shuffle, and hot ones are broadcast.
-    again = windows.where("not many").withColumn("least", F.min("id").over(W.partitionBy("anchor", "rank")))
-    ranks = None
-    if not windows.where("many").isEmpty():
-        ranks = windows.where("many").groupBy("anchor", "rank").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n"))
+    least = F.min("id").over(W.partitionBy("anchor", "rank"))
+    if open_.where("many").isEmpty():
+        again = windows.drop("many").withColumn("least", least)
+    else:
+        windows = stage(windows, "windows")
+        hot = windows.where("many").drop("many")
+        ranks = hot.groupBy("anchor", "rank").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n"))
         ranks = stage(ranks.where("least < most").drop("most"), "ranks")
-        again = again.unionByName(join_counted(windows.where("many"), ranks, ["anchor", "rank"]).drop("n"))
-    again = again.where("least < id")
-    bit = F.expr("shiftleft(1L, cast(at as int))")
-    edges = again.groupBy("anchor", "whole").agg(F.bit_or(bit).alias("bits"))
+        again = windows.where("not many").drop("many").withColumn("least", least).unionByName(join_counted(hot, ranks, ["anchor", "rank"]).drop("n"))
+        staged = [windows, ranks]
+    bit = F.expr("shiftleft(1L, cast(tag & 63 as int))")
+    edges = again.where("least < id").groupBy(F.shiftright("tag", 6).alias("entry")).agg(F.bit_or(bit).alias("bits"))
+    edges = open_.select("entry", "anchor", "whole").join(edges, "entry").drop("entry")
 
     all_ = F.expr("shiftleft(1L, cast(place & 63 as int)) - 1")
-    entries = entries.join(edges, ["anchor", "whole"], "left").select("anchor", "whole", "n", "owner", F.coalesce("bits", F.lit(0)).alias("bits"))
-    later = F.expr("n > 1 or bits <> 0")
-    entries = stage(entries.where(later), "repeated")
-    placed = join_counted(found, entries, ["anchor", "whole"]).select("id", "key", "place", F.when(F.col("owner") < F.col("id"), all_).otherwise(F.col("bits")).alias("bits"))
+    repeated = entries.join(edges, ["anchor", "whole"], "left").select("anchor", "whole", "n", "owner", F.coalesce("bits", F.lit(0)).alias("bits"))
+    repeated = stage(repeated.where("n > 1 or bits <> 0"), "repeated")
+    free(entries, by_anchor, open_, *staged)
+    placed = join_counted(found, repeated, ["anchor", "whole"]).select("id", "key", "place", F.when(F.col("owner") < F.col("id"), all_).otherwise(F.col("bits")).alias("bits"))
     placed = placed.where("bits <> 0").groupBy("id", "key", "place").agg(F.bit_or("bits").alias("bits"))  # rows that repeat are one
     out = stage(placed.groupBy("id", "key").agg(F.collect_list(F.struct("place", "bits")).alias("phrases")), "earlier-windows")
-    free(found, by_anchor, windows, entries, *([ranks] if ranks is not None else []))
+    free(found, repeated)
     return out
 
 
