@@ -264,7 +264,7 @@ def protect(docs: DataFrame, keep_text: bool = True) -> DataFrame:
 
     Null or empty text: no span. Repeated rows: each on its own. Null doc_id and other columns pass through; columns of the results' names are replaced. Base
     spans become [EMAIL], [IP], [CARD], [PHONE]; a disclosing term goes, or becomes [TERM]. Where spans overlap, the first
-    stands. keep_text False: text stays unset, for callers that only want spans.
+    stands, of two that start together the longer. Long texts are searched whole. Empty table: empty result. keep_text False: text stays unset, for callers that only want spans.
     """
     docs = docs.drop("_row", "_base", "_entities", "_terms", "_whole", "_base_spans", "_spans", *(f"n_{k}" for k in KINDS))
     rows = stage(found(docs, text_where_clean=keep_text), "personal")

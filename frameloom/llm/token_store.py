@@ -159,7 +159,7 @@ class TokenStore:
         """Write docs (doc_id long, text) to path. One sort by doc_id; each task of it encodes its texts and writes one shard.
 
         Null doc_id: first. Equal doc_ids: in the order of their texts, one after the other, each kept. Null or
-        empty text: the end id alone. Empty table: no shard, one empty index.
+        empty text: the end id alone. Long texts are encoded whole. Other columns are not read. Empty table: no shard, one empty index.
         """
         dtype = ids_of(tokenizer).dtype.str
 

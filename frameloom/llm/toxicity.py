@@ -140,7 +140,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Toxicity:
 
 
 def score(docs: DataFrame, model: Toxicity) -> DataFrame:
-    """docs with _score double, in place of a column of that name. Null and empty texts get the score of a text without features."""
+    """docs with _score double, in place of a column of that name.
+
+    Null and empty texts get the score of a text without features. Long texts are read whole. Equal texts have equal scores, whatever their ids; rows that repeat
+    are each scored. Empty table: empty result. Other columns pass through.
+    """
     docs = docs.drop("_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
