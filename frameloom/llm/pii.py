@@ -3,10 +3,12 @@
 A protected entity is a found value (an address, a number) with its kind. A term is a run of letters and digits anywhere in a
 text with an entity. Over the whole corpus, IC(e) = -log2 p(e) is what knowing the entity is worth and
 PMI(t, e) = log2 p(t, e) / (p(t) p(e)) is how much of it the term gives away; p counts documents. A term that gives away
-DISCLOSURE of an entity or more is sanitised wherever the entity stands in the same text, if so many common documents have
-a chance of CHANCE or less where terms and entities are independent (the upper tail of the hypergeometric distribution):
-removed if it gives away all that the entity is worth, else replaced by a general word. So a single document is
-enough in a corpus where that is rare, and copies of a text are documents like others.
+DISCLOSURE of an entity or more is sanitised wherever the entity stands in the same text, if that is more than chance:
+either the entity stands in different surroundings and so many common documents are expected of at most FALSE_TERMS of all terms
+that are as rare (upper tail of the hypergeometric distribution, times their number); or the term is always so near to the entity that
+at most FALSE_TERMS words as rare are expected within that distance. Copies of a text show an entity in the same surroundings, which
+is evidence once. So a name met once is found beside its entity, and a rare word elsewhere in the text of a corpus full of rare
+words is left alone. A term is removed if it gives away all that the entity is worth, else replaced by a general word.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ from xxhash import xxh3_64_intdigest
 from .common import in_parts, set_aside, size_bounded, stage, table
 
 KINDS = ("email", "ip", "card", "phone")
-DISCLOSURE, CHANCE = 0.8, 0.01
+DISCLOSURE = 0.8
+#: Terms that each of the two tests is expected to take for an entity where terms are independent of it.
+FALSE_TERMS = 0.2
 #: Counts of terms or entities that a task may hold (16 bytes each); those of the rarer ones are then met by joins only.
 BROADCAST_TERMS = 1_000_000
 #: Terms beside entities that a task holds before it passes them on.
@@ -179,9 +183,25 @@ class Known:
         return np.where(self.keys[at] == keys, self.n[at], rest)
 
 
+def distances(n_words: int, places: np.ndarray) -> np.ndarray:
+    """Each word's distance in words, from 1, to the nearest place; places are sorted numbers of the words that follow them."""
+    at = np.arange(n_words)
+    k = np.searchsorted(places, at, "right")
+    after = np.where(k > 0, at - places[np.maximum(k - 1, 0)] + 1, n_words + 1)
+    before = np.where(k < len(places), places[np.minimum(k, len(places) - 1)] - at, n_words + 1)
+    return np.minimum(after, before)
+
+
+def _around(keys: np.ndarray, place: int) -> int:
+    """32 bits of a hash of the words before and after a place."""
+    a, b = (int(keys[k]) if 0 <= k < len(keys) else 0 for k in (place - 1, place))
+    return ((a * 0x9E3779B97F4A7C15 + b) % (1 << 64) >> 32) - (1 << 31)
+
+
 def together(rows: DataFrame, terms: DataFrame, entities: DataFrame, total: int) -> DataFrame:
-    """(_row, entity, term) for each row's entities and terms, without those that cannot disclose by their counts.
+    """(_row, entity, term, near, around) for each row's entities and terms, without those that cannot disclose by their counts.
 
+    near: the term's least distance to the entity in words times the entity's places in the text; around: a hash of the words beside its first one.
     As n_te is at most n_e, a share of DISCLOSURE asks for n_t <= n_e (total / n_e) ** (1 - DISCLOSURE).
     """
     known = rows.sparkSession.sparkContext.broadcast((Known(terms, "term", "n_t"), Known(entities, "entity", "n_e")))
@@ -189,37 +209,67 @@ def together(rows: DataFrame, terms: DataFrame, entities: DataFrame, total: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_t, n_e = known.value
         for batch in in_parts(batches):
-            ids, keys, words, held = [], [], [], 0
-            for row, text, base, entities in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = np.array(sorted({p[0] for p in term_places(text, _spans(base))}), np.int64)
+            out, held = [], 0
+            for row, text, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                spans = _spans(base)
+                words = term_places(text, spans)
+                if not words:
+                    continue
+                keys, starts = np.array([w[0] for w in words], np.int64), np.array([w[1] for w in words])
+                order = np.argsort(keys, kind="stable")
+                own, first = np.unique(keys[order], return_index=True)
                 least = n_t(own, 1)
-                of = np.array(entities, np.int64)
+                places: dict[int, list[int]] = {}
+                for span in spans:
+                    places.setdefault(entity_key(text, span), []).append(int(np.searchsorted(starts, span[1])))
+                of = np.array(sorted(places), np.int64)
                 for e, n in zip(of.tolist(), n_e(of, n_e.rest).tolist(), strict=True):
-                    some = own[least <= n * (total / n) ** (1 - DISCLOSURE) * (1 + 1e-9)]
-                    ids.append(np.full(len(some), row))
-                    keys.append(np.full(len(some), e))
-                    words.append(some)
-                    held += len(some)
+                    some = least <= n * (total / n) ** (1 - DISCLOSURE) * (1 + 1e-9)
+                    at = np.array(sorted(places[e]))
+                    near = np.minimum.reduceat(distances(len(keys), at)[order], first)[some] * len(at)
+                    around = _around(keys, int(at[0]))
+                    out.append((np.full(len(near), row), np.full(len(near), e), own[some], np.minimum(near, 2**31 - 1), np.full(len(near), around)))
+                    held += len(near)
                 if held > HELD_TERMS:
-                    yield _triples(ids, keys, words)
-                    ids, keys, words, held = [], [], [], 0
-            if ids:
-                yield _triples(ids, keys, words)
+                    yield _met(out)
+                    out, held = [], 0
+            if out:
+                yield _met(out)
+
+    return rows.select("_row", "text", "_base").mapInArrow(run, "_row long, entity long, term long, near int, around int")
+
+
+def _met(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    kinds = {"_row": pa.int64(), "entity": pa.int64(), "term": pa.int64(), "near": pa.int32(), "around": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
 
-    return rows.select("_row", "text", "_base", "_entities").mapInArrow(run, "_row long, entity long, term long")
+class Rarity:
+    """Of terms as rare as one of n_t documents: their number, and how many of them a word is on average. By powers of two of n_t."""
 
+    def __init__(self, terms: DataFrame, n_words: int):
+        power = F.when(F.col("n_t") > 1, F.length(F.bin(F.col("n_t") - 1))).otherwise(0)  # 64 rows at most
+        got = {r.k: (r.n, r.places) for r in terms.groupBy(power.alias("k")).agg(F.count("*").alias("n"), F.sum("n_t").alias("places")).collect()}
+        self.number, self.rate = (np.cumsum([got.get(k, (0, 0))[j] for k in range(65)]).tolist() for j in (0, 1))
+        self.rate = [min(1.0, x / max(1, n_words)) for x in self.rate]
 
-def _triples(*columns: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], names=["_row", "entity", "term"])
+    def expected(self, n_te: int, n_t: int, n_e: int, near: int, varied: bool, total: int, chance=None) -> float:
+        """The terms as rare that are expected to stand as near by chance, or to share as many documents: the lesser of both."""
+        k = (n_t - 1).bit_length()
+        close = 2 * near * self.rate[k]
+        return min(close, self.number[k] * (chance or by_chance)(n_te, n_t, n_e, total)) if varied and close > FALSE_TERMS else close
 
 
 def disclosing(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entity, term, whole): the terms that give entities away; and together(). docs: (text), all; rows: those of found() with an entity."""
     total = max(1, docs.count())
-    terms = stage(_document_counts(docs), "terms")
+    counted = stage(_document_counts(docs), "terms")
+    terms = counted.where(F.col("term").isNotNull())
     entities = stage(rows.select(F.explode("_entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")), "entities")
+    rarity = Rarity(terms, counted.where(F.col("term").isNull()).agg(F.sum("n_t")).first()[0] or 0)
     both = stage(together(rows, terms, entities, total), "together")
-    x = both.groupBy("entity", "term").agg(F.count("*").alias("n_te"))
+    varied = F.min("around") < F.max("around")
+    x = both.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.max("near").alias("near"), varied.alias("varied"))
     x = x.join(size_bounded(entities, BROADCAST_TERMS), "entity").join(terms, "term")
     worth = -F.log2(F.col("n_e") / float(total))
     told = F.log2(F.col("n_te") * float(total) / (F.col("n_t") * F.col("n_e")))
@@ -229,10 +279,11 @@ def disclosing(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chance = functools.lru_cache(100_000)(by_chance)
         for batch in batches:
-            n = zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)), strict=True)
-            yield batch.select([0, 1, 2]).filter(pa.array([chance(a, b, c, total) <= CHANCE for a, b, c in n], pa.bool_()))
+            n = zip(*(batch.column(k).to_pylist() for k in range(3, 8)), strict=True)
+            yield batch.select([0, 1, 2]).filter(pa.array([rarity.expected(*a, total, chance) <= FALSE_TERMS for a in n], pa.bool_()))
 
-    return x.select("entity", "term", "whole", "n_te", "n_t", "n_e").mapInArrow(run, "entity long, term long, whole boolean"), both
+    told = x.select("entity", "term", "whole", "n_te", "n_t", "n_e", "near", "varied").mapInArrow(run, "entity long, term long, whole boolean")
+    return told, both.select("_row", "entity", "term")
 
 
 def counted_terms(n: dict[int, int]) -> pa.RecordBatch:
@@ -240,17 +291,20 @@ def counted_terms(n: dict[int, int]) -> pa.RecordBatch:
 
 
 def _document_counts(docs: DataFrame) -> DataFrame:
-    """(term, n_t): documents that hold each term."""
+    """(term, n_t): documents that hold each term; under null, the words of all documents."""
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
+        n_words = 0
         for batch in in_parts(batches):
             for text in batch.column(0).to_pylist():
-                n.update({w.lower() for w in _WORD.findall(text or "")})
+                words = _WORD.findall(text or "")
+                n_words += len(words)
+                n.update({w.lower() for w in words})
                 if len(n) > COUNTED_TERMS:
                     yield counted_terms(_by_key(n))
                     n.clear()
-        yield counted_terms(_by_key(n))
+        yield counted_terms(_by_key(n) | {None: n_words})
 
     return docs.select("text").mapInArrow(held, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
@@ -264,7 +318,7 @@ def protect(docs: DataFrame, keep_text: bool = True) -> DataFrame:
 
     Null or empty text: no span. Repeated rows: each on its own. Null doc_id and other columns pass through; columns of the results' names are replaced. Base
     spans become [EMAIL], [IP], [CARD], [PHONE]; a disclosing term goes, or becomes [TERM]. Where spans overlap, the first
-    stands, of two that start together the longer. Long texts are searched whole. Empty table: empty result. keep_text False: text stays unset, for callers that only want spans.
+    stands, of two that start together the longer. Long texts are searched whole. Terms tied in counts and distance are judged alike. Empty table: empty result. keep_text False: text stays unset, for callers that only want spans.
     """
     docs = docs.drop("_row", "_base", "_entities", "_terms", "_whole", "_base_spans", "_spans", *(f"n_{k}" for k in KINDS))
     rows = stage(found(docs, text_where_clean=keep_text), "personal")

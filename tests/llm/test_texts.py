@@ -183,6 +183,95 @@ def test_terms_disclose_from_far_in_one_document_and_in_templates(spark):
     assert all(rows[k]["_spans"] == "" for k in range(31, 331))
 
 
+def plain_terms(texts):
+    """(document, term, start, end) of the added spans, pair by pair from the definition."""
+    from math import comb, log2
+
+    words = [[(m[0].lower(), *m.span()) for m in re.finditer(r"[^\W_]+", t or "")] for t in texts]
+    of = Counter(w for ws in words for w in {x[0] for x in ws})
+    total, n_words = len(texts), sum(map(len, words))
+    met, holders = {}, {}
+    for i, t in enumerate(texts):
+        spans = plain_spans(t or "")
+        outside = [w for w in words[i] if all(w[2] <= a or w[1] >= b for _, a, b in spans)]
+        places = {}
+        for kind, a, b in spans:
+            value = t[a:b].lower() if kind == "email" else re.sub("[^0-9.]" if kind == "ip" else "[^0-9]", "", t[a:b])
+            places.setdefault((kind, value), []).append(sum(w[1] < a for w in outside))
+        for e, at in places.items():
+            holders.setdefault(e, set()).add(i)
+            beside = tuple(outside[k][0] if 0 <= k < len(outside) else None for k in (min(at) - 1, min(at)))
+            for term in {w[0] for w in outside}:
+                near = min(k - p + 1 if k >= p else p - k for k, w in enumerate(outside) if w[0] == term for p in at) * len(at)
+                met.setdefault((e, term), []).append((i, near, beside))
+    out = set()
+    for (e, term), rows in met.items():
+        n_te, n_t, n_e = len(rows), of[term], len(holders[e])
+        if n_e < total and log2(n_te * total / (n_t * n_e)) / log2(total / n_e) >= pii.DISCLOSURE:
+            top = 1
+            while top < n_t:
+                top *= 2
+            rare = [n for n in of.values() if n <= top]
+            chance = sum(comb(n_t, j) * comb(total - n_t, n_e - j) for j in range(n_te, min(n_t, n_e) + 1) if n_e - j <= total - n_t) / comb(total, n_e)
+            near = 2 * max(r[1] for r in rows) * min(1, sum(rare) / n_words) <= pii.FALSE_TERMS
+            if near or len({r[2] for r in rows}) > 1 and chance * len(rare) <= pii.FALSE_TERMS:
+                out |= {(i, term) for i, _, _ in rows}
+    return {i: [(w[1], w[2]) for w in words[i] if (i, w[0]) in out and all(w[2] <= a or w[1] >= b for _, a, b in plain_spans(t or ""))] for i, t in enumerate(texts)}
+
+
+def planted(r):
+    """Texts full of words met once, some with addresses; and the names planted in them by the way that they are planted."""
+
+    def rare():
+        return "".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(5))
+
+    texts = [[*made_up(r, 110).split(), *(rare() for _ in range(2))] for _ in range(400)]
+    for t in texts:
+        r.shuffle(t)
+    names, free = {"beside": [], "thrice": [], "form": []}, iter(range(400))
+
+    def put(i, *parts):
+        for x in parts:
+            texts[i].insert(r.randrange(len(texts[i]) + 1), x)
+
+    for c in range(30):
+        i, name = next(free), rare()
+        put(i, f"{name} once{c}@mail.example.com")
+        names["beside"].append((i, name))
+    for c in range(10):
+        name = rare()
+        for i in (next(free), next(free), next(free)):
+            put(i, name, f"thrice{c}@mail.example.com")
+            names["thrice"].append((i, name))
+    for c in range(4):
+        name = rare()
+        for i in (next(free) for _ in range(10)):
+            put(i, f"ka signed {name} form{c}@mail.example.com lo")
+            names["form"].append((i, name))
+    return [" ".join(t) for t in texts], names
+
+
+def test_planted_names_are_found_and_rare_filler_stays(spark):
+    texts, names = planted(random.Random(12))
+    rows = {x.doc_id: x for x in pii.protect(table(spark, texts)).collect()}
+    added = {(i, texts[i][int(a) : int(b)]) for i, x in rows.items() for k, a, b in (s.split(":") for s in x["_spans"].split(",") if s) if k == "term"}
+    for way, some in names.items():
+        assert sum(x in added for x in some) >= 0.95 * len(some), way
+    false = {w for _, w in added} - {w for some in names.values() for _, w in some} - {"signed"}
+    assert len(false) <= 2 * pii.FALSE_TERMS * (30 + 10 + 4)
+
+
+def test_added_terms_by_brute_force(spark):
+    r = random.Random(13)
+    texts = planted(r)[0]
+    texts += [texts[0], texts[0], texts[35], "a@b.cc", "solo a@b.cc a@b.cc x a@b.cc", "10.0.0.1 zed 10.0.0.1", "", None, "4539578763621486"]
+    want = plain_terms(texts)
+    for x in pii.protect(table(spark, texts), keep_text=False).collect():
+        got = [(int(a), int(b)) for k, a, b in (s.split(":") for s in x["_spans"].split(",") if s) if k == "term"]
+        assert got == want[x.doc_id], texts[x.doc_id]
+    assert sum(map(len, want.values())) > 100
+
+
 def test_chance_is_the_hypergeometric_tail():
     from math import comb
 
