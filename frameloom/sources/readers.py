@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,19 +82,40 @@ def resampled(x: np.ndarray, n: int) -> np.ndarray:
     return np.fft.irfft(spectrum, n) * (n / len(x))
 
 
+#: Samples in WAV contents, by format tag (1 PCM, 3 IEEE float) and bits, and their full scale.
+_SAMPLES = {(1, 16): ("<i2", 2**15), (1, 32): ("<i4", 2**31), (3, 32): ("<f4", 1), (3, 64): ("<f8", 1)}
+
+
+def wav(content: bytes) -> tuple[np.ndarray, int]:
+    """(samples in rows of channels, rate) of a WAV content: PCM of 16 or 32 bits by its full scale, IEEE floats as they are."""
+    chunks, at = {}, 12
+    while at + 8 <= len(content):
+        name, size = struct.unpack_from("<4sI", content, at)
+        chunks.setdefault(name, content[at + 8 : at + 8 + size])
+        at += 8 + size + size % 2
+    if content[:4] != b"RIFF" or content[8:12] != b"WAVE" or not {b"fmt ", b"data"} <= chunks.keys():
+        raise ValueError("no WAV content")
+    tag, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", chunks[b"fmt "])
+    if tag == 0xFFFE:  # extensible: the tag stands in the subformat
+        tag = struct.unpack_from("<H", chunks[b"fmt "], 24)[0]
+    if (tag, bits) not in _SAMPLES:
+        raise ValueError(f"WAV format {tag} of {bits} bits")
+    kind, full = _SAMPLES[tag, bits]
+    width = channels * bits // 8
+    x = np.frombuffer(chunks[b"data"][: len(chunks[b"data"]) // width * width], kind)
+    return x.reshape(-1, channels) / full, rate
+
+
 def waveforms(files: DataFrame, rate: int = 16_000) -> DataFrame:
-    """(path, samples) of 16-bit PCM WAV contents (path, content): mixed to mono and brought to the rate through its spectrum."""
-    import io
-    import wave
+    """(path, samples) of WAV contents (path, content): mixed to mono and brought to the rate through its spectrum."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             out = []
             for content in pdf["content"]:
-                with wave.open(io.BytesIO(bytes(content))) as w:
-                    x = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels()).mean(axis=1) / 32768
-                    n = round(len(x) * rate / w.getframerate())
-                out.append(resampled(x, n).astype("float32").tolist())
+                x, own = wav(bytes(content))
+                x = x.mean(axis=1)
+                out.append(resampled(x, round(len(x) * rate / own)).tolist())
             yield pd.DataFrame({"path": pdf["path"], "samples": out})
 
-    return files.select("path", "content").mapInPandas(run, T.StructType([T.StructField("path", T.StringType()), T.StructField("samples", T.ArrayType(T.FloatType()))]))
+    return files.select("path", "content").mapInPandas(run, T.StructType([T.StructField("path", T.StringType()), T.StructField("samples", T.ArrayType(T.DoubleType()))]))

@@ -117,6 +117,35 @@ def test_waveform_is_mixed_and_resampled(spark):
     assert len(samples) == 160 and samples[0] == pytest.approx(0.25)
 
 
+def test_waveforms_of_wider_samples_and_no_waveforms(spark):
+    import struct
+
+    def content(tag, bits, body):
+        extra = struct.pack("<HHIH14x", 22, bits, 0, 1) if tag == 0xFFFE else b""
+        head = struct.pack("<HHIIHH", tag, 1, 16000, 2000 * bits, bits // 8, bits) + extra
+        data = b"LIST" + struct.pack("<I", 3) + b"abc\0" + b"data" + struct.pack("<I", len(body)) + body
+        return bytearray(b"RIFF" + struct.pack("<I", 12 + len(head) + len(data)) + b"WAVEfmt " + struct.pack("<I", len(head)) + head + data)
+
+    x = np.array([0.5, -0.25])
+    rows = [("f8", content(3, 64, (x * 4).astype("<f8").tobytes())), ("f4", content(3, 32, x.astype("<f4").tobytes())), ("i4", content(1, 32, (x * 2**31).astype("<i4").tobytes()))]
+    rows.append(("ext", content(0xFFFE, 16, (x * 2**15).astype("<i2").tobytes())))
+    got = dict(map(tuple, readers.waveforms(spark.createDataFrame(rows, "path string, content binary")).collect()))
+    assert got == {"f8": [2.0, -1.0], "f4": [0.5, -0.25], "i4": [0.5, -0.25], "ext": [0.5, -0.25]}
+    for bad in (bytearray(b"no RIFF"), content(1, 24, b"123")):
+        with pytest.raises(Exception, match="WAV"):
+            readers.waveforms(spark.createDataFrame([("bad", bad)], "path string, content binary")).collect()
+
+
+def test_waveforms_take_values_beyond_16_bits_and_round_ties_up(spark, tmp_path):
+    from frameloom.plans import QUERIES
+
+    tie = [(100 + k, 2, 0.02 * (2580 + (k < 36))) for k in range(75)]  # 2580.48 / 32768 is 0.07875
+    e = [(0, 1, 655.36), (1, 1, 1e8), (2, 1, 0.0)] + [(i, u, v + 0.001) for i, u, v in tie]
+    spark.createDataFrame(e, "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.utt_id: (r.n, r["mean"]) for r in QUERIES["src_13_waveforms"](spark, str(tmp_path)).collect()}
+    assert got == {"1": (6, pytest.approx((32768 + 5e9) / 3 / 32768, abs=1e-3)), "2": (150, 0.0788)}
+
+
 def test_a_codebook_beyond_4096_is_used_whole(spark):
     book = spark.range(5000).select(F.col("id").cast("int").alias("code"), F.array(F.col("id").cast("double")).alias("v"))
     q = spark.createDataFrame([(k, [float(x)]) for k, x in enumerate((0, 17, 4096, 4900, 4999))], "id int, v array<double>")
