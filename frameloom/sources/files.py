@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import ArrayType, StructType
 
-from ..streaming.flush import write_checked
+from ..streaming.flush import dealt, write_checked
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -26,11 +27,17 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
 
 @dataclass
 class Files(InputPartition):
-    paths: list[str]
+    """Files of a partition below the root, packed: the driver holds the partitions of all."""
+
+    packed: bytes
 
     def __init__(self, paths: list[str]):
         super().__init__(None)
-        self.paths = paths
+        self.packed = zlib.compress("\0".join(paths).encode()) if paths else b""
+
+    @property
+    def paths(self) -> list[str]:
+        return zlib.decompress(self.packed).decode().split("\0") if self.packed else []
 
 
 class ArrayFiles(DataSource):
@@ -38,7 +45,8 @@ class ArrayFiles(DataSource):
 
     A row for each .npz or .npy file under root. key is the name without its suffix, path the part below root; a declared array is the file's array of that name (of an .npy file its only
     one), null where the file has none. Arrays that are not declared are not decompressed. A file that can't be read ends the query, or, if a column `_error string` is
-    declared, is a row with its reason. Files are dealt into partitions of about `partitionBytes`.
+    declared, is a row with its reason. Files are dealt into partitions of about `partitionBytes`,
+    and of `partitionFiles` at most, as small files take time by their number.
     """
 
     @classmethod
@@ -56,19 +64,21 @@ class ArrayReader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
         self.root, self.schema = options["path"].rstrip("/"), schema
         self.bytes = int(options.get("partitionBytes", 64 << 20))
+        self.files = int(options.get("partitionFiles", 2000))
 
     def partitions(self) -> list[InputPartition]:
         where, root = opened(self.root)
-        found = where.get_file_info(fs.FileSelector(root, recursive=True))
-        names = sorted((f.path, f.size) for f in found if f.is_file and re.search(r"\.np[yz]$", f.path) and not re.search(r"/[._][^/]*$", f.path))
-        out, size = [[]], 0
-        for path, n in names:
-            if out[-1] and size + n > self.bytes:
-                out.append([])
-                size = 0
-            out[-1].append(path)
-            size += n
-        return [Files(p) for p in out]
+        out, held, size, folders = [], [], 0, [root]
+        while folders:  # one folder's files at a time
+            found = where.get_file_info(fs.FileSelector(folders.pop()))
+            folders += sorted((f.path for f in found if f.type == fs.FileType.Directory), reverse=True)
+            for path, n in sorted((f.path, f.size) for f in found if f.is_file and re.search(r"\.np[yz]$", f.path) and not re.search(r"/[._][^/]*$", f.path)):
+                if held and (size + n > self.bytes or len(held) >= self.files):
+                    out.append(Files(held))
+                    held, size = [], 0
+                held.append(path[len(root) :].lstrip("/"))
+                size += n
+        return [*out, Files(held)] if held or not out else out
 
     def read(self, partition: Files) -> Iterator[tuple]:
         where, root = opened(self.root)
@@ -76,13 +86,13 @@ class ArrayReader(DataSourceReader):
         for path in partition.paths:
             got, error = {}, None
             try:
-                with where.open_input_file(path) as f:
+                with where.open_input_file(f"{root}/{path}") as f:
                     got = {k: self._plain(v) for k, v in _arrays(f, path, arrays).items()}
             except (ValueError, OSError, EOFError, KeyError, zipfile.BadZipFile) as e:
                 if "_error" not in self.schema.names:
                     raise
                 error = f"{type(e).__name__}: {e}"
-            got |= {"key": re.sub(r"\.np[yz]$", "", path.rpartition("/")[2]), "path": path[len(root) :].lstrip("/"), "_error": error}
+            got |= {"key": re.sub(r"\.np[yz]$", "", path.rpartition("/")[2]), "path": path, "_error": error}
             yield tuple(got.get(c) for c in self.schema.names)
 
     @staticmethod
@@ -103,7 +113,10 @@ def _arrays(file, path: str, names: set[str]) -> dict[str, np.ndarray]:
 
 
 def write_arrays(df: DataFrame, root: str, key: str = "key", suffix: str = "npz", least: int = 0) -> int:
-    """Write a file root/key.suffix for each row: NPZ with the array columns by name, or NPY with the only one. Names may have folders. Files are whole or absent; returns their number."""
+    """Write a file root/key.suffix for each row: NPZ with the array columns by name, or NPY with the only one. Names may have folders. Files are whole or absent; returns their number.
+
+    Rows are dealt over all cores by key, as small rows that are many take time by their number and Spark deals by bytes.
+    """
     names = [f.name for f in df.schema if isinstance(f.dataType, ArrayType)]
     root = root.rstrip("/")
 
@@ -116,7 +129,7 @@ def write_arrays(df: DataFrame, root: str, key: str = "key", suffix: str = "npz"
                 write_checked(f"{root}/{row[key]}.{suffix}", held.getvalue(), least)
             yield pd.DataFrame({"n": [len(pdf)]})
 
-    return df.select(key, *names).mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return dealt(df.select(key, *names), key).mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def last_lines(files: DataFrame, pattern: str, size: int = 16_384) -> DataFrame:

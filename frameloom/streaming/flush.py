@@ -36,6 +36,11 @@ def write_checked(uri: str, content: bytes, least: int = 500) -> None:
     where.move(part, path)
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by key into some partitions for each core, however few bytes they have: for work that takes time by the row."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 class StagedSink:
     """Publishes rows (key string, content binary) as files out/key. put(uri, content, pass) publishes one, or raises.
 
@@ -89,7 +94,7 @@ class StagedSink:
                         rows.append((key, number, False, str(e)))
                 yield pd.DataFrame(rows, columns=["key", "pass", "ok", "error"])
 
-        self.queue().mapInPandas(run, MANIFEST).write.mode("append").parquet(f"{self.root}/manifest")
+        dealt(self.queue(), "key").mapInPandas(run, MANIFEST).write.mode("append").parquet(f"{self.root}/manifest")
         self.waiting = self.queue().count()
         return self.waiting
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from frameloom.functions import scalars as S
 from frameloom.operators import quantize as V
 from frameloom.sources import files, readers
+from frameloom.streaming import flush
 
 SCHEMA = "key string, path string, pitch array<float>, ema array<array<float>>"
 
@@ -44,6 +45,29 @@ def test_files_are_dealt_by_size_and_nothing_else_is_one(spark, root):
     assert read(spark, f"{root}/none", SCHEMA).count() == 0
 
 
+def test_small_files_are_written_and_read_in_many_tasks(spark, tmp_path):
+    """Files of few bytes take time by their number: one task for all of them grows with it."""
+    from pyspark import TaskContext
+
+    path, at = str(tmp_path / "many"), str(tmp_path / "tasks")
+
+    def put(uri, content, _):
+        flush.write_checked(uri, content, 0)
+        flush.write_checked(f"{at}/{TaskContext.get().partitionId()}", b"x", 0)
+
+    spark.dataSource.register(files.ArrayFiles)
+    df = spark.range(0, 5000, 1, 1).select(F.concat_ws("/", (F.col("id") % 3).cast("string"), F.col("id").cast("string")).alias("key"), F.array(F.col("id").cast("float")).alias("x"))
+    assert flush.dealt(df, "key").select(F.spark_partition_id().alias("p")).distinct().count() > 8
+    assert files.write_arrays(df.where("id % 10 <> 0"), path) == 4500
+    sink = flush.StagedSink(spark, f"{tmp_path}/root", path, put=put)
+    sink.add(df.where("id % 10 = 0").select(F.concat("key", F.lit(".npz")).alias("key"), F.lit(b"PK").alias("content")), 0)
+    assert sink.finish() == 0 and len(os.listdir(at)) > 8
+    got = read(spark, path, "key string, path string, x array<float>, _error string")
+    assert got.rdd.getNumPartitions() == 3 and read(spark, path, SCHEMA, partitionFiles=100).rdd.getNumPartitions() == 50
+    assert got.where("_error is null").selectExpr("count(distinct path) as n", "sum(x[0]) as s").first() == (4500, float(sum(k for k in range(5000) if k % 10)))
+    assert got.where("_error is not null").count() == 500
+
+
 def test_arrays_that_are_not_declared_are_not_read(spark, root):
     """A file whose other array is broken still gives the one that is asked for."""
     path = f"{root}/s0/u2.npz"
