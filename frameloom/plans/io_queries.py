@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..operators import quantize as V
 from ..operators.ordering import numbered
-from ..operators.staging import scratch
+from ..operators.staging import scratch, staged
 from ..sources import files, readers, writers
 from ..streaming import flush
 from ..streaming import incremental as I
@@ -367,6 +367,15 @@ def status(spark, d):
     return s.select("run", "epoch", *(r6(c).alias(c) for c in ("value", "recent", "trend")), "better", "best", F.round("eta_seconds", 4).alias("eta_seconds"))
 
 
+def _fed(df, key, *by):
+    """A stream of the rows in three parts by a hash of `by`, one after the other. A part is a file for each core, and a batch."""
+    spark, source = df.sparkSession, scratch(df.sparkSession, "fed")
+    cores = spark.sparkContext.defaultParallelism
+    for part in range(3):
+        df.where(F.pmod(F.xxhash64(*by), F.lit(3)) == part).repartition(cores, key).write.mode("append").parquet(source)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", cores).parquet(source)
+
+
 @query(
     "str_05_state_machine",
     f"WITH {RUNS}, e AS (SELECT utt, t, coalesce(lead(pos) OVER (PARTITION BY utt ORDER BY t) <> pos, true)::INTEGER AS eop FROM runs), p AS (SELECT utt, t, (1 + coalesce(sum(eop) OVER (PARTITION BY utt ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INTEGER AS place FROM e) SELECT * FROM p WHERE place <= 20",
@@ -374,12 +383,11 @@ def status(spark, d):
 def state_machine(spark, d):
     from ..operators.segments import end_flags
 
-    source, out = scratch(spark, "ends"), scratch(spark, "places")
+    out = scratch(spark, "places")
     e = end_flags(with_runs(spark, d)).select("utt", "t", F.col("is_end").cast("int").alias("eop"), F.lit(20).alias("n"))
-    e = e.withColumn("ts", F.timestamp_seconds(1_704_067_200 + F.col("t") * 60))
-    for part in range(3):  # in no order of t
-        e.where(F.pmod(F.xxhash64("utt", "t"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    # a millisecond for a row, as a day's wait must hold for the longest sequence
+    e = staged(e.withColumn("ts", F.timestamp_millis(1_704_067_200_000 + F.col("t").cast("long"))), "ends")
+    stream = _fed(e, "utt", "utt", "t")  # in no order of t
     q = I.places(stream, "1 day").writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-ck").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema("utt long, t int, place int").parquet(out)
@@ -392,11 +400,9 @@ def state_machine(spark, d):
 )
 def event_windows(spark, d):
     """Windows of two days that begin every day, over a stream whose parts are not in order of time."""
-    source, out = scratch(spark, "events"), scratch(spark, "windows")
+    out = scratch(spark, "windows")
     e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
-    for part in range(3):
-        e.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = _fed(e, "event_id", "event_id")
     w = I.windows(stream, "2 days", "1 day", "40 days", "event_type")
     M.upserted(w, out, f"{out}-ck").awaitTermination()
     got = M.latest(spark, out, w.schema, "start", "event_type")

@@ -158,3 +158,38 @@ def test_a_new_sink_finds_the_queue_of_the_old_one(spark, tmp_path):
     new = flush.StagedSink(spark, f"{tmp_path}/root", f"{tmp_path}/files")
     assert new.finish() == 0 and published(tmp_path / "files") == {"a": b"a" * 500, "b": b"b" * 500}
     assert flush.StagedSink(spark, f"{tmp_path}/root", f"{tmp_path}/files").finish() == 0
+
+
+def test_long_sequences_wait_for_all_parts(spark, tmp_path):
+    """A sequence of 3,000 rows, more than a day of minutes, whose parts come in no order; ids far apart, negative and null."""
+    import duckdb
+
+    from frameloom import plans
+
+    rows = [(k, START + dt.timedelta(seconds=k), 1, "ab"[k // 200 % 2]) for k in range(3000)]
+    rows += [(3000 + k, START + dt.timedelta(seconds=k), user, "abc"[k // 2 % 3]) for user in (2, 70, -5, 2**53 + 1, None) for k in range(60)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").withColumn("value", F.lit(1.0))
+    df.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    with duckdb.connect() as db:
+        db.sql(f"SET TimeZone = 'UTC'; CREATE VIEW events AS SELECT * REPLACE (ts::TIMESTAMP AS ts) FROM '{tmp_path}/events.parquet/*.parquet'")
+        want = db.sql(plans.SQL["str_05_state_machine"]).fetchall()
+    got = map(tuple, plans.QUERIES["str_05_state_machine"](spark, str(tmp_path)).collect())
+    order = lambda x: (str(x[0]), x[1])
+    assert sorted(got, key=order) == sorted(want, key=order) and len(want) > 3000
+
+
+def test_a_part_of_a_stream_is_a_batch_of_many_files(spark, tmp_path):
+    from frameloom.plans.io_queries import _fed
+
+    stream, seen = _fed(spark.range(3000), "id", "id"), []
+    stream.writeStream.foreachBatch(lambda df, _: seen.append((df.count(), df.select(F.input_file_name()).distinct().count()))).trigger(availableNow=True).start().awaitTermination()
+    assert sum(n for n, _ in seen) == 3000 and [files for _, files in seen] == [spark.sparkContext.defaultParallelism] * 3
+
+
+def test_sequences_share_a_state(spark, tmp_path):
+    """A call of the state's function is for up to 64 sequences: 256 of them take 4 states, and each gets its places."""
+    feed(spark, f"{tmp_path}/in", [[(u, START, t, 1, 9) for u in range(256) for t in (b, b + 1)] for b in (2, 0)], ENDS)
+    stream = spark.readStream.schema(ENDS).options(**ONE).parquet(f"{tmp_path}/in")
+    got = run(spark, I.places(stream, "1 day"), f"{tmp_path}/out")
+    assert sorted(map(tuple, got.collect())) == [(u, t, t + 1) for u in range(256) for t in range(4)]
+    assert spark.read.format("statestore").load(f"{tmp_path}/out-ck").count() == 4
