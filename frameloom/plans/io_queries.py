@@ -367,12 +367,12 @@ def status(spark, d):
     return s.select("run", "epoch", *(r6(c).alias(c) for c in ("value", "recent", "trend")), "better", "best", F.round("eta_seconds", 4).alias("eta_seconds"))
 
 
-def _fed(df, key, *by):
+def _fed(df, *by):
     """A stream of the rows in three parts by a hash of `by`, one after the other. A part is a file for each core, and a batch."""
     spark, source = df.sparkSession, scratch(df.sparkSession, "fed")
     cores = spark.sparkContext.defaultParallelism
     for part in range(3):
-        df.where(F.pmod(F.xxhash64(*by), F.lit(3)) == part).repartition(cores, key).write.mode("append").parquet(source)
+        df.where(F.pmod(F.xxhash64(*by), F.lit(3)) == part).repartition(cores).write.mode("append").parquet(source)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", cores).parquet(source)
 
 
@@ -387,7 +387,7 @@ def state_machine(spark, d):
     e = end_flags(with_runs(spark, d)).select("utt", "t", F.col("is_end").cast("int").alias("eop"), F.lit(20).alias("n"))
     # a millisecond for a row, as a day's wait must hold for the longest sequence
     e = staged(e.withColumn("ts", F.timestamp_millis(1_704_067_200_000 + F.col("t").cast("long"))), "ends")
-    stream = _fed(e, "utt", "utt", "t")  # in no order of t
+    stream = _fed(e, "utt", "t")  # in no order of t
     q = I.places(stream, "1 day").writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-ck").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema("utt long, t int, place int").parquet(out)
@@ -402,7 +402,7 @@ def event_windows(spark, d):
     """Windows of two days that begin every day, over a stream whose parts are not in order of time."""
     out = scratch(spark, "windows")
     e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
-    stream = _fed(e, "event_id", "event_id")
+    stream = _fed(e, "event_id")
     w = I.windows(stream, "2 days", "1 day", "40 days", "event_type")
     M.upserted(w, out, f"{out}-ck").awaitTermination()
     got = M.latest(spark, out, w.schema, "start", "event_type")

@@ -181,7 +181,7 @@ def test_long_sequences_wait_for_all_parts(spark, tmp_path):
 def test_a_part_of_a_stream_is_a_batch_of_many_files(spark, tmp_path):
     from frameloom.plans.io_queries import _fed
 
-    stream, seen = _fed(spark.range(3000), "id", "id"), []
+    stream, seen = _fed(spark.range(3000), "id"), []
     stream.writeStream.foreachBatch(lambda df, _: seen.append((df.count(), df.select(F.input_file_name()).distinct().count()))).trigger(availableNow=True).start().awaitTermination()
     assert sum(n for n, _ in seen) == 3000 and [files for _, files in seen] == [spark.sparkContext.defaultParallelism] * 3
 
